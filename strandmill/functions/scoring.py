@@ -80,7 +80,7 @@ def boilerplate(rows: DataFrame, column: str, template_count: str, config: Boile
         "token_count": F.size("_tokens"), "lexical_diversity": t.diversity(F.col("_tokens"))})
     c, plain, n = F.col, F.col("plain_text"), F.col("token_count")
     tagged, bare = F.size("_tags") > 0, plain == ""
-    repeated = (t.normalize(plain, "punct_light") != "") & (c(template_count) >= config.repeated_count)
+    repeated = c(template_count) >= config.repeated_count  # an empty template counts 0
     rules = [
         ("markup_only", (c("_raw") != "") & tagged & bare),
         ("pgn_markup_heavy", tagged & (bare | (c("markup_share") >= config.heavy_share) | ((n <= 2) & F.arrays_overlap("_tags", F.array(*map(F.lit, ("eval", "clk", "emt"))))))),

@@ -11,6 +11,10 @@ SPACE_RE2 = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{202
 #: Neither a word character (letter, number, underscore) nor white space.
 PUNCTUATION = r"[^\p{L}\p{N}_" + SPACE[1:-1] + "]"
 PUNCTUATION_RE2 = r"[^\p{L}\p{N}_" + SPACE_RE2[1:-1] + "]"
+#: Runs of what is not a word character, white space or not.
+GAP = r"[^\p{L}\p{N}_]+"
+#: The white space of SPACE, one by one.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NAG = r"\$\p{Nd}+"
 MARKUP = r"\[%([a-zA-Z]+)[^\]]*\]"
 TOKEN = "[a-z0-9']+"
@@ -25,36 +29,37 @@ def text_of(column) -> Column:
 
 
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(column, F.lit(SPACES))
 
 
 def collapse(column: Column) -> Column:
-    return strip(F.regexp_replace(column, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(column, f"{SPACE}+", " "))
 
 
 def normalize(column, mode: str) -> Column:
     """One of the views under which texts count as equal; null counts as empty."""
-    text = strip(text_of(column))
+    text = text_of(column)
     if mode == "raw":
-        return text
-    text = collapse(F.lower(text))
+        return strip(text)
+    if mode == "lower_ws":
+        return collapse(F.lower(text))
     if mode == "nag_stripped":
         text = F.regexp_replace(text, NAG, " ")
-    elif mode not in MODES:
+    elif mode != "punct_light":
         raise ValueError(f"unknown mode: {mode}")
-    return text if mode == "lower_ws" else collapse(F.regexp_replace(text, PUNCTUATION, " "))
+    return F.trim(F.regexp_replace(F.lower(text), GAP, " "))  # punctuation and white space become single spaces at once
 
 
 def strip_markup(column) -> Column:
-    return collapse(F.regexp_replace(strip(text_of(column)), MARKUP, " "))
+    return collapse(F.regexp_replace(text_of(column), MARKUP, " "))
 
 
 def template(column) -> Column:
-    return normalize(strip_markup(column), "punct_light")
+    return normalize(F.regexp_replace(text_of(column), MARKUP, " "), "punct_light")
 
 
 def markup_tags(column: Column) -> Column:
-    return F.transform(F.regexp_extract_all(column, F.lit(MARKUP), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(column, F.lit(MARKUP), F.lit(1)), lambda x: F.lower(x))
 
 
 def markup_characters(column: Column) -> Column:

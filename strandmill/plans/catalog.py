@@ -1,13 +1,20 @@
 """Registered queries of the curation and evaluation operators."""
 
+from __future__ import annotations
+
+from strandmill.plans import curation
+
+PARTS = (curation,)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Documents that stay after boilerplate rules and template caps."""
+    return curation.template_cap(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: q for part in PARTS for name, q in part.REGISTRY.queries.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: s for part in PARTS for name, s in part.REGISTRY.sql.items()}
