@@ -81,8 +81,9 @@ def ranks(queries: DataFrame, keys: DataFrame, tolerance: float = 1e-6) -> DataF
     The rank is 1 and the keys that score higher in the first 9 decimals; the strict one is these and the ties, the
     own key among them.
     """
-    targets = queries.withColumnRenamed("v", "_q").join(keys.withColumnRenamed("v", "_k"), "id").select(
-        "id", F.col("_q").alias("v"), F.aggregate(F.zip_with("_q", "_k", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("target"))
+    own = keys.select(F.col("id").alias("own"), F.col("v").alias("_k"))
+    targets = queries.withColumnRenamed("v", "_q").join(own, F.col("id") == F.col("own")).select(
+        F.col("own").alias("id"), F.col("_q").alias("v"), F.aggregate(F.zip_with("_q", "_k", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("target"))
 
     def count(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(block):
@@ -93,7 +94,7 @@ def ranks(queries: DataFrame, keys: DataFrame, tolerance: float = 1e-6) -> DataF
         close = np.abs(products - target) <= tolerance + tolerance * np.abs(target)
         return pd.DataFrame({"id": asked["id"], "above": (np.round(products, 9) > np.round(target, 9)).sum(1), "ties": close.sum(1)})
 
-    parts = in_blocks(targets, keys, count, "id long, above long, ties long")
+    parts = in_blocks(targets, keys.select(F.col("id").alias("id"), "v"), count, "id long, above long, ties long")
     return parts.groupBy("id").agg((1 + F.sum("above")).alias("rank"), (F.sum("above") + F.sum("ties")).alias("strict_rank"), F.sum("ties").alias("ties"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import curation
+from strandmill.plans import curation, evaluation
 
-PARTS = (curation,)
+PARTS = (curation, evaluation)
 
 
 def flagship(spark, sf_dir):
