@@ -60,12 +60,12 @@ def quantile_thresholds(scored: DataFrame, by: list[str], config=scoring.Informa
     return stats.distribution(scored, by, "score", (p,)).select(*by, F.greatest(F.lit(config.medium), F.col(stats.label_of(p))).alias("threshold"))
 
 
-def informative_variants(scored: DataFrame, by: list[str], special: Column = F.lit(False), config=scoring.InformativenessConfig()) -> DataFrame:
+def informative_variants(scored: DataFrame, by: list[str], special: Column | None = None, config=scoring.InformativenessConfig()) -> DataFrame:
     """``scored`` with a boolean for each filter: high, medium, the group's quantile, and medium or special with a floor."""
     score = F.col("score")
     return scored.join(quantile_thresholds(scored, by, config), by).withColumns({
         "keep_high": score >= config.high, "keep_medium": score >= config.medium, "keep_quantile": score >= F.col("threshold"),
-        "keep_special": (score >= config.medium) | (special & (score >= config.special_floor))})
+        "keep_special": (score >= config.medium) if special is None else (score >= config.medium) | (special & (score >= config.special_floor))})
 
 
 def family_audit(rows: DataFrame, family: str, text: str, split: str, least: int = 1) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandmill.functions import text as t
+
 SPLITS = ("train", "val", "test")
 
 
@@ -136,7 +138,7 @@ def read_games(spark: SparkSession, paths) -> DataFrame:
     names, values = (F.regexp_extract_all("text", F.lit(header), F.lit(i)) for i in (1, 2))
     first = F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("key"), F.element_at(values, F.array_position(names, n).cast("int")).alias("value")))
     return raw.withColumn("text", text).where(F.trim("value") != "").select(
-        "path", F.map_from_entries(first).alias("headers"), F.trim(F.regexp_replace("text", r"(?m)^\[[^\n]*\]\n?", "")).alias("moves"))
+        "path", F.map_from_entries(first).alias("headers"), t.strip(F.regexp_replace("text", r"(?m)^\[[^\n]*\]\n?", "")).alias("moves"))
 
 
 def read_summaries(spark: SparkSession, root: str, name: str = "summary.json") -> DataFrame:
