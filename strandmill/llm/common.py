@@ -33,6 +33,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 256):
+    """Runs of at most ``rows`` rows of Arrow batches, without copies: what a function holds beside a batch stays small."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, as the variable of a one-element transform."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from strandmill.llm.common import slices
+
 #: Letters share this many vectors: 0 stands between words, a to z have their own, others are dealt by code point.
 LETTERS = 64
 UNKNOWN = "und"
@@ -19,7 +21,7 @@ class Encoder:
     """Turns texts into bundles: the sum, over a text's letter trigrams, of shift2(a) * shift1(b) * c."""
 
     def __init__(self, dimensions: int = 1024, seed: int = 17):
-        points = np.arange(0x110000)
+        points = np.arange(0x110000, dtype=np.int64)
         letter = np.frombuffer(bytes(chr(i).isalpha() for i in points), np.uint8).astype(bool)
         self.ids = np.where(letter, 27 + (points * 2654435761 >> 16) % (LETTERS - 27), 0).astype(np.int32)
         self.ids[ord("a"):ord("z") + 1] = np.arange(1, 27)
@@ -50,8 +52,13 @@ class Encoder:
         rows = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
         counts = np.bincount(rows * len(known) + self.at[flat], minlength=len(codes) * len(known)).reshape(len(codes), -1)
         a, b, c = self.parts
-        bound = a[known // LETTERS**2] * b[known // LETTERS % LETTERS] * c[known % LETTERS]
-        bundles = counts.astype(np.float32) @ bound
+        bundles = np.zeros((len(codes), self.dimensions), np.float32)
+        for start in range(0, len(known), 1024):  # bound vectors of a thousand trigrams at a time
+            some = known[start:start + 1024]
+            bound = a[some // LETTERS**2]
+            bound *= b[some // LETTERS % LETTERS]
+            bound *= c[some % LETTERS]
+            bundles += counts[:, start:start + 1024].astype(np.float32) @ bound
         length = np.linalg.norm(bundles, axis=1, keepdims=True)
         return np.divide(bundles, length, out=np.zeros_like(bundles), where=length > 0)
 
@@ -83,7 +90,7 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: s
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dimensions, seed), {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in portions(texts):
                 for name, row in zip(langs[a:b], encoder.encode(texts[a:b])):
@@ -114,7 +121,7 @@ def identify(docs: DataFrame, names: list[str], profiles: np.ndarray, text: str
     @arrow_udf("struct<lang:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(dimensions, seed)
-        for batch in batches:
+        for batch in slices(batches):
             texts, out = batch.to_pylist(), []
             for a, b in portions(texts):
                 rows = encoder.encode(texts[a:b])

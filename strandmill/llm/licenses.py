@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from strandmill.llm.common import slices
+
 #: Phrase and label, found as consecutive words.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
@@ -127,7 +129,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", into: str = "license_scan
     @arrow_udf(RESULT)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = Scanner(notices, error_percent)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([scanner.scan(x.as_py()) for x in batch], RESULT_TYPE)
 
     return docs.withColumn(into, scan(F.col(text).cast("string")))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandmill.llm.common import components, materialize
+from strandmill.llm.common import components, materialize, slices
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows without a key get numbers from this on.
@@ -100,7 +100,7 @@ def profiles(column, size: int, percent: int):
     @arrow_udf(PROFILE)
     def profile(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bounds = Bounds(percent)
-        for batch in batches:
+        for batch in slices(batches):
             n, h1, h2, blocks = [], [], [], []
             for x in batch:
                 grams = ngrams(x.as_py(), size)
@@ -117,7 +117,7 @@ def profiles(column, size: int, percent: int):
 def sets(column, size: int):
     @arrow_udf("array<bigint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield lists([ngrams(x.as_py(), size) for x in batch])
 
     return of(column)

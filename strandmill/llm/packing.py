@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from strandmill.llm.common import slices
+
 
 class Tokens:
     """Ids of a ``tokenizers`` file. With ``ranks``, the same vocabulary as ranks, plain texts take a faster library.
@@ -24,9 +26,7 @@ class Tokens:
     OTHER = re.compile("[^\t\n\r -~\xa0-ɏ]")
 
     def __init__(self, path: str, ranks: str | None = None, special: str = "<|endoftext|>"):
-        from tokenizers import Tokenizer
-
-        self.exact, self.fast, self.special = Tokenizer.from_file(path), None, special
+        self.path, self.slow, self.fast, self.special = path, None, None, special
         if ranks:
             import base64
 
@@ -37,6 +37,15 @@ class Tokens:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
+    @property
+    def exact(self):
+        """Loaded once a text needs it."""
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast and self.special not in text and not self.OTHER.search(text) and max(map(len, text.split()), default=0) < 512:
             return self.fast.encode_to_numpy(text).astype("<u4")
@@ -58,7 +67,7 @@ def cut(column, size: int, end_id: int, path: str, ranks: str | None):
     @arrow_udf(CUT)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens, end = Tokens(path, ranks), np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for x in batch:
                 ids = np.concatenate((tokens.ids(x.as_py() or ""), end))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from strandmill.llm.common import slices
+
 #: Kinds in the order of ties; the first three are the base.
 KINDS = ("assign", "access", "hex", "literal")
 
@@ -107,7 +109,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", into: str = "secrets", thr
     """
     @arrow_udf(SPANS)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([[{"kind": k, "start": a, "end": b} for a, _, k, b, _ in find_secrets(x.as_py(), threshold)] for x in batch], SPANS_TYPE)
 
     return docs.withColumn(into, scan(F.col(text).cast("string")))
@@ -117,7 +119,7 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.6, mark: st
     """``docs`` with the secrets in ``text`` replaced by ``mark``; null texts stay null, clean texts stay as they are."""
     @arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.array([x and redacted(x, find_secrets(x, threshold), mark) for x in batch.to_pylist()], pa.string())
 
     return docs.withColumn(text, clean(F.col(text).cast("string")))
