@@ -10,6 +10,7 @@ from strandmill.functions.hashing import rank_key
 from strandmill.operators import stats
 from strandmill.operators.dedup import digest
 from strandmill.operators.ranking import first_n, names
+from strandmill.sources.shared import written
 
 
 def with_template_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -43,10 +44,10 @@ def clean(rows: DataFrame, text: str, identity: str, within: list[str], keep: in
     """Rows that stay, with ``plain_text``, and a ledger ``(identity, drop_reason)`` of the others.
 
     Reasons in order: the first dropped category, ``empty_after_cleanup``, and ``template_cap`` beyond the first
-    ``keep`` rows of a template in its group.
+    ``keep`` rows of a template in its group. Flags are computed once and written, as both results read them.
     """
-    flagged = boilerplate_flags(rows, text).withColumn("drop_reason", F.coalesce(
-        first_category("categories", drops), F.when(F.col("plain_text") == "", "empty_after_cleanup")))
+    flagged = written(boilerplate_flags(rows, text).withColumn("drop_reason", F.coalesce(
+        first_category("categories", drops), F.when(F.col("plain_text") == "", "empty_after_cleanup"))), "flags")
     passed = flagged.where("drop_reason is null").withColumn(
         "_key", F.coalesce(digest(t.normalize(F.col("plain_text"), "punct_light")), F.concat(F.lit("own:"), F.col(identity).cast("string"))))
     kept = first_n(passed, [*within, "_key"], [rank_key(salt, identity), F.col(identity)], keep).drop("_key", "keep_rank", "drop_reason")

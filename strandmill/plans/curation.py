@@ -9,6 +9,7 @@ from strandmill.functions.hashing import Sql as H
 from strandmill.functions.hashing import rank_key, split_of
 from strandmill.operators import audits, dedup, ranking, stats
 from strandmill.plans.registry import Registry, table
+from strandmill.sources.shared import written
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -221,7 +222,8 @@ SELECT doc_id, round(threshold, 6) AS threshold, score >= 0.62 AS keep_high, sco
 FROM s JOIN t USING (split, source)""")
 def quantile_threshold_filter(spark, sf_dir):
     rows = scored(documents(spark, sf_dir).select("doc_id", "source", "split", "text"))
-    kept = audits.informative_variants(rows, ["split", "source"], F.col("text").rlike("[0-9]"))
+    rows = written(rows.select("doc_id", "source", "split", "score", F.col("text").rlike("[0-9]").alias("special")), "scores")  # texts are scored once
+    kept = audits.informative_variants(rows, ["split", "source"], F.col("special"))
     return kept.select("doc_id", F.round("threshold", 6).alias("threshold"), "keep_high", "keep_medium", "keep_quantile", "keep_special")
 
 
