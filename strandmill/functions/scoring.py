@@ -165,3 +165,41 @@ def eligibility(thresholds: Thresholds = Thresholds()) -> Column:
         least = getattr(thresholds, name)
         rule = F.when(F.col(name) < least, F.lit(f"{name}<{least}")).otherwise(rule)
     return rule
+
+
+# What in a text gives which tag, tried in this order; theme groups by parts of tags.
+MOTIFS = {"checkmate_pattern": ("mate",), "check": ("check",), "exchange": ("trade", "exchange"), "line_opening": ("open file", "open diagonal")}
+THREATS = {"mate_threat": ("mate",), "forcing_check": ("check",), "king_pressure": ("king",)}
+DEFENCES = {"defensive_response": ("defend", "respond", "legal king move")}
+THEME_GROUPS = {"promotion_related": ("promotion", "promote"), "check_related": ("check", "mate", "evasion"), "castling_related": ("castle", "castling"), "en_passant_related": ("enpassant",)}
+# Labels that could join the keyword map, their patterns, and how likely these mislead.
+CANDIDATE_LABELS = {
+    "trade_up": (("trade the lower value piece for a higher value piece", "trade your lesser piece for a more valuable piece", "more valuable piece"), "low"),
+    "sacrifice_for_attack": (("sacrifice a piece", "surrender a piece"), "medium"),
+    "open_line_attack": (("open file or diagonal", "unlock a file or diagonal", "create an open file or diagonal"), "low"),
+    "piece_activity": (("more actively", "greater board command", "more influence over the board", "control over the board"), "high"),
+    "king_attack_zone": (("opposing king", "enemy king", "near the opposing king", "proximity to the opposing king"), "medium"),
+}
+
+
+def theme_groups(tags: Column) -> list[Column]:
+    """A boolean for each theme group: a tag, without its other signs, has a part of the group."""
+    plain = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", ""))
+    some = lambda parts: F.exists(plain, lambda x: F.greatest(F.lit(False), *[x.contains(p) for p in parts]))
+    return [some(parts).alias(f"theme_{name}") for name, parts in THEME_GROUPS.items()]
+
+
+def verification_gate(missing: Column, mismatched: Column, suspicious: Column) -> Column:
+    return (F.when((missing > 0) | (mismatched > 0), "NOT_VERIFIED").when(suspicious > 0, "VERIFIED_BUT_NEEDS_SANITY_AUDIT").otherwise("VERIFIED_GOOD"))
+
+
+def readiness(matched: dict[str, Column], rationales: dict[str, Column], leaked: Column, enough: tuple[int, int, int] = (100, 25, 25)) -> Column:
+    """``not_ready`` if a split is empty or leaks, ``partially_ready`` if one is small, else ``ready``."""
+    empty = (leaked > 0) | (F.least(*matched.values()) == 0) | (F.least(*rationales.values()) == 0)
+    small = F.greatest(*[matched[s] < n for s, n in zip(("train", "val", "test"), enough)])
+    return F.when(empty, "not_ready").when(small, "partially_ready").otherwise("ready")
+
+
+def signal_state(ap_gain: Column, f1_gain: Column) -> Column:
+    """How much a probe gains over its baseline."""
+    return F.when((ap_gain > 0.06) & (f1_gain > 0.10), "strong").when((ap_gain > 0.02) | (f1_gain > 0.05), "some").otherwise("none")

@@ -129,6 +129,61 @@ def between(column: Column, start: str, ends: list[str]) -> Column:
     return F.regexp_replace(rest, "(?s)(" + "|".join("\\Q" + e + "\\E" for e in ends) + ").*$", "") if ends else rest
 
 
+# How prompts quote a position and name their moves, and the letters of the options.
+QUOTED_POSITION = r'FEN[^"]*"([^"]+)"'
+NAMED_MOVE = r"Move[A-Z]:([a-h][1-8][a-h][1-8][nbrq]?)"
+OPTIONS = ("A", "B", "C", "D")
+
+
+def quoted_position(column) -> Column:
+    """The position that a prompt quotes; null where there is none."""
+    found = strip(F.regexp_extract(text_of(column), QUOTED_POSITION, 1))
+    return F.when(found != "", found)
+
+
+def named_moves(column) -> Column:
+    """The moves that a prompt names, each once, in their order."""
+    return F.array_distinct(F.regexp_extract_all(text_of(column), F.lit(NAMED_MOVE), F.lit(1)))
+
+
+def preferred_option(column) -> Column:
+    """X of ``MoveX:...`` at the start of an answer."""
+    found = F.regexp_extract(strip(text_of(column)), "^Move([^:]*):", 1)
+    return F.when(found != "", found)
+
+
+def option_texts(column, kind: str) -> Column:
+    """``A: ... || B: ...`` with the strategy (after its first comma) or the tactic of each option; null without any."""
+    text, parts = text_of(column), []
+    for letter in OPTIONS:
+        after = [f"Move{chr(ord(letter) + 1)}:", f"Tactic{chr(ord(letter) + 1)}:"]
+        if kind == "strategy":
+            part = strip(between(text, f"Move{letter}:", ["Tactic", after[0]]))
+            told = F.when(part.contains(","), strip(F.regexp_replace(part, "(?s)^[^,]*,", ""))).otherwise(part)
+        else:
+            part = told = strip(between(text, f"Tactic{letter}:", after))
+        parts.append(F.when(part != "", F.concat(F.lit(f"{letter}: "), told)))
+    joined = F.concat_ws(" || ", *parts)
+    return F.when(joined != "", joined)
+
+
+def snippet(column, pattern: str, window: int = 120) -> Column:
+    """The surroundings of the first place of ``pattern``, of any case, with white space collapsed; else the beginning."""
+    text = text_of(column)
+    at = F.instr(F.lower(text), pattern.lower())
+    start = F.greatest(at - window // 2, F.lit(1))
+    return collapse(F.when(at > 0, F.substring(text, start, at - start + len(pattern) + window // 2)).otherwise(F.substring(text, 1, window)))
+
+
+def character_ids(column, vocabulary: str, length: int, unknown: int = 1) -> Column:
+    """Places in ``vocabulary``, from 2, of the first ``length`` characters; others are 1, padding is 0."""
+    known = F.lit("".join(dict.fromkeys(vocabulary)))
+    place = lambda c: F.when(F.instr(known, c) > 0, F.instr(known, c) + 1).otherwise(unknown)
+    text = F.substring(text_of(column), 1, length)
+    spelt = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.concat(F.transform(spelt, lambda c: place(c).cast("int")), F.array_repeat(F.lit(0), F.lit(length) - F.size(spelt)))
+
+
 class Sql:
     """The same rules for DuckDB."""
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.functions.hashing import rank_key
+from strandmill.sources.shared import written
+
 #: Up to so many rows a group, Spark itself cuts each task's groups before the shuffle.
 CUT_BEFORE_SHUFFLE = 1000
 
@@ -94,20 +97,48 @@ def stride(rows: DataFrame, group: str, place: str, every: int, salt: str) -> Da
     return rows.where(F.pmod(F.col(place) - phase, F.lit(every)) == 0)
 
 
+def placed(rows: DataFrame, by, order: list[Column], into: str = "place") -> DataFrame:
+    """``rows`` with their place, from 0, within their group in ``order``, however large the group is.
+
+    Rows are sorted over ranges of (group, order) and counted per range; only the ranges' sizes are summed in order.
+    The ranges are written before both results read them, as another run might cut them elsewhere.
+    """
+    by = names(by)
+    ranged = written(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({
+        "_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_at")) - 1)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n")).select(
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_range") == F.col("_of")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return inside.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_in")).cast("long").alias(into))
+
+
+def rotation(rows: DataFrame, order: list[Column], key: str, by: int, n: int) -> DataFrame:
+    """``(key, partner)``: rows in ``order``, each with the row ``by`` places on, around the end."""
+    at = placed(rows, (), order, "_place").select(key, "_place")
+    to = at.select(F.col(key).alias("partner"), "_place")
+    return at.select(key, F.pmod(F.col("_place") + F.lit(by), F.lit(max(1, n))).alias("_place")).join(to, "_place").select(key, "partner")
+
+
 def derangement(rows: DataFrame, label: str, order: list[Column], key: str) -> DataFrame:
     """``(key, partner)``: rows by label, turned by the largest label's size, so that no one has its own label.
 
-    Fails if a label holds over half of the rows. Places are counted within each label and added to the sizes of the
-    labels before it, so that nothing but the sizes is summed in one place.
+    Fails if a label holds over half of the rows.
     """
-    sizes = group_sizes(rows, label)
-    before = sizes.select(label, "n", F.coalesce(F.sum("n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    stats = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
-    if stats["all"] and 2 * stats["most"] > stats["all"]:
+    sizes = group_sizes(rows, label).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    if sizes["all"] and 2 * sizes["most"] > sizes["all"]:
         raise ValueError("a label holds over half of the rows: no derangement by rotation")
-    placed = rows.withColumn("_in", F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1).join(before, label).select(key, (F.col("_before") + F.col("_in")).alias("_place"))
-    to = placed.select(F.col(key).alias("partner"), F.col("_place"))
-    return placed.select(key, F.pmod(F.col("_place") + F.lit(stats["most"] or 0), F.lit(max(1, stats["all"] or 1))).alias("_place")).join(to, "_place").select(key, "partner")
+    return rotation(rows, [F.col(label), *order], key, sizes["most"] or 0, sizes["all"] or 0)
+
+
+def permutation(rows: DataFrame, key: str, salt: str) -> DataFrame:
+    """``(key, partner)``: every row once as a partner, by the order of a salted digest."""
+    here = placed(rows.select(key), (), [F.col(key)], "_place")
+    there = placed(rows.select(F.col(key).alias("partner")), (), [rank_key(salt, "partner"), F.col("partner")], "_place")
+    return here.join(there, "_place").select(key, "partner")
 
 
 def skyline(rows: DataFrame, key: str, low: list[str], high: list[str], blocks: int = 8) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import text as t
-from strandmill.operators.ranking import names
+from strandmill.operators.ranking import names, placed
 
 
 def vocabulary(rows: DataFrame, text: str, least: int = 2, most: int = 256) -> DataFrame:
@@ -111,18 +111,12 @@ def average_precision(scored: DataFrame, by, score: str, hit: str, key: str) ->
     Rows are placed over ranges of (group, score) and counted per range, so one hot group is ranked in many tasks.
     """
     by = names(by)
-    order = [F.desc(score), F.col(key)]
-    placed = scored.select(*by, score, key, F.col(hit).cast("int").alias("_hit")).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({
-        "_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    inside = Window.partitionBy(*by, "_range").orderBy("_at")
-    counted = placed.withColumns({"_i": F.row_number().over(inside), "_h": F.sum("_hit").over(inside)})
-    ends = counted.groupBy(*by, "_range").agg(F.count("*").alias("_rows"), F.sum("_hit").alias("_hits"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ends.select(*by, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_r0"), F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_h0"))
-    precision = (F.col("_h0") + F.col("_h")) / (F.col("_r0") + F.col("_i"))
-    hits = F.sum("_hit")
-    return counted.join(starts, [*by, "_range"]).groupBy(*by).agg(
-        hits.alias("positives"), F.round(F.when(hits > 0, F.sum(F.when(F.col("_hit") == 1, precision)) / hits).otherwise(0.0), 6).alias("ap"))
+    hits = placed(scored.select(*by, score, key, F.col(hit).cast("int").alias("_hit")), by, [F.desc(score), F.col(key)], "_place").where("_hit = 1")
+    found = placed(hits, by, [F.col("_place")], "_found").select(*by, F.lit(1).alias("_hit"), ((F.col("_found") + 1) / (F.col("_place") + 1)).alias("_precision"))
+    groups = scored.groupBy(*by).agg(F.lit(0).alias("_hit"), F.lit(0.0).alias("_precision"))
+    positives = F.sum("_hit")
+    return found.union(groups).groupBy(*by).agg(
+        positives.alias("positives"), F.round(F.when(positives > 0, F.sum("_precision") / positives).otherwise(0.0), 6).alias("ap"))
 
 
 def f1_by_label(judged: DataFrame, label: str, predicted: str, actual: str, eps: float = 1e-8) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import curation, evaluation
+from strandmill.plans import curation, evaluation, reporting
 
-PARTS = (curation, evaluation)
+PARTS = (curation, evaluation, reporting)
 
 
 def flagship(spark, sf_dir):
