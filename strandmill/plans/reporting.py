@@ -94,9 +94,9 @@ def readiness_report(spark, sf_dir):
 
 
 @query(f"""SELECT label, count(*) AS n, {', '.join(f"count(*) FILTER (split = '{s}') AS {s}" for s in ('train', 'val', 'test'))}, count(*) < 20 AS rare
-FROM (SELECT {SPLIT} AS split, unnest(string_split(labels, ',')) AS label FROM ({hits_sql('text')})) WHERE label <> '' GROUP BY 1""")
+FROM (SELECT {SPLIT} AS split, unnest([lang, source]) AS label FROM documents) WHERE label IS NOT NULL GROUP BY 1""")
 def label_coverage(spark, sf_dir):
-    return reports.label_coverage(documents(spark, sf_dir).select("split", scoring.keyword_labels("text").alias("labels")), "labels", "split")
+    return reports.label_coverage(documents(spark, sf_dir).select("split", F.array_compact(F.array("lang", "source")).alias("labels")), "labels", "split")
 
 
 RULES = "CASE WHEN role IS NULL OR role NOT IN ('system', 'user', 'assistant') THEN 'unknown_role' WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' WHEN turn < 0 THEN 'negative_turn' WHEN role = 'system' AND turn > 0 THEN 'late_system_turn' ELSE 'ok' END"
@@ -250,11 +250,12 @@ def json_props_alias(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(fields["key"], fields["k"]).alias("key"))
 
 
-@query(f"""WITH s AS (SELECT {T.template('html')} AS template, split_part(regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://', ''), '/', 1) AS source, count(*) AS n FROM pages GROUP BY 1, 2)
-SELECT md5(template) AS template, sum(n)::BIGINT AS repeats FROM s WHERE template <> '' GROUP BY s.template HAVING sum(n) > 1 ORDER BY repeats DESC, s.template LIMIT 20""")
-def top_repeated_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(t.template("html").alias("template"), t.domain("url").alias("source"))
-    return dedup.top_repeated(rows, "template", "source").select(F.md5("template").alias("template"), "repeats")
+@query(f"""WITH l AS (SELECT unnest(string_split(coalesce(html, ''), chr(10))) AS line FROM pages), s AS (SELECT {T.template('line')} AS template FROM l)
+SELECT md5(template) AS template, count(*) AS repeats FROM s WHERE template <> '' GROUP BY s.template HAVING count(*) > 1 ORDER BY repeats DESC, s.template LIMIT 20""")
+def top_repeated_lines(spark, sf_dir):
+    """Lines that most pages share."""
+    lines = table(spark, sf_dir, "pages").select(F.explode(F.split(t.text_of("html"), "\n")).alias("line"), t.domain("url").alias("source"))
+    return dedup.top_repeated(lines.select(t.template("line").alias("template"), "source"), "template", "source").select(F.md5("template").alias("template"), "repeats")
 
 
 @query("""WITH c AS (SELECT c_custkey, list_transform(range(1, 13), lambda i: CASE WHEN i > length(c_name) THEN 0 ELSE
