@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,29 +75,22 @@ class Scanner:
 
     def places(self, norm: str) -> list[tuple[int, int, int, int]]:
         """(start, end, edits, notice) in ``norm``, verified, without overlaps: fewest edits for the length first."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int]] = set()
         for end, where in self.seeds.iter(norm):
             for seed in where:
-                room = self.edits[seed.notice] + 1
-                start = end + 1 - seed.size - seed.offset - room
-                stop = start + 2 * room + len(self.notices[seed.notice][1]) + 1
-                known = windows.setdefault(seed.notice, [])
-                if known and start <= known[-1][1]:
-                    known[-1][0], known[-1][1] = min(known[-1][0], start), max(known[-1][1], stop)
-                else:
-                    known.append([start, stop])
-        found = []
-        for i, known in windows.items():
-            for start, stop in known:
-                at, stop = max(0, start), min(len(norm), stop)
-                while (m := self.patterns[i].search(norm, at, stop)) is not None:
-                    found.append((sum(m.fuzzy_counts), m.start() + 1, m.end() - 1, i))
-                    at = m.end() - 1
-        kept: list[tuple[int, int, int, int]] = []
+                windows.add((seed.notice, end - seed.size - seed.offset - self.edits[seed.notice]))
+        # each window holds one place, so a better one nearby hides no other and a search costs a notice's length
+        found = set()
+        for i, start in windows:
+            stop = start + 2 * (self.edits[i] + 1) + len(self.notices[i][1]) + 1
+            if (m := self.patterns[i].search(norm, max(0, start), min(len(norm), stop))) is not None:
+                found.add((sum(m.fuzzy_counts), m.start() + 1, m.end() - 1, i))
+        kept: list[tuple[int, int, int, int]] = []  # in order, without overlaps
         for edits, start, end, i in sorted(found, key=lambda x: (x[0] / len(self.notices[x[3]][1]), x[1] - x[2], x[1], x[3])):
-            if all(end <= a or b <= start for a, b, _, _ in kept):
-                kept.append((start, end, edits, i))
-        return sorted(kept)
+            at = bisect(kept, (start,))
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                kept.insert(at, (start, end, edits, i))
+        return kept
 
     def scan(self, text: str | None) -> dict:
         low = text or ""
@@ -105,15 +99,18 @@ class Scanner:
         norm = f" {' '.join(words)} "
         base = []
         for phrase, label in BASE_PHRASES:
-            at = norm.find(f" {phrase} ")
+            at, seen, word = norm.find(f" {phrase} "), 0, 0
             while at >= 0:
-                base.append({"label": label, "word": norm.count(" ", 0, at)})
-                at = norm.find(f" {phrase} ", at + 1)
+                word += norm.count(" ", seen, at)
+                base.append({"label": label, "word": word})
+                at, seen = norm.find(f" {phrase} ", at + 1), at
         spans = []
         if places := self.places(norm):
             where = [m.span() for m in self.word.finditer(low)]
+            seen, last = 0, -1
             for start, end, edits, i in places:
-                first, last = norm.count(" ", 0, start) - 1, norm.count(" ", 0, end) - 1
+                first = last + norm.count(" ", seen, start)
+                seen, last = end, first + norm.count(" ", start, end)
                 label, notice = self.notices[i]
                 spans.append({"label": label, "start": where[first][0], "end": where[last][1], "edits": edits, "score": 1 - edits / len(notice)})
         return {"n_words": len(words), "base": base, "spans": spans}
