@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,8 +84,9 @@ def lexed_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, str,
 def find_secrets(text: str | None, threshold: float = 0.6) -> list[tuple[int, int, str, int, int]]:
     """All spans of a text in order; lexed ones only where no base span covers them."""
     text = text or ""
-    base = base_spans(text)
-    more = [x for x in lexed_spans(text, threshold) if not any(a <= x[0] and x[3] <= b for a, _, _, b, _ in base)]
+    base = sorted(base_spans(text))
+    reach = list(accumulate((x[3] for x in base), max))  # how far the spans up to each one go
+    more = [x for x in lexed_spans(text, threshold) if not ((i := bisect(base, x[0], key=lambda y: y[0])) and x[3] <= reach[i - 1])]
     return sorted(base + more)
 
 
