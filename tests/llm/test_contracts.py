@@ -51,6 +51,14 @@ def test_op2_edits():
     assert scanner.scan("nothing of the kind")["spans"] == [] and scanner.scan(None)["n_words"] == 0
 
 
+def test_op2_better_places_hide_no_others():
+    scanner = licenses.Scanner()
+    found = scanner.scan("licensed under the apachi license version 2 0 licensed under the apache license version 2 0 " * 3)
+    assert [(s["label"], s["edits"]) for s in found["spans"]] == [("apache", 1), ("apache", 0)] * 3
+    long = scanner.scan("cc by x " * 100_000)
+    assert [b["word"] for b in long["base"][-2:]] == [299_994, 299_997]
+
+
 def test_op3_held_out_accuracy(spark, docs):
     found = run(spark, "op3_language_id").merge(docs, on="doc_id")
     assert list(found["held_out"]) == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found["doc_id"]]
@@ -150,6 +158,12 @@ def test_op8_propagates_constants():
     assert secrets.find_secrets(None) == [] and secrets.find_secrets('password = "changeme"') != [] and secrets.find_secrets("the key to it") == []
 
 
+def test_op8_lexed_spans_inside_base_ones_are_left_out():
+    text = "password = 'abcdefgh12'; signing_key = 'Zx81kQ0pLm'; token: qwertyui99\n"
+    assert [(k, text[a:b]) for a, _, k, b, _ in secrets.find_secrets(text)] == [("assign", "password = 'abcdefgh12"), ("literal", "Zx81kQ0pLm"), ("assign", "token: qwertyui99")]
+    assert len(secrets.find_secrets(text * 5_000)) == 15_000
+
+
 def test_op9_magic_in_payloads(spark, tmp_path):
     trap = f"a{warc.MAGIC}WARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz{warc.END}b"
     long = trap * 30
