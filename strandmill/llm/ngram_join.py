@@ -59,17 +59,21 @@ class Bounds:
         self.edges = np.array(edges)
         #: a set of a n-grams differs from a larger partner by at most (100 - percent) * a / percent
         self.apart = (100 - percent) * (self.edges[1:] - 1) // percent
+        #: below 90 % blocks hold so few n-grams that empty and single ones link strangers: more blocks let these go
+        self.spare = self.apart // 5 + 2 if percent < 90 else 0 * self.apart
 
     def schemes(self, size: int) -> list[tuple[int, int]]:
         """(class, blocks) under which a set shows its blocks: as the smaller and as the larger of a pair."""
         own = int(np.searchsorted(self.edges, size, "right")) - 1
-        return [(c, int(self.apart[c]) + 2) for c in (own, own - 1) if c >= 0 and self.apart[c] > 0]
+        return [(c, int(self.apart[c] + self.spare[c]) + 2) for c in (own, own - 1) if c >= 0 and self.apart[c] > 0]
 
     def blocks(self, grams: np.ndarray) -> np.ndarray:
         """Hashes of a set's column blocks. Equal ones need not be of equal blocks; equal blocks have equal ones.
 
         An empty block says little, so it counts only together with another empty one: of two equal blocks of a pair
-        one has an n-gram, or both are empty.
+        one has an n-gram, or both are empty. With spare blocks a set that has more full ones than its pairs can
+        differ in, say k, shows only the k + 1 fullest: in one order of all blocks, the first k + 1 of either of two
+        linked sets hold an equal one of the other's, which is among the other's first if that leaves blocks out too.
         """
         out = []
         spread = mixed(grams ^ MIX)
@@ -79,7 +83,12 @@ class Bounds:
                 cuts = np.concatenate(([0], np.searchsorted(grams, (np.arange(1, n) * (2**64 / n)).astype(np.uint64)), [len(grams)]))
                 full = np.diff(cuts) > 0
                 tag = np.uint64(c) * np.uint64(1 << 32) + np.arange(n, dtype=np.uint64)
-                out.append(mixed((sums[cuts[1:]] - sums[cuts[:-1]]) + mixed(tag))[full])
+                hashes = mixed((sums[cuts[1:]] - sums[cuts[:-1]]) + mixed(tag))[full]
+                k = min(int(self.apart[c]), (100 - self.percent) * len(grams) // self.percent)
+                if self.spare[c] and len(hashes) > k:
+                    out.append(hashes[np.lexsort((hashes, -np.diff(cuts)[full]))[:k + 1]])
+                    continue
+                out.append(hashes)
                 empty = tag[~full]
                 if len(empty) > 1:
                     i, j = np.triu_indices(len(empty), 1)
