@@ -35,8 +35,14 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|changeme|example\w*|your\w*|<.*>|\$\{.*\}|
 
 PAIR = re.compile(
     r"""(?P<q>["']?)(?P<name>\b[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.){0,4096})"|'(?P<single>(?:[^'\\\n]|\\.){0,4096})'|\$?\{?(?P<bare>[A-Za-z_][A-Za-z0-9_.]{0,63})\b(?![("'\[])|(?P<word>[A-Za-z0-9+/_.=~!@%^-]{8,4096}))""",
+    r"""(?:"(?P<double>(?:[^"\\\n]|\\.){0,4096})"|'(?P<single>(?:[^'\\\n]|\\.){0,4096})'|(?:\$\{?|\{)(?P<ref>[A-Za-z_][A-Za-z0-9_.]{0,63})\b(?![("'\[])|(?P<open>(?=[A-Za-z0-9+/_.=~!@%^-])))""",
     re.ASCII)
+#: An unquoted value is a whole run of these; a name if it is nothing else, or a call if it is a path before a bracket.
+RUN = re.compile(r"[A-Za-z0-9+/_.=~!@%^-]{1,4096}", re.ASCII)
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}", re.ASCII)
+CALL = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+", re.ASCII)
+#: Pairs inside another pair's unquoted value are scored by so many characters of theirs; their spans are whole.
+INNER = 256
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
@@ -63,21 +69,41 @@ def lexed_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, str,
     """Literals whose name, or a name they reach through constants, is sensitive; scored name times strength."""
     if not SENSITIVE.search(text):
         return []
-    constants: dict[str, tuple[str, int, int]] = {}
+    constants: dict[str, tuple[int, int]] = {}
+    strengths: dict[tuple[int, int], float] = {}
     best: dict[tuple[int, int], float] = {}
-    for m in PAIR.finditer(text):
-        name, kind = m["name"], next(k for k in ("double", "single", "bare", "word") if m[k] is not None)
-        if kind == "bare":
-            found = constants.get(m[kind]) or ((m[kind], *m.span(kind)) if any(c.isdigit() for c in m[kind]) else None)
+    at = until = 0  # until: the end of the last unquoted value
+    while m := PAIR.search(text, at):
+        name, kind = m["name"], next(k for k in ("double", "single", "ref", "open") if m[k] is not None)
+        (start, end), at, inner = m.span(kind), m.end(), False
+        ident, literal = "", None  # what may name a constant, and the span of a literal
+        if kind == "ref":
+            ident = m[kind]
+            literal = (start, end) if any(c.isdigit() for c in ident) else None
+        elif kind != "open":
+            literal = start, end
         else:
-            found = m[kind], *m.span(kind)
-        if found is None:
-            continue
-        constants[name] = found
-        value, start, end = found
-        score = name_weight(name) * literal_strength(value)
-        if score >= threshold:
-            best[start, end] = max(score, best.get((start, end), 0.0))
+            inner = start < until
+            until = end = until if inner else RUN.match(text, start).end()
+            head = IDENTIFIER.match(text, start)
+            ident, whole, then = head[0].rstrip(".") if head else "", bool(head) and head.end() == end, text[end:end + 1]
+            if whole and then not in ("(", "[", '"', "'"):
+                literal = (start, start + len(ident)) if any(c.isdigit() for c in ident) else None
+            elif end - start < 8 or whole and then in ("(", "[") and CALL.fullmatch(head[0]):
+                continue
+            else:
+                literal = start, end
+        constant = constants.get(ident)
+        weight = name_weight(name)
+        for span in {constant, None if constant and ident == text[start:end].rstrip(".") else literal} - {None} if weight else ():
+            if span not in strengths:
+                strengths[span] = literal_strength(text[span[0]:min(span[1], span[0] + INNER) if inner and span == literal else span[1]])
+            score = weight * strengths[span]
+            if score >= threshold:
+                best[span] = max(score, best.get(span, 0.0))
+                at = until if span == (start, until) else at
+        if constant or literal:
+            constants[name] = constant or literal
     return [(start, 3, "literal", end, start) for start, end in best]
 
 

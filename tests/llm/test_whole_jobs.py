@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandmill.llm import ngram_join
+from strandmill.llm import ngram_join, secrets
 
 
 def grouped(texts, size, percent):
@@ -62,3 +62,24 @@ def test_linked_sets_share_a_block(percent):
             one = np.unique(grams)
             if not np.array_equal(one, other):
                 assert len(np.intersect1d(bounds.blocks(one), bounds.blocks(other)))
+
+
+def values(text):
+    return [text[a:b] for a, _, k, b, _ in secrets.find_secrets(text) if k == "literal"]
+
+
+@pytest.mark.parametrize("line, value", [
+    ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+    ("DB_PASSPHRASE=ab1cd-efgh-9999-zzzz", "ab1cd-efgh-9999-zzzz"), ("signing_key=abcd1234efgh+tail==", "abcd1234efgh+tail=="),
+    ("a = b = signing_key = hunter2x9/q", "hunter2x9/q"), ("run = tool-signing_key=abc123def456", "abc123def456"),
+])
+def test_unquoted_values_are_whole(line, value):
+    assert values(f"x\n{line}\ny\n") == [value]
+    spans = secrets.find_secrets(line)
+    assert value not in secrets.redacted(line, spans) and secrets.redacted(line, spans).endswith("[REDACTED]")
+
+
+def test_names_and_calls_are_no_literals():
+    assert values('KEY_A = "x9f3kq81mzt7"\nsigning_key = KEY_A.\n') == ["x9f3kq81mzt7"]
+    assert values('KEY_A = "x9f3kq81mzt7"\nsigning_key=KEY_A+tail0123\n') == ["x9f3kq81mzt7", "KEY_A+tail0123"]
+    assert values('passphrase = config.get("x")\nsigning_key = other_name\n') == []
