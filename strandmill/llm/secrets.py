@@ -35,10 +35,10 @@ PLACEHOLDER = re.compile(r"^(?:x+|\*+|changeme|example\w*|your\w*|<.*>|\$\{.*\}|
 
 PAIR = re.compile(
     r"""(?P<q>["']?)(?P<name>\b[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.){0,4096})"|'(?P<single>(?:[^'\\\n]|\\.){0,4096})'|(?:\$\{?|\{)(?P<ref>[A-Za-z_][A-Za-z0-9_.]{0,63})\b(?![("'\[])|(?P<open>(?=[A-Za-z0-9+/_.=~!@%^-])))""",
+    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|(?:\$\{?|\{)(?P<ref>[A-Za-z_][A-Za-z0-9_.]{0,63})\b(?![("'\[])|(?P<open>(?=[A-Za-z0-9+/_.=~!@%^-])))""",
     re.ASCII)
 #: An unquoted value is a whole run of these; a name if it is nothing else, or a call if it is a path before a bracket.
-RUN = re.compile(r"[A-Za-z0-9+/_.=~!@%^-]{1,4096}", re.ASCII)
+RUN = re.compile(r"[A-Za-z0-9+/_.=~!@%^-]++", re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}", re.ASCII)
 CALL = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+", re.ASCII)
 #: Pairs inside another pair's unquoted value are scored by so many characters of theirs; their spans are whole.

@@ -83,3 +83,10 @@ def test_names_and_calls_are_no_literals():
     assert values('KEY_A = "x9f3kq81mzt7"\nsigning_key = KEY_A.\n') == ["x9f3kq81mzt7"]
     assert values('KEY_A = "x9f3kq81mzt7"\nsigning_key=KEY_A+tail0123\n') == ["x9f3kq81mzt7", "KEY_A+tail0123"]
     assert values('passphrase = config.get("x")\nsigning_key = other_name\n') == []
+
+
+@pytest.mark.parametrize("quote", ['"', "'", ""])
+def test_long_literals_are_whole(quote):
+    value = "aB3/" * 2_500
+    text = f"private_key = {quote}{value}{quote}\nend"
+    assert values(text) == [value] and secrets.redacted(text, secrets.find_secrets(text)) == f"private_key = {quote}[REDACTED]{quote}\nend"
