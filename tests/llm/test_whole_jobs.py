@@ -90,3 +90,8 @@ def test_long_literals_are_whole(quote):
     value = "aB3/" * 2_500
     text = f"private_key = {quote}{value}{quote}\nend"
     assert values(text) == [value] and secrets.redacted(text, secrets.find_secrets(text)) == f"private_key = {quote}[REDACTED]{quote}\nend"
+
+
+@pytest.mark.parametrize("name", ["DB_PASS_WORD", "pass-phrase", "pass_wd", "p.w.d", "to_ken", "API_k_e_y"])
+def test_parted_names_are_seen(name):
+    assert secrets.name_weight(name) > 0 and values(f'{name} = "x9f3kq81mzt7"') == ["x9f3kq81mzt7"]
