@@ -76,17 +76,33 @@ def portions(texts: list, rows: int = 64, characters: int = 400_000) -> Iterator
         yield start, len(texts)
 
 
+def equal_shares(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """``most`` rows dealt evenly over languages; what small ones leave goes to the others, and each gets one."""
+    out, left = {}, most
+    for i, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = max(1, min(n, left // (len(sizes) - i)))
+        left -= out[name]
+    return out
+
+
 def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
                  max_docs: int = 20_000, dimensions: int = 1024, seed: int = 17) -> tuple[list[str], np.ndarray]:
     """Language names and their prototypes, unit rows: the bundles of labelled texts, summed by language.
 
-    Learns from at most about ``max_docs`` labelled rows, picked by hash of ``key``; the parameter bounds the sample
-    (in expectation), not the prediction. Partial sums leave the tasks, and Spark adds them by language and dimension,
+    Learns from at most about ``max_docs`` labelled rows, picked by hash of ``key`` and text within each language, which
+    get equal shares as far as they have rows; every labelled language is learned, with one row at least. The parameter
+    bounds the sample (in expectation), not the prediction. Partial sums leave the tasks, and Spark adds them by language and dimension,
     so the driver receives languages x dimensions numbers. Rows with a null language or text are not learnt from.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, max_docs / max(1, labelled.count()))
-    picked = labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)) if share < 1 else labelled
+    digest = F.shiftrightunsigned(F.xxhash64(key, F.col(text).cast("string")), 11)  # 53 bits
+    sizes = {r["l"]: (r["n"], r["least"]) for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.min(digest).alias("least")).collect()}
+    picked = labelled
+    if sum(n for n, _ in sizes.values()) > max_docs:
+        seats = equal_shares({name: n for name, (n, _) in sizes.items()}, max_docs)
+        bounds = [(name, max(least + 1, (seats[name] << 53) // n)) for name, (n, least) in sizes.items()]
+        known = docs.sparkSession.createDataFrame(bounds, f"_learned {docs.schema[lang].dataType.simpleString()}, _bound long")
+        picked = labelled.join(F.broadcast(known), F.col(lang) == F.col("_learned")).where(digest < F.col("_bound"))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dimensions, seed), {}

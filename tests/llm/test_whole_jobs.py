@@ -2,7 +2,7 @@
 
 import pytest
 
-from strandmill.llm import ngram_join, secrets
+from strandmill.llm import language, ngram_join, secrets
 
 
 def grouped(texts, size, percent):
@@ -95,3 +95,13 @@ def test_long_literals_are_whole(quote):
 @pytest.mark.parametrize("name", ["DB_PASS_WORD", "pass-phrase", "pass_wd", "p.w.d", "to_ken", "API_k_e_y"])
 def test_parted_names_are_seen(name):
     assert secrets.name_weight(name) > 0 and values(f'{name} = "x9f3kq81mzt7"') == ["x9f3kq81mzt7"]
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, "some plain words of a common tongue", "en") for i in range(3000)] + [(i, "ein paar einfache Worte", "de") for i in range(3000, 3400)]
+    rows += [(3400 + i, "несколько простых слов", f"rare{i}") for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, profiles = language.fit_profiles(frame, max_docs=60)
+    assert names == ["de", "en", *(f"rare{i}" for i in range(6))] and profiles.shape[0] == 8
+    assert language.equal_shares({"a": 1000, "b": 3, "c": 50}, 60) == {"b": 3, "c": 28, "a": 29}
+    assert language.equal_shares({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
