@@ -25,6 +25,23 @@ def test_entry(spark):
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
 
 
+def test_the_rest_stands_alone(tmp_path):
+    """A copy without the training-data folders still lists the other queries, with and without the pipeline's file."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(catalog.__file__).resolve().parent.parent.parent
+    for pipeline in (True, False):
+        copy = tmp_path / f"copy{pipeline}"
+        shutil.copytree(root / "strandmill", copy / "strandmill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline and (root / "corpus_pipeline.py").exists() else [])):
+            shutil.copy(root / name, copy / name)
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries())); e.oracle_sql()"], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert said.returncode == 0 and said.stdout.split() == sorted(catalog.queries()), said.stderr
+
+
 def test_library_does_not_import_training_data_operators():
     from pathlib import Path
 
