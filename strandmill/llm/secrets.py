@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from strandmill.llm.common import slices
+from strandmill.llm.lexing import INNER, LOGIN, Target, read
 
 #: Kinds in the order of ties; the first three are the base.
 KINDS = ("assign", "access", "hex", "literal")
@@ -32,16 +33,8 @@ NAME_WEIGHTS = (
 )
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|changeme|example\w*|your\w*|<.*>|\$\{.*\}|none|null|true|false|todo)$", re.IGNORECASE | re.ASCII)
 
-PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>\b[A-Za-z_][A-Za-z0-9_.-]{0,63})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*+)"|'(?P<single>(?:[^'\\\n]|\\.)*+)'|(?:\$\{?|\{)(?P<ref>[A-Za-z_][A-Za-z0-9_.]{0,63})\b(?![("'\[])|(?P<open>(?=[A-Za-z0-9+/_.=~!@%^-])))""",
-    re.ASCII)
-#: An unquoted value is a whole run of these; a name if it is nothing else, or a call if it is a path before a bracket.
-RUN = re.compile(r"[A-Za-z0-9+/_.=~!@%^-]++", re.ASCII)
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,63}", re.ASCII)
-CALL = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+", re.ASCII)
-#: Pairs inside another pair's unquoted value are scored by so many characters of theirs; their spans are whole.
-INNER = 256
+#: Names whose values may hold white space.
+PHRASE = re.compile("pass|pwd", re.IGNORECASE)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
@@ -56,55 +49,71 @@ def name_weight(name: str) -> float:
     return max((w for part, w in NAME_WEIGHTS if part in plain), default=0.0)
 
 
-def literal_strength(value: str) -> float:
-    """From 0 to 1: placeholders and short or uniform values are weak, long varied ones strong."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def literal_strength(value: str, phrase: bool = False) -> float:
+    """From 0 to 1: placeholders and short or uniform values are weak, long varied ones strong.
+
+    White space makes a value worthless but for a pass phrase: three words or more, one of them with a digit or sign.
+    Line ends don't count, nor do lines of dashes such as those around keys.
+    """
+    if "\n" in value:
+        value = "".join(x.strip() for x in value.splitlines() if not x.lstrip().startswith("-----"))
+    if len(value) < 8 or PLACEHOLDER.match(value):
         return 0.0
+    if len(words := value.split()) > 1 or value != value.strip():
+        if not phrase or len(words) < 3 or not any(not c.isalpha() for word in words for c in word):
+            return 0.0
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
     return min(1.0, entropy / 3.0) * (1.0 if any(c.isdigit() for c in value) else 0.7)
 
 
+def reached(targets: list[Target]) -> list[tuple[Target, float]]:
+    """Targets with the largest weight that reaches them: their own, or that of a target they are a constant of.
+
+    Weights run from the heaviest name on through the graph of constants, so each definition is settled once and
+    cycles end; where a name is defined, above or below its use, does not matter.
+    """
+    defined: dict[str, list[int]] = {}
+    for i, target in enumerate(targets):
+        if target.name:
+            defined.setdefault(target.name, []).append(i)
+    weights = [target.weight for target in targets]
+    order = sorted((i for i, w in enumerate(weights) if w > 0), key=lambda i: -weights[i])
+    done: set[str] = set()
+    for start in order:
+        more = [start]
+        while more:
+            for name in targets[more.pop()].references:
+                if name not in done:
+                    done.add(name)
+                    for i in defined.get(name, ()):
+                        weights[i] = max(weights[i], weights[start])
+                        more.append(i)
+    return [(target, w) for target, w in zip(targets, weights) if w > 0]
+
+
 def lexed_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, str, int, int]]:
     """Literals whose name, or a name they reach through constants, is sensitive; scored name times strength."""
     plain = text.lower().replace("_", "").replace("-", "").replace(".", "")  # as name_weight sees any name in it
-    if not any(part in plain for part, _ in NAME_WEIGHTS):
+    if not any(part in plain for part, _ in NAME_WEIGHTS) and not LOGIN.search(text):
         return []
-    constants: dict[str, tuple[int, int]] = {}
-    strengths: dict[tuple[int, int], float] = {}
     best: dict[tuple[int, int], float] = {}
-    at = until = 0  # until: the end of the last unquoted value
-    while m := PAIR.search(text, at):
-        name, kind = m["name"], next(k for k in ("double", "single", "ref", "open") if m[k] is not None)
-        (start, end), at, inner = m.span(kind), m.end(), False
-        ident, literal = "", None  # what may name a constant, and the span of a literal
-        if kind == "ref":
-            ident = m[kind]
-            literal = (start, end) if any(c.isdigit() for c in ident) else None
-        elif kind != "open":
-            literal = start, end
-        else:
-            inner = start < until
-            until = end = until if inner else RUN.match(text, start).end()
-            head = IDENTIFIER.match(text, start)
-            ident, whole, then = head[0].rstrip(".") if head else "", bool(head) and head.end() == end, text[end:end + 1]
-            if whole and then not in ("(", "[", '"', "'"):
-                literal = (start, start + len(ident)) if any(c.isdigit() for c in ident) else None
-            elif end - start < 8 or whole and then in ("(", "[") and CALL.fullmatch(head[0]):
-                continue
-            else:
-                literal = start, end
-        constant = constants.get(ident)
-        weight = name_weight(name)
-        for span in {constant, None if constant and ident == text[start:end].rstrip(".") else literal} - {None} if weight else ():
-            if span not in strengths:
-                strengths[span] = literal_strength(text[span[0]:min(span[1], span[0] + INNER) if inner and span == literal else span[1]])
-            score = weight * strengths[span]
-            if score >= threshold:
-                best[span] = max(score, best.get(span, 0.0))
-                at = until if span == (start, until) else at
-        if constant or literal:
-            constants[name] = constant or literal
-    return [(start, 3, "literal", end, start) for start, end in best]
+    weigh = lru_cache(4096)(name_weight)
+    for targets in read(text, weigh):
+        constants = {x.name for x in targets if x.literals and len(x.name) >= 8}
+        for target, weight in reached(targets):
+            phrase, inner = PHRASE.search(target.name) is not None, INNER if target.inner else len(text)
+            values = [text[a:min(b, a + inner)] for a, b in target.literals]
+            whole = literal_strength("".join(values), phrase) if len(values) > 1 else 0.0  # concatenations are folded
+            for span, value in zip(target.literals, values):
+                score = weight * max(whole, literal_strength(value, phrase)) if value not in constants else 0.0
+                if score >= threshold and value:
+                    best[span] = max(score, best.get(span, 0.0))
+    out, last = [], -1
+    for start, end in sorted(best, key=lambda x: (x[0], -x[1])):  # of spans inside another the outer one is enough
+        if end > last:
+            out.append((start, 3, "literal", end, start))
+            last = end
+    return out
 
 
 def find_secrets(text: str | None, threshold: float = 0.6) -> list[tuple[int, int, str, int, int]]:
@@ -163,7 +172,3 @@ def op8_secret_scans(spark, sf_dir):
     base = F.filter("secrets", lambda x: x["kind"].isin(*KINDS[:3]))
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
-
-
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
