@@ -203,6 +203,36 @@ def test_op10_odd_vectors(spark):
     assert vectors.nearest(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_op10_equal_vectors_and_far_queries(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 24))
+    x[100:700] = x[100]  # a hot vector, at many keys
+    x[700:] *= rng.uniform(0.1, 9, (200, 1))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[5].tolist())], "vec_id long, embedding array<double>")
+    hits, plans = 0, []
+    found = vectors.nearest(frame, F.col("vec_id") % 20 == 0, plans=plans).toPandas()
+    for q in range(0, 900, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        own, true = found[found["query_id"] == q].sort_values("rank"), np.lexsort((np.arange(900), -np.round(scores, 9)))[:20]
+        assert list(own["rank"]) == list(range(1, 21)) and np.allclose(own["score"], scores[own["vec_id"]], atol=1e-9)
+        hits += len(set(own["vec_id"]) & set(true))
+    assert hits >= 0.9 * 45 * 20 and plans[0].recall >= 0.9
+
+
+def test_op10_codes_within_the_radius_of_the_pigeonhole_are_all_retrieved(spark):
+    rng = np.random.default_rng(4)
+    plan = vectors.Plan(8, 6, 1, 11, 0.0, 0.0)  # 6 substrings, 1 bit each: distances up to 2 * 6 - 1
+    turns = np.eye(48)
+    x = rng.choice([-1.0, 1.0], (300, 48))
+    asks = np.array([np.where(rng.permutation(48) < n, -1, 1) * x[i] for i, n in enumerate(range(0, 12))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cid long, v array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asks)], "cid long, v array<double>")
+    for block_rows in (30, 1000):  # with salts and prefixes, and without
+        found = {(r["q"], r["cid"]) for r in vectors.retrieve(rows, queries, plan, np.vstack((turns, np.zeros(48))), 48**0.5, 300, block_rows).collect()}
+        assert found == {(q, i) for q, a in enumerate(asks) for i, b in enumerate(x) if (a != b).sum() <= 11}
+
+
 ODD = [(1, None, "en", None), (2, "", None, "a"), (3, "", "en", "a"), (4, "Word " * 20_000, "en", "a"), (5, "same text of five words", "en", None), (5, "same text of five words", "en", None),
        (None, "same text of five words", "de", "b"), (6, "1234 5678", "de", "b"), (7, "Das ist ein kurzer Text", "de", "b")]
 SCHEMA = "doc_id long, text string, lang string, source string"
