@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,53 +13,71 @@ from pyspark.sql.functions import arrow_udf
 
 from strandmill.llm.common import slices
 
-#: Letters share this many vectors: 0 stands between words, a to z have their own, others are dealt by code point.
-LETTERS = 64
 UNKNOWN = "und"
+#: More values than this in the language column are no languages; profiles of so many fit a driver and a task.
+MOST_LANGUAGES = 10_000
 
 
 class Encoder:
-    """Turns texts into bundles: the sum, over a text's letter trigrams, of shift2(a) * shift1(b) * c."""
+    """Turns texts into bundles: the sum, over a text's letter trigrams, of shift2(a) * shift1(b) * c.
+
+    Every letter, of any script, has a random vector of its own, drawn from its code point as the seed when it is first
+    met, so that all tasks agree; what stands between words has one too.
+    """
 
     def __init__(self, dimensions: int = 1024, seed: int = 17):
-        points = np.arange(0x110000, dtype=np.int64)
-        letter = np.frombuffer(bytes(chr(i).isalpha() for i in points), np.uint8).astype(bool)
-        self.ids = np.where(letter, 27 + (points * 2654435761 >> 16) % (LETTERS - 27), 0).astype(np.int32)
-        self.ids[ord("a"):ord("z") + 1] = np.arange(1, 27)
-        c = np.random.default_rng(seed).choice(np.float32([-1, 1]), (LETTERS, dimensions))
-        self.parts = np.roll(c, 2, 1), np.roll(c, 1, 1), c
-        self.dimensions, self.at = dimensions, np.zeros(LETTERS**3, np.int64)
+        self.dimensions, self.seed = dimensions, seed
+        self.place = np.full(0x110000, -1, np.int32)  # of code points met so far among the vectors; 0 between words
+        self.vectors = np.empty((256, dimensions), np.int8)
+        self.vectors[0], self.met = self.draw(0), 1
+
+    def draw(self, point: int) -> np.ndarray:
+        return np.random.default_rng((self.seed, point)).integers(0, 2, self.dimensions, np.int8) * 2 - 1
+
+    def places(self, points: np.ndarray) -> np.ndarray:
+        found = self.place[points]
+        if (found < 0).any():
+            for point in np.unique(points[found < 0]).tolist():
+                if not chr(point).isalpha():
+                    self.place[point] = 0
+                    continue
+                if self.met == len(self.vectors):
+                    self.vectors = np.concatenate((self.vectors, np.empty_like(self.vectors)))
+                self.vectors[self.met] = self.draw(point)
+                self.place[point] = self.met
+                self.met += 1
+            found = self.place[points]
+        return found
 
     def trigrams(self, text: str | None) -> np.ndarray:
-        points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        ids = self.ids[points]
+        """Rows of places of three letters."""
+        ids = self.places(np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32))
         if not ids.any():
-            return np.zeros(0, np.int32)
-        ids = np.concatenate(([0], ids, [0]))
+            return np.zeros(0, np.int64)
+        ids = np.concatenate(([0], ids, [0])).astype(np.int64)
         ids = ids[np.concatenate(([True], (ids[1:] != 0) | (ids[:-1] != 0)))]
         ids = np.concatenate((ids, [0])) if len(ids) < 3 else ids
-        return (ids[:-2] * LETTERS + ids[1:-1]) * LETTERS + ids[2:]
+        return (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
 
     def encode(self, texts: list) -> np.ndarray:
         """A row of unit length for each text; zeros for a text without a letter."""
         codes = [self.trigrams(x) for x in texts]
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+        bundles = np.zeros((len(texts), self.dimensions), np.float32)
         if not len(flat):
-            return np.zeros((len(texts), self.dimensions), np.float32)
-        seen = np.zeros(LETTERS**3, bool)
-        seen[flat] = True
-        known = np.flatnonzero(seen)
-        self.at[known] = np.arange(len(known))
+            return bundles
+        at, known = pd.factorize(flat)
         rows = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
-        counts = np.bincount(rows * len(known) + self.at[flat], minlength=len(codes) * len(known)).reshape(len(codes), -1)
-        a, b, c = self.parts
-        bundles = np.zeros((len(codes), self.dimensions), np.float32)
-        for start in range(0, len(known), 1024):  # bound vectors of a thousand trigrams at a time
-            some = known[start:start + 1024]
-            bound = a[some // LETTERS**2]
-            bound *= b[some // LETTERS % LETTERS]
-            bound *= c[some % LETTERS]
-            bundles += counts[:, start:start + 1024].astype(np.float32) @ bound
+        for start in range(0, len(known), 16_384):  # counts of so many trigrams at a time, bound vectors of a thousand
+            some = known[start:start + 16_384]
+            inside = (at >= start) & (at < start + len(some)) if len(known) > len(some) else slice(None)
+            counts = np.bincount(rows[inside] * len(some) + at[inside] - start, minlength=len(codes) * len(some)).reshape(len(codes), -1)
+            for low in range(0, len(some), 1024):
+                few = some[low:low + 1024]
+                bound = np.roll(self.vectors[few >> 42], 2, 1)
+                bound *= np.roll(self.vectors[few >> 21 & 0x1FFFFF], 1, 1)
+                bound *= self.vectors[few & 0x1FFFFF]
+                bundles += counts[:, low:low + 1024].astype(np.float32) @ bound.astype(np.float32)
         length = np.linalg.norm(bundles, axis=1, keepdims=True)
         return np.divide(bundles, length, out=np.zeros_like(bundles), where=length > 0)
 
@@ -92,11 +111,14 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: s
     Learns from at most about ``max_docs`` labelled rows, picked by hash of ``key`` and text within each language, which
     get equal shares as far as they have rows; every labelled language is learned, with one row at least. The parameter
     bounds the sample (in expectation), not the prediction. Partial sums leave the tasks, and Spark adds them by language and dimension,
-    so the driver receives languages x dimensions numbers. Rows with a null language or text are not learnt from.
+    so the driver receives languages x dimensions numbers, of ``MOST_LANGUAGES`` at most: more are an error. Rows with a
+    null language or text are not learnt from.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     digest = F.shiftrightunsigned(F.xxhash64(key, F.col(text).cast("string")), 11)  # 53 bits
-    sizes = {r["l"]: (r["n"], r["least"]) for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.min(digest).alias("least")).collect()}
+    sizes = {r["l"]: (r["n"], r["least"]) for r in labelled.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n"), F.min(digest).alias("least")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} values in {lang}: these are no languages")
     picked = labelled
     if sum(n for n, _ in sizes.values()) > max_docs:
         seats = equal_shares({name: n for name, (n, _) in sizes.items()}, max_docs)

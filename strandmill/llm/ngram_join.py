@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandmill.llm.common import components, materialize, slices
+from strandmill.llm.common import components, join_hot, materialize, running_sum, slices
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows without a key get numbers from this on.
@@ -229,6 +229,9 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     Rows of equal sets form a class (found by partial aggregation, never listed), and one row of each class takes part
     in the join. Row blocks hold about ``block_weight`` n-grams, which bounds a task's memory however large a group is.
+    Candidate groups are first held against one row each; only pairs of which one is not linked to that row are left
+    for the blocks, so a group around one text costs its size, not its square. Texts are read twice: all of them for
+    their blocks, candidates once more for their sets.
     """
     base = docs.select(identity(key, text).alias("id"), F.col(text).cast("string").alias("text"))
     of_set = ["n", "h1", "h2"]
@@ -240,33 +243,50 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     shaped = seen.where(F.size("blocks") > 0).join(repeated, of_set, "left")
     one = shaped.where("node = id").dropDuplicates(of_set).select("node", "blocks")
     shown = shaped.where("node is null").select(F.col("id").alias("node"), "blocks").union(one).select("node", F.explode("blocks").alias("block"))
-    star = Window.partitionBy("block").orderBy("node")
-    drawn = shown.withColumn("hub", F.first("node").over(star)).where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    groups = components(drawn, "ngram-candidates")
+    shared = materialize(shown.groupBy("block").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1"), "ngram-blocks")
+    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    met = materialize(join_hot(shown, shared, "block", "c", total).groupBy("node", "hub").agg(F.sum("c").alias("met")), "ngram-met")
+    groups = components(met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), "ngram-candidates")
 
-    # 2. row blocks of each candidate group, by size, and the block pairs whose sizes allow links
-    by_size = Window.partitionBy("component").orderBy("most", "node")
-    sized = groups.join(classes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most")), "node")
+    # 2. the sets of candidates only: their rows are found by key, broadcast while they are few
     weight = F.col("most") + 2000
-    placed = materialize(sized.withColumn("part", F.floor((F.sum(weight).over(by_size) - weight) / F.lit(block_weight))), "ngram-placed")
-    spans = placed.groupBy("component", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    x, y = spans.alias("x"), spans.alias("y")
-    two = (x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.part") <= F.col("y.part")) & (F.col("x.most") * 100 >= F.col("y.least") * percent))
-           .select(F.col("x.component").alias("component"), F.col("x.part").alias("l"), F.col("y.part").alias("r")))
-    seats = two.select("component", "l", "r", F.col("l").alias("part"), F.lit(0).alias("side")).union(
-        two.where("l < r").select("component", "l", "r", F.col("r").alias("part"), F.lit(1).alias("side")))
-
-    # 3. the sets of candidates only: their rows are found by key, broadcast while they are few
-    wanted = placed.select(F.col("node").alias("id"), "component", "part")
-    if placed.count() <= broadcast_rows:
+    sized = materialize(groups.join(classes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most")), "node")
+                        .join(met.groupBy("node").agg(F.sum("met").alias("met")), "node", "left"), "ngram-sized")
+    wanted = sized.select(F.col("node").alias("id"))
+    candidates = sized.count()
+    if candidates <= broadcast_rows:
         wanted = F.broadcast(wanted)
-    filled = (base.join(wanted, "id").select(F.col("id").alias("node"), "component", "part", sets(F.col("text"), size).alias("grams"))
-              .where(F.size("grams") > 0).withColumn("same", F.xxhash64("grams")).dropDuplicates(["node", "same"]).drop("same"))
-    work = (filled.join(seats, ["component", "part"]).select("component", "l", "r", "side", "node", "grams")
-            .repartition("component", "l", "r").sortWithinPartitions("component", "l", "r", "side", "node"))
-    found = components(work.mapInArrow(product_links(percent), "a long, b long"), "ngram-links").withColumnRenamed("component", "label")
-
-    # 4. every row's component by its class; most classes are one row without links
+    filled = materialize(base.join(wanted, "id").select(F.col("id").alias("node"), sets(F.col("text"), size).alias("grams"))
+                         .where(F.size("grams") > 0).withColumn("same", F.xxhash64("grams")).dropDuplicates(["node", "same"]).drop("same"), "ngram-sets")
+
+    def products(seats: DataFrame) -> DataFrame:
+        """Links of the block pairs (component, l, r) that ``seats(node, component, l, r, side)`` fills."""
+        work = filled.join(seats, "node").select("component", "l", "r", "side", "node", "grams")
+        return work.repartition("component", "l", "r").sortWithinPartitions("component", "l", "r", "side", "node").mapInArrow(product_links(percent), "a long, b long")
+
+    # 3. all of a group against its row that met the most others, in parts; what it links needs no comparison with each other
+    whole = sized.groupBy("component").agg(F.max_by("node", F.struct("met", "node")).alias("head"), F.ceil(F.sum(weight) / F.lit(block_weight)).alias("parts"))
+    dealt = join_hot(sized.select("node", "component"), whole.join(sized.groupBy("component").agg(F.count("*").alias("c")), "component"), "component", "c", candidates).withColumn("l", F.pmod(F.xxhash64("node"), F.col("parts")))
+    seats = dealt.where("node <> head").select("node", "component", "l", F.lit(-1).alias("r"), F.lit(0).alias("side")).union(
+        whole.select(F.col("head").alias("node"), "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("l"), F.lit(-1), F.lit(1)))
+    near = materialize(products(seats), "ngram-heads")
+    linked = near.select("a", "b").join(whole.select(F.col("head").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).union(whole.select(F.col("head").alias("node"))).distinct()
+    marked = sized.join(linked.withColumn("_l", F.lit(True)), "node", "left").withColumn("close", F.coalesce("_l", F.lit(False))).drop("_l")
+    left = marked.groupBy("component").agg(F.count_if(~F.col("close")).alias("left"), F.count("*").alias("c")).where("left > 0").drop("left")
+
+    # 4. row blocks of the groups that have rows left, by size, and the block pairs whose sizes allow links
+    placed = materialize(running_sum(join_hot(marked, left, "component", "c", candidates), ["component", "close"], ["most", "node"], weight, "upto", "ngram-order").withColumn("part", F.floor(F.col("upto") / F.lit(block_weight))), "ngram-placed")
+    spans = placed.groupBy("component", "close", "part").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    x, y = spans.where("not close").alias("x"), spans.alias("y")
+    two = x.join(y, F.expr(f"x.component = y.component and (y.close or x.part <= y.part) and x.most * 100 >= y.least * {percent} and (not y.close or y.most * 100 >= x.least * {percent})"))
+    pairs = two.select(F.col("x.component").alias("component"), F.col("x.part").alias("l"), F.when(F.col("y.close"), -2 - F.col("y.part")).otherwise(F.col("y.part")).alias("r"))
+    block = F.when(F.col("close"), -2 - F.col("part")).otherwise(F.col("part"))
+    sides = pairs.select("component", "l", "r", F.col("l").alias("block"), F.lit(0).alias("side")).union(
+        pairs.where("l <> r").select("component", "l", "r", F.col("r").alias("block"), F.lit(1).alias("side")))
+    rest = products(placed.withColumn("block", block).join(sides, ["component", "block"]).select("node", "component", "l", "r", "side"))
+    found = components(near.union(rest), "ngram-links").withColumnRenamed("component", "label")
+
+    # 5. every row's component by its class; most classes are one row without links
     known = classes.join(found, "node", "left").where("label is not null or c > 1").select(*of_set, F.coalesce("label", "node").alias("label"))
     return seen.join(known, of_set, "left").select("id", "n", F.coalesce("label", "id").alias("label"))
 

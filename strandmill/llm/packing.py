@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,56 +16,46 @@ from strandmill.llm.common import slices
 
 
 class Tokens:
-    """Ids of a ``tokenizers`` file. With ``ranks``, the same vocabulary as ranks, plain texts take a faster library.
+    """Ids of a vocabulary file: a ``tokenizers`` one, or ranks, which give the same ids as their ``tokenizers`` file in less time.
 
-    Both give the same ids for a text of ordinary Latin characters without the special token or very long words; any
-    other text goes to ``tokenizers`` itself.
+    The file decides on the library, never the text. As by default in ``tokenizers``, the text of a special token is
+    that token.
     """
 
-    OTHER = re.compile("[^\t\n\r -~\xa0-ɏ]")
-
-    def __init__(self, path: str, ranks: str | None = None, special: str = "<|endoftext|>"):
-        self.path, self.slow, self.fast, self.special = path, None, None, special
-        if ranks:
+    def __init__(self, path: str, special: str = "<|endoftext|>"):
+        if path.endswith(".tiktoken"):
             import base64
 
             import public_tokenizers
             import tiktoken
 
-            with open(ranks, "rb") as lines:
+            with open(path, "rb") as lines:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-
-    @property
-    def exact(self):
-        """Loaded once a text needs it."""
-        if self.slow is None:
+            ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={special: len(known)})
+            self.ids = lambda text: ranks.encode_to_numpy(text, allowed_special="all").astype("<u4")
+        else:
             from tokenizers import Tokenizer
 
-            self.slow = Tokenizer.from_file(self.path)
-        return self.slow
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.fast and self.special not in text and not self.OTHER.search(text) and max(map(len, text.split()), default=0) < 512:
-            return self.fast.encode_to_numpy(text).astype("<u4")
-        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
+            plain = Tokenizer.from_file(path)
+            self.ids = lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
 
 
-def tokenizer_paths() -> tuple[str, str]:
+def vocabulary() -> str:
+    """The ranks of ``byte_bpe_50k.json``; tests hold both files' ids against each other over all characters."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 CUT = "struct<doc_tokens:bigint,pieces:array<struct<start:bigint,length:bigint,ids_crc32:bigint>>>"
 CUT_TYPE = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])))])
 
 
-def cut(column, size: int, end_id: int, path: str, ranks: str | None):
+def cut(column, size: int, end_id: int, path: str):
     """Token count (with the end id) and pieces of at most ``size`` ids: full ones from the start, the rest last."""
     @arrow_udf(CUT)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens, end = Tokens(path, ranks), np.array([end_id], "<u4")
+        tokens, end = Tokens(path), np.array([end_id], "<u4")
         for batch in slices(batches):
             out = []
             for x in batch:
@@ -106,34 +95,43 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int],
     return bins, offsets
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches' rows in groups of exactly ``rows``, the last one smaller, whatever the size of a batch is."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        while n >= rows:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, rows)
+            held, n = table.slice(rows).to_batches(), n - rows
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def pack_groups(size: int, group_rows: int, schema: pa.Schema, length_at: int):
     """Streams a task's pieces and packs each run of ``group_rows`` on its own; sequence numbers are the task's own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, group_rows):
-                part = batch.slice(start, group_rows)
-                bins, offsets = first_fit_decreasing(part.column(length_at).to_pylist(), size)
-                numbers = (task << 36) + made + np.array(bins, np.int64)
-                made += max(bins) + 1
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(numbers), pa.array(offsets, pa.int64())], schema=schema)
+        for part in regrouped(batches, group_rows):
+            bins, offsets = first_fit_decreasing(part.column(length_at).to_pylist(), size)
+            numbers = (task << 36) + made + np.array(bins, np.int64)
+            made += max(bins) + 1
+            yield from pa.table([*part.columns, pa.array(numbers), pa.array(offsets, pa.int64())], schema=schema).to_batches()
 
     return run
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024, end_id: int = 0, group_rows: int = 10_000,
-         tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+         tokenizer: str | None = None) -> DataFrame:
     """One row per piece: key, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     Texts are tokenised once where they are read; only piece lengths are shuffled. The groups are random: pieces are
     dealt to tasks by a hash that also holds their row's place in the input, so that copies of one document spread,
-    sorted by that hash, and packed in runs of at most ``group_rows``, which bounds memory. A null or empty text is one
+    sorted by that hash, and packed in runs of ``group_rows``, which bounds memory (the last run of a task is smaller). A null or empty text is one
     piece with the end id alone. Repeated rows are packed each, a null key is kept, an empty table gives an empty one,
     other columns of ``docs`` don't matter.
     """
-    if tokenizer is None:
-        tokenizer, ranks = tokenizer_paths()
-    pieces = (docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("at"), cut(F.col(text).cast("string"), size, end_id, tokenizer, ranks).alias("cut"))
+    pieces = (docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("at"), cut(F.col(text).cast("string"), size, end_id, tokenizer or vocabulary()).alias("cut"))
               .select("key", "at", "cut.doc_tokens", F.explode("cut.pieces").alias("piece"))
               .select("key", "piece.start", "piece.length", "piece.ids_crc32", "doc_tokens", F.xxhash64("key", "at").alias("deal")))
     dealt = pieces.repartition("deal").sortWithinPartitions("deal", "key", "start").drop("deal")

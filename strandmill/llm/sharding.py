@@ -71,8 +71,9 @@ def hilbert_shards(rows: DataFrame, cells: list[Column], ties: list[str], shards
 
     Rows are sorted over ranges of (curve, ``ties``) and written once with their range and place, so that a lost
     executor changes no number; only the row counts of the ranges are added up in one place. A hot cell is split by
-    the ties, like any other run. Rows that tie in everything get neighbouring places in either order. Fewer rows than
-    shards leave shards empty, an empty table gives an empty one. Columns named like the new ones are replaced.
+    the ties, like any other run. Rows that tie in everything get neighbouring places in either order. Null keys, null
+    texts and null ties come first in their cell. Fewer rows than shards leave shards empty, an empty table gives an
+    empty one. Columns named like the new ones are replaced.
     """
     placed = rows.withColumn("curve", curve_index(cells, bits))
     ordered = placed.repartitionByRange("curve", *ties).sortWithinPartitions("curve", *ties)

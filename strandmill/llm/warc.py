@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.common import materialize, shared_dir
 
-MAGIC = "WARC/1.1\r\n"
+#: What every record starts with; the minor version and a line end follow.
+MAGIC = "WARC/1."
+VERSION = "1\r\n"
 END = "\r\n\r\n"
+#: Types of records that hold a payload or stand for one; others (warcinfo, request, metadata) are read over.
+PAYLOADS = ("response", "revisit", "resource", "conversion")
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
@@ -20,7 +24,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     Of rows with equal payloads of ``least_bytes`` or more, the one with the largest key becomes a response and the
     others revisits of it; repeated rows of that key are responses each, as are rows without a key whose group has
     none. A null payload is empty. Line ends in an address are escaped. Equal payloads are found by digest with
-    partial aggregation; the groups with more than one row are joined back, broadcast while they are few.
+    partial aggregation; the groups with more than one row are joined back, broadcast while they are few. Columns other
+    than the three don't matter, whatever their names; an empty table makes an empty folder.
     """
     rows = pages.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html").cast("long")})
@@ -33,7 +38,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     length = F.octet_length("http") + F.when(revisit, 0).otherwise(F.col("bytes"))
     record = F.concat(
-        F.lit(MAGIC + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
+        F.lit(MAGIC + VERSION + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("key")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.col("address"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("first")))).otherwise(""),
@@ -100,45 +105,56 @@ def reachable(candidates: DataFrame, max_rounds: int = 60) -> DataFrame:
     return marked.select(*candidates.columns, "entered").groupBy("file", "split").applyInPandas(chain_members, ", ".join([*names, "entered boolean"])).drop("entered")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the archives under ``path``: headers, payload size and the SHA-1 of the payload read.
+def owners(placed: DataFrame, broken: DataFrame) -> DataFrame:
+    """``(file, split, at, owner, start)``: the segments inside each broken record, which may begin in an earlier split.
 
-    Tasks emit every magic of their split as a candidate record with its successor's offset; those not on the chain
-    from the file's start are payload text. Offsets follow from the bytes between magics, added up over splits. A
-    payload that holds magics is put together again from its segments, a record at a time. An empty folder of archives
-    gives no rows.
+    Within a split the record that was last begun is known by a window over the split; what a split hands on to the
+    next ones is one row, so only these rows are in a window over a file.
+    """
+    marked = placed.join(broken.select("file", "start", F.col("start").alias("owner"), "successor"), ["file", "start"], "left").withColumn("own", F.expr("named_struct('owner', owner, 'upto', successor)"))
+    marked = marked.withColumn("own", F.when(F.col("owner").isNotNull(), F.col("own")))
+    last = marked.groupBy("file", "split").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("start"))).alias("handed"))
+    carried = last.select("file", "split", F.expr("last(handed, true) over (partition by file order by split rows between unbounded preceding and 1 preceding)").alias("before"))
+    inside = marked.withColumn("here", F.expr("last(own, true) over (partition by file, split order by start)")).join(carried, ["file", "split"])
+    return inside.withColumn("of", F.coalesce("here", "before")).where(F.col("start") < F.col("of.upto")).select("file", "split", "at", F.col("of.owner").alias("owner"), "start")
+
+
+def read_archives(spark: SparkSession, path: str, types: tuple[str, ...] = PAYLOADS) -> DataFrame:
+    """A row per record of ``types`` in the archives under ``path``: headers, payload size and the SHA-1 of the payload read.
+
+    Archives are of WARC 1.0 or 1.1, plain or of gzip members (``.gz``, a file a task). Tasks emit every magic of their
+    split as a candidate record with its successor's offset; those not on the chain from the file's start are payload
+    text. Offsets follow from the bytes between magics, added up over splits. A payload that holds magics is put
+    together again from its segments, a record at a time. An empty folder of archives gives no rows.
     """
     size, step = F.octet_length("value").cast("long"), len(MAGIC)
+    first = len(VERSION)  # a record's headers begin behind the version
     scanned = (segments(spark, path).withColumns({"size": size, "head_size": F.expr("cast(position(unhex('0D0A0D0A'), value) - 1 as bigint)")})
-               .withColumn("head", F.expr("string(substring(value, 1, cast(head_size as int)))")).withColumn("length", header("Content-Length").try_cast("bigint"))
-               .withColumn("whole", F.col("head_size") >= 0))
+               .withColumn("head", F.when(F.expr("substring(value, 1, 3) in (unhex('300D0A'), unhex('310D0A'))"), F.expr(f"string(substring(value, {first + 1}, cast(head_size - {first} as int)))")))
+               .withColumn("length", header("Content-Length").try_cast("bigint")).withColumn("whole", F.col("head_size") >= 0))
     block = F.expr("substring(value, cast(head_size + 5 as int), cast(length as int))")
     scanned = scanned.withColumn("block", F.when(F.col("whole") & (F.col("size") >= F.col("head_size") + 4 + F.col("length")), block))
     body = F.expr("substring(block, cast(position(unhex('0D0A0D0A'), block) + 4 as int))")
     meta = materialize(scanned.withColumn("body", body).select(
-        "file", "split", "at", "size", "head_size", "length", header("WARC-Type").alias("type"), header("WARC-Record-ID").alias("name"),
+        "file", "split", "at", "size", "head_size", "length", F.lower(header("WARC-Type")).alias("type"), header("WARC-Record-ID").alias("name"),
         header("WARC-Refers-To").alias("refers"), header("WARC-Payload-Digest").alias("labelled"),
         F.regexp_extract(F.expr("string(substring(block, 1, cast(greatest(position(unhex('0D0A0D0A'), block) - 1, 0) as int)))"), r"(?im)^Content-Length:[\x20\t]*(\d+)", 1).alias("stated"),
         F.octet_length("body").cast("long").alias("body_size"), F.sha1("body").alias("body_digest"), F.col("block").isNotNull().alias("whole")), "warc-segments")
 
-    bases = meta.groupBy("file", "split").agg(F.sum(F.col("size") + step).alias("bytes"), F.min("at").alias("first"))
+    bases = meta.groupBy("file", "split").agg(F.sum(F.col("size") + step).alias("bytes"))
     bases = bases.withColumn("base", F.expr("coalesce(sum(bytes) over (partition by file order by split rows between unbounded preceding and 1 preceding), 0)")).drop("bytes")
     placed = meta.join(bases, ["file", "split"]).withColumn(
         "start", F.expr(f"base + coalesce(sum(size + {step}) over (partition by file, split order by at rows between unbounded preceding and 1 preceding), 0) - {step}"))
-    placed = materialize(placed.drop("base", "first"), "warc-placed")
+    placed = materialize(placed.drop("base"), "warc-placed")
     candidates = placed.where("start >= 0 and head_size >= 0 and length is not null").select(
         "file", "split", "start", (F.col("start") + step + F.col("head_size") + 4 + F.col("length") + len(END)).alias("successor"))
-    records = materialize(reachable(candidates), "warc-records").select("file", "start", "successor").join(placed, ["file", "start"])
+    records = materialize(reachable(candidates), "warc-records").select("file", "start", "successor").join(placed, ["file", "start"]).where(F.col("type").isin(*types))
 
     out = ["type", "name", "refers", "labelled", "stated", "body_size", "body_digest"]
     broken = records.where("not whole").select("file", "start", "successor", "head_size", "length", "type", "name", "refers", "labelled", "stated")
     if broken.isEmpty():
         return records.select(*out)
-    # segments of a broken record: those that start inside it, found by the record start last seen in their file
-    owner = placed.join(broken.select("file", "start", F.col("start").alias("owner"), "successor"), ["file", "start"], "left").withColumns({
-        "owner": F.expr("last(owner, true) over (partition by file order by start)"), "upto": F.expr("last(successor, true) over (partition by file order by start)")})
-    parts = owner.where("start < upto").select("file", "split", "at", "owner", "start")
-    texts = segments(spark, path).join(parts, ["file", "split", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("start", "value"))).alias("parts"))
+    texts = segments(spark, path).join(owners(placed, broken), ["file", "split", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("start", "value"))).alias("parts"))
     joined = F.expr(f"aggregate(slice(parts, 2, greatest(size(parts) - 1, 0)), parts[0].value, (a, x) -> a || unhex('{MAGIC.encode().hex()}') || x.value)")
     mended = (broken.join(texts, (broken["file"] == texts["file"]) & (broken["start"] == texts["owner"])).withColumn("value", joined)
               .withColumn("block", block).withColumn("body", body)

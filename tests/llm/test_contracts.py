@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,23 @@ def test_op3_held_out_accuracy(spark, docs):
     assert (found[blank]["lang_pred"] == "und").all() and found["score"].between(0, 1).all()
 
 
+def test_op3_every_letter_has_a_vector_of_its_own(spark):
+    encoder = language.Encoder()
+    met = encoder.places(np.array([ord(c) for c in "aeéèêuüúùàбвгдежзийклмнопрстуфхцчшщъыьэюя日本語한국어"], np.uint32))
+    assert len(set(met.tolist())) == len(met)
+    vectors_ = encoder.vectors[met].astype(int)
+    apart = np.abs(vectors_ @ vectors_.T - 1024 * np.eye(len(met))) / 1024
+    assert apart.max() < 0.2
+    other = language.Encoder()
+    assert (other.vectors[other.places(np.array([ord("é")], np.uint32))] == encoder.vectors[encoder.places(np.array([ord("é")], np.uint32))]).all()
+    # two languages that differ outside ASCII only, in letters of which none could stand for another
+    rows = [(i, "rêve têtu mâchoire forêt pôle" if i % 2 else "rúve tútu múchoire forút púle", "circumflex" if i % 2 else "acute") for i in range(40)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, "la forêt et le rêve", "x"), (2, "la forút et le rúve", "x"), (3, "123", "x"), (4, None, "x")], "doc_id long, text string, language string")
+    found = {r["doc_id"]: r["language"]["lang"] for r in language.identify(asked, *language.fit_profiles(docs_)).collect()}
+    assert found == {1: "circumflex", 2: "acute", 3: "und", 4: "und"}
+
+
 def test_op5_law_of_rows(spark, docs):
     found = run(spark, "op5_hilbert_sharding")
     assert len(found) == len(docs) and set(found["shard"]) == set(range(40))
@@ -79,6 +97,44 @@ def test_op5_law_of_rows(spark, docs):
     assert all(r.size_ == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id]) for r in found.rename(columns={"size": "size_"}).itertuples())
 
 
+def test_op5_order_and_slots_by_brute_force(spark, docs):
+    """Cells, curve, order and cuts worked out again row by row in plain Python."""
+    import math
+
+    found = run(spark, "op5_hilbert_sharding").sort_values(["shard", "slot"])
+    low, high = int(docs["doc_id"].min()), int(docs["doc_id"].max())
+    code = lambda x: 0 if x is None else zlib.crc32(str(x).encode()) % 31 + 1
+    rows = []
+    for r in docs.astype(object).where(docs.notna(), None).itertuples():
+        text = (r.text or "").encode()
+        cells = [min(int(math.floor(math.log2(len(text) + 16) * 2)), 31), code(r.lang), code(r.source), int((r.doc_id - low) / (high - low + 1) * 32)]
+        rows.append((int(sharding.hilbert_index(np.array([cells]), 5)[0]), zlib.crc32(text), r.doc_id))
+    rows.sort()
+    shards = [i * 40 // len(rows) for i in range(len(rows))]
+    assert list(found["doc_id"]) == [r[2] for r in rows] and list(found["shard"]) == shards
+    assert list(found["slot"]) == [i - shards.index(s) for i, s in enumerate(shards)]
+
+
+def test_op5_shards_prune_on_every_dimension(spark, tmp_path):
+    """Written shards and their bounds: predicates on each dimension skip files, and the rest holds all rows."""
+    rows = spark.range(8000).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).alias("size"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(6)).cast("string").alias("lang"))
+    cells = [sharding.interval(F.col("size"), F.lit(0), F.lit(999), 5), sharding.category(F.col("lang"), 5), sharding.interval(F.col("id"), F.lit(0), F.lit(7999), 5)]
+    sharding.write_shards(sharding.hilbert_shards(rows, cells, ["id"], 64), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    bounds = sharding.shard_bounds(back, ["size", "lang", "id"]).toPandas()
+    assert back.count() == 8000 and len(bounds) == 64 and (bounds["rows"] == 125).all()
+    skipped = {"size": ((bounds["max_size"] < 400) | (bounds["min_size"] > 450)).mean(), "lang": ((bounds["max_lang"] < "3") | (bounds["min_lang"] > "3")).mean(), "id": ((bounds["max_id"] < 1000) | (bounds["min_id"] > 1500)).mean()}
+    assert skipped["size"] > 0.7 and skipped["id"] > 0.7 and skipped["lang"] > 0.3, skipped  # languages are dealt to cells by hash
+
+
+def test_op5_null_keys_and_empty_tables(spark, tmp_path, monkeypatch):
+    for name, rows in (("odd", [(1, None, None, None), (None, "x", "en", "s"), (None, "x", "en", "s"), (3, "", None, "s")]), ("none", [])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = sharding.op5_hilbert_sharding(spark, str(tmp_path / name)).collect()
+        assert sorted(str(r["doc_id"]) for r in found) == sorted(str(r[0]) for r in rows) and all(r["slot"] == 0 for r in found)
+
+
 def test_hilbert_curve_steps_to_neighbours():
     for bits, dims in ((3, 2), (2, 3), (2, 4)):
         cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
@@ -90,7 +146,7 @@ def test_hilbert_curve_steps_to_neighbours():
 def check_packs(found, texts):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = defaultdict(list)
     for r in found.itertuples():
         pieces[r.doc_id].append(r)
@@ -113,6 +169,31 @@ def test_op6_round_trip(spark, docs):
     assert found["length"].sum() / (1024 * found["sequence_id"].nunique()) > 0.9
 
 
+def test_op6_ids_are_those_of_the_tokenizers_file():
+    """Every character in four settings, and generated texts: white space, apostrophes, digits, long words, special tokens."""
+    import random
+
+    ranks, plain = packing.Tokens(packing.vocabulary()), packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 4096):
+        text = "".join(f"a{c}b {c} {c}{c}1{c}'s" for c in map(chr, points[start:start + 4096]))
+        assert np.array_equal(ranks.ids(text), plain.ids(text)), start
+    rng = random.Random(5)
+    parts = [" ", "  ", "\n", "\t\r\n", "\xa0", "'s", "'LL", "don't", "’", "1", "2024", "½", "é", "Ünïcode", "ſ", "İ", "word", "x" * 600, "é" * 700, " " * 520, "9" * 530, "<|endoftext|>", "<|", "日本", "🙂", "👩‍👧", "e\u0301", "\0", "\ufeff", "_-_"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 30)))
+        assert np.array_equal(ranks.ids(text), plain.ids(text)), text
+
+
+def test_op6_groups_do_not_hang_on_batches():
+    import pyarrow as pa
+
+    for sizes in ([3, 4, 5, 1], [13], [1] * 13, [0, 13, 0]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], names=["x"]) for n in sizes]
+        assert [t.num_rows for t in packing.regrouped(iter(batches), 5)] == [5, 5, 3]
+    assert list(packing.regrouped(iter([]), 5)) == []
+
+
 def test_first_fit_decreasing_is_that_of_a_plain_loop():
     rng = np.random.default_rng(1)
     lengths = [int(x) for x in rng.integers(1, 1025, 300)]
@@ -165,9 +246,9 @@ def test_op8_lexed_spans_inside_base_ones_are_left_out():
 
 
 def test_op9_magic_in_payloads(spark, tmp_path):
-    trap = f"a{warc.MAGIC}WARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz{warc.END}b"
+    trap = f"a{warc.MAGIC + warc.VERSION}WARC-Type: response\r\nContent-Length: 3\r\n\r\nxyz{warc.END}b"
     long = trap * 30
-    rows = [(1, "u", long), (2, "u", long), (3, "u\r\nv", "é" * 900), (4, None, None), (5, "u", trap), (6, "u", ""), (7, "u", warc.MAGIC), (8, "u", "z" * 2000), (9, "u", "z" * 2000)]
+    rows = [(1, "u", long), (2, "u", long), (3, "u\r\nv", "é" * 900), (4, None, None), (5, "u", trap), (6, "u", ""), (7, "u", warc.MAGIC + warc.VERSION), (8, "u", "z" * 2000), (9, "u", "z" * 2000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     warc.write_archives(pages.repartition(2), str(tmp_path / "w"))
     found = {r["name"]: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
@@ -180,6 +261,41 @@ def test_op9_magic_in_payloads(spark, tmp_path):
     assert found["<urn:page:1>"]["refers"] == "<urn:page:2>" and found["<urn:page:8>"]["refers"] == "<urn:page:9>"
 
 
+def record(version, kind, name, body, extra=""):
+    block = f"HTTP/1.1 200 OK\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body if kind in ("response", "request") else body
+    head = f"WARC/{version}\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{name}>\r\n{extra}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_op9_versions_members_and_other_records(spark, tmp_path):
+    """Records of both versions, gzip members, records without a payload, payloads cut by magics at any split."""
+    import gzip
+
+    bodies = {1: b"one", 2: b"WARC/1.0\r\nx WARC/1.1\r\n" * 40, 3: b"WARC/1." * 3000, 4: b"", 5: bytes(range(256)) * 20, 6: b"a" * 9000 + b"WARC/1.1\r\nContent-Length: 2\r\n\r\n"}
+    records = [record("1.0", "warcinfo", 90, b"software: x"), *[record("1.0" if i % 2 else "1.1", "response", i, b) for i, b in bodies.items()], record("1.0", "request", 91, b"q"), record("1.1", "metadata", 92, b"m")]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(b"".join(gzip.compress(r.replace(b"urn:page:", b"urn:page:1")) for r in records))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("1k", "7k", kept):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            found = {r["name"]: (r["body_size"], r["body_digest"]) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+        want = {f"<urn:page:{prefix}{i}>": (len(b), hashlib.sha1(b).hexdigest()) for prefix in ("", "1") for i, b in bodies.items()}
+        assert found == want, split
+    assert warc.read_archives(spark, str(tmp_path / "w"), ("warcinfo",)).count() == 2
+
+
+def test_op9_empty_tables_and_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 2000, "d", 7, "f"), (2, None, "x" * 2000, "d", 7, "f")], "page_id long, url string, html string, digest string, bytes int, first string")
+    warc.write_archives(pages, str(tmp_path / "full"))
+    assert sorted((r["type"], r["refers"]) for r in warc.read_archives(spark, str(tmp_path / "full")).collect()) == [("response", None), ("revisit", "<urn:page:2>")]
+    warc.write_archives(pages.limit(0), str(tmp_path / "none"))
+    assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_op10_recall_against_brute_force(spark):
     frame = spark.read.parquet(f"{SMALL}/embeddings.parquet").toPandas()
     found = run(spark, "op10_multi_index_hashing")
@@ -293,7 +409,7 @@ def test_pipeline(spark, docs):
     clean = {d: secrets.redacted(t, secrets.find_secrets(t)) for d, t in zip(docs["doc_id"], docs["text"]) if d in kept}
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(packing.tokenizer_paths()[0])
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for doc_id, rows in found.groupby("doc_id"):
         n = len(tokenizer.encode(clean[doc_id], add_special_tokens=False).ids) + 1
         assert (rows["doc_tokens"] == n).all() and rows["length"].sum() % n == 0
