@@ -16,35 +16,43 @@ from strandmill.llm.ngram_join import drop_near_copies
 from strandmill.llm.packing import pack
 from strandmill.llm.secrets import redact
 
-#: A text of so many characters whose best cosine stays below the score is of none of the learned languages.
-MIN_SCORE, SCORED_CHARACTERS = 0.35, 400
+#: A text whose best cosine is below this is like no learned language: two and a half deviations of the cosines that
+#: texts of unknown letters have by chance in 1,024 dimensions. It holds for texts of any length.
+MIN_SCORE = 2.5 / 1024**0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and long ones that are like no learned language."""
+    """Drops null texts, texts without letters, and those that are like no learned language.
+
+    Every text is judged whole and on its own: very long ones as any other, equal ones alike. Columns of any name pass.
+    """
     names, profiles = fit_profiles(docs)
-    found = identify(docs, names, profiles, into="_language")
-    foreign = (F.length("text") >= SCORED_CHARACTERS) & (F.col("_language.score") < MIN_SCORE)
-    return found.where((F.col("_language.lang") != UNKNOWN) & ~F.coalesce(foreign, F.lit(False))).drop("_language")
+    into = max([c for c in docs.columns if c.startswith("_language")], default="") + "_language"  # no column's name
+    found = identify(docs, names, profiles, into=into)
+    return found.where((F.col(into)["lang"] != UNKNOWN) & (F.col(into)["score"] >= MIN_SCORE)).drop(into)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five words, Jaccard of 0.8) stays, that of the smallest key."""
+    """One document of each component of near copies (five words, Jaccard of 0.8) stays, that of the smallest key.
+
+    Texts without words are no copies of each other and stay, null ones too. Rows of one key are one document.
+    """
     return drop_near_copies(docs, size=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts, and the character counts follow."""
+    """Secrets are replaced in the texts, and the character counts follow; null texts stay as they are."""
     clean = redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix leaves out go, those that it takes twice are there twice."""
+    """Documents that the mix leaves out go, those that it takes twice are there twice; null texts count no words."""
     return mixed_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1,024 tokens; a null text is one piece of the end token."""
     return pack(docs)
 
 
