@@ -71,8 +71,13 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def boilerplate(rows: DataFrame, column: str, template_count: str, config: BoilerplateConfig = BoilerplateConfig()) -> DataFrame:
-    """Adds ``plain_text``, ``token_count``, ``lexical_diversity``, ``markup_share`` and ``categories``, in rule order."""
+#: What :func:`boilerplate_features` adds: all that the rules need of a text, so that texts are read once.
+FEATURES = ("token_count", "lexical_diversity", "markup_share", "_own", "_short", "_dull", "_bare")
+
+
+def boilerplate_features(rows: DataFrame, column: str, config: BoilerplateConfig = BoilerplateConfig()) -> DataFrame:
+    """Adds ``plain_text`` and ``FEATURES``: counts, the categories of the text alone in rule order, and whether it is
+    short, dull or without anything."""
     staged = rows.withColumn("_raw", t.strip(t.text_of(column))).withColumns({
         "plain_text": t.strip_markup(F.col("_raw")), "_tags": t.markup_tags(F.col("_raw")),
         "markup_share": share(t.markup_characters(F.col("_raw")).cast("double"), F.length("_raw"))})
@@ -80,17 +85,29 @@ def boilerplate(rows: DataFrame, column: str, template_count: str, config: Boile
         "token_count": F.size("_tokens"), "lexical_diversity": t.diversity(F.col("_tokens"))})
     c, plain, n = F.col, F.col("plain_text"), F.col("token_count")
     tagged, bare = F.size("_tags") > 0, plain == ""
-    repeated = c(template_count) >= config.repeated_count  # an empty template counts 0
     rules = [
         ("markup_only", (c("_raw") != "") & tagged & bare),
         ("pgn_markup_heavy", tagged & (bare | (c("markup_share") >= config.heavy_share) | ((n <= 2) & F.arrays_overlap("_tags", F.array(*map(F.lit, ("eval", "clk", "emt"))))))),
         ("result_comment", plain.rlike(RESULT)),
         ("symbol_only", plain.rlike(SYMBOLS_ONLY)),
         ("engine_template", plain.rlike(ENGINE_TEMPLATE)),
-        ("short_repeated_template", repeated & ((F.length(plain) <= config.short_characters) | (n <= config.short_tokens))),
-        ("low_lexical_diversity_repeated", repeated & (n > 0) & (n <= config.low_diversity_tokens) & (c("lexical_diversity") <= config.low_diversity)),
     ]
-    return staged.withColumn("categories", F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))).drop("_raw", "_tags", "_tokens")
+    return staged.withColumns({
+        "_own": F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules])), "_bare": bare,
+        "_short": (F.length(plain) <= config.short_characters) | (n <= config.short_tokens),
+        "_dull": (n > 0) & (n <= config.low_diversity_tokens) & (c("lexical_diversity") <= config.low_diversity)}).drop("_raw", "_tags", "_tokens")
+
+
+def with_categories(featured: DataFrame, template_count: str, config: BoilerplateConfig = BoilerplateConfig()) -> DataFrame:
+    """Adds ``categories``, those of the text alone and those of repeated templates; an empty template counts 0."""
+    repeated = F.col(template_count) >= config.repeated_count
+    more = [("short_repeated_template", F.col("_short")), ("low_lexical_diversity_repeated", F.col("_dull"))]
+    return featured.withColumn("categories", F.concat("_own", F.array_compact(F.array(*[F.when(repeated & rule, F.lit(name)) for name, rule in more]))))
+
+
+def boilerplate(rows: DataFrame, column: str, template_count: str, config: BoilerplateConfig = BoilerplateConfig()) -> DataFrame:
+    """Adds ``plain_text``, ``token_count``, ``lexical_diversity``, ``markup_share`` and ``categories``, in rule order."""
+    return with_categories(boilerplate_features(rows, column, config), template_count, config).drop("_own", "_short", "_dull", "_bare")
 
 
 def informativeness(rows: DataFrame, column: str, original: str | None = None, config: InformativenessConfig = InformativenessConfig()) -> DataFrame:
@@ -114,15 +131,22 @@ def informativeness(rows: DataFrame, column: str, original: str | None = None, c
     return staged.withColumn("bucket", bucket(F.col("score"), config))
 
 
+# Feature, where it starts to count, the span over which it grows, and its weight; then what is added or taken off.
+SCALES = (
+    ("least(char_length, 220)", "20.0", "120.0", "0.18"), ("least(token_count, 32)", "4.0", "12.0", "0.16"), ("lexical_diversity", "0.35", "0.45", "0.16"),
+    ("alpha_token_ratio", "0.0", "1.0", "0.10"), ("domain_hits", "0.0", "2.0", "0.16"),
+)
+BONUSES = (("explanatory_hits > 0", "0.12"), ("anchor_hits > 0", "0.12"))
+PENALTIES = (("mostly_numeric_or_result", "0.35"), ("symbol_ratio >= 0.25", "0.10"), ("alpha_token_ratio < 0.5", "0.08"))
+
+
 def score_sql() -> tuple[str, str]:
-    """Weighted features and penalties, in words that both engines know."""
-    unit = lambda x: f"greatest(0.0D, least(1.0D, {x}))".replace("0D", "0e0")
-    score = (f"18e-2 * {unit('(least(char_length, 220) - 20e0) / 120e0')} + 16e-2 * {unit('(least(token_count, 32) - 4e0) / 12e0')}"
-             f" + 16e-2 * {unit('(lexical_diversity - 35e-2) / 45e-2')} + 10e-2 * {unit('alpha_token_ratio')} + 16e-2 * {unit('domain_hits / 2e0')}"
-             " + CASE WHEN explanatory_hits > 0 THEN 12e-2 ELSE 0e0 END + CASE WHEN anchor_hits > 0 THEN 12e-2 ELSE 0e0 END")
-    penalty = ("(CASE WHEN mostly_numeric_or_result THEN 35e-2 ELSE 0e0 END + CASE WHEN symbol_ratio >= 25e-2 THEN 10e-2 ELSE 0e0 END"
-               " + CASE WHEN alpha_token_ratio < 5e-1 THEN 8e-2 ELSE 0e0 END)")
-    return f"({score})", penalty
+    """Weighted features and penalties, in words that both engines know; numbers are doubles in both."""
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    unit = lambda x, low, span: f"greatest({d(0)}, least({d(1)}, ({x} - {d(low)}) / {d(span)}))"
+    given = lambda rules: " + ".join(f"CASE WHEN {rule} THEN {d(w)} ELSE {d(0)} END" for rule, w in rules)
+    scaled = " + ".join(f"{d(w)} * {unit(x, low, span)}" for x, low, span, w in SCALES)
+    return f"({scaled} + {given(BONUSES)})", f"({given(PENALTIES)})"
 
 
 def bucket(score: Column, config: InformativenessConfig = InformativenessConfig()) -> Column:
@@ -137,12 +161,13 @@ def keyword_labels(column: Column, labels=KEYWORD_LABELS) -> Column:
 
 
 def style_cluster(markup: Column, numeric: Column, duplicates: Column, score: Column) -> Column:
+    """Style of a group by its rates of markup-heavy, of numeric or symbol-heavy and of repeated rows, and its mean score."""
     return (F.when((markup >= 0.2) | (numeric >= 0.2), "markup_heavy").when(duplicates >= 0.25, "repetitive")
-            .when((score >= 0.68) & (markup < 0.1), "human_leaning").otherwise("mixed"))
+            .when((score >= 0.68) & (markup < 0.1), "human_leaning").otherwise("mixed_style"))
 
 
 def pool_class(rows: Column) -> Column:
-    return F.when(rows <= 199, "exploratory").when(rows < 500, "secondary").when(rows >= 1000, "strong").otherwise("primary")
+    return F.when(rows <= 199, "exploratory_only").when(rows < 500, "secondary_shared").when(rows >= 1000, "strong_primary").otherwise("primary_shared")
 
 
 def interval_reading(low: Column, high: Column) -> Column:

@@ -87,10 +87,11 @@ def slug(column, kept: str = "a-z0-9._:@/-", empty: str = "unknown") -> Column:
 
 
 def domain(column) -> Column:
-    """The host of an address, or of a bare domain, without ``www.``; null where there is none."""
+    """The host of an address, or a bare domain up to its first slash, without ``www.``; null where there is none."""
     text = F.lower(strip(text_of(column)))
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "^[a-z][a-z0-9+.-]*://", ""), "^www\\.", ""), "[/?#].*$", "")
-    return F.when(host.contains(".") & ~host.rlike(SPACE), host)
+    host = F.when(text.contains("://"), F.regexp_extract(text, "^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)).otherwise(text)
+    host = F.substring_index(F.regexp_replace(host, "^www\\.", ""), "/", 1)
+    return F.when(host.contains(".") & ~host.contains(" "), host)
 
 
 def clip(column, most: int) -> Column:

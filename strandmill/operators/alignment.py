@@ -48,10 +48,6 @@ def align(rows: DataFrame, base: DataFrame, exact: str, loose: str, extra: str |
     return found.select(*rows.columns, *[pick(c).alias(f"matched_{c}") for c in payload], kind.alias("alignment_type"), confidence.alias("confidence"), note.alias("note"))
 
 
-def outcomes(aligned: DataFrame, by=()) -> DataFrame:
-    return aligned.groupBy(*names(by), "alignment_type", F.coalesce("note", F.lit("")).alias("note")).agg(F.count("*").alias("n"))
-
-
 def leakage(rows: DataFrame, key: str, split: str) -> DataFrame:
     """``(pair, shared)``: keys that occur in both splits of each pair."""
     has = rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.bool_or(F.col(split) == s).alias(s) for s in ("train", "val", "test")])
@@ -88,14 +84,19 @@ def restrict_test(rows: DataFrame, keys: DataFrame, key: str, split: str) -> Dat
     return rows.where(F.col(split) != "test").union(rows.where(F.col(split) == "test").join(keys, key, "left_semi").select(*rows.columns))
 
 
-def holdout(rows: DataFrame, field: Column, split: str, eligible: DataFrame, value: str = "value") -> DataFrame:
-    """Rows of every regime at once: in the regime of a value its test rows, and train and val rows of other values.
+def in_regime(field: Column, split: str, value: str) -> Column:
+    """Whether a row is in the regime that holds ``value`` out: as a test row of it, or a train or val row of another."""
+    own = F.coalesce(field, F.lit("unknown")) == F.lit(value)
+    return F.when(F.col(split) == "test", own).otherwise(~own)
+
+
+def holdout_sizes(rows: DataFrame, field: Column, split: str, eligible: DataFrame, value: str = "value") -> DataFrame:
+    """``(regime, split, n)`` of every regime: of test the value's own rows, of the rest all but the value's own.
 
-    The eligible values are few (a row each) and their number is checked by the caller's thresholds; rows meet them
-    through the explosion of one broadcast array.
+    Rows are counted once by value and split; a regime's sizes are differences of counts, so no row is copied.
     """
-    every = eligible.agg(F.array_sort(F.collect_set(value)).alias("_all"))
-    own = rows.withColumn("_value", F.coalesce(field, F.lit("unknown")))
-    tests = own.where(F.col(split) == "test").join(eligible.select(F.col(value).alias("_value")), "_value").withColumn("regime", F.col("_value"))
-    others = own.where(F.col(split) != "test").join(F.broadcast(every)).withColumn("regime", F.explode("_all")).where(F.col("regime") != F.col("_value")).drop("_all")
-    return tests.select("regime", *rows.columns).union(others.select("regime", *rows.columns))
+    counts = rows.groupBy(F.coalesce(field, F.lit("unknown")).alias("_value"), F.col(split).alias("split")).agg(F.count("*").alias("_own"))
+    totals = counts.groupBy("split").agg(F.sum("_own").alias("_all"))  # a row a split
+    regimes = eligible.select(F.col(value).alias("_value")).distinct().withColumn("split", F.explode(F.array(*map(F.lit, ("train", "val", "test")))))
+    sized = regimes.join(counts, ["_value", "split"], "left").join(F.broadcast(totals), "split").withColumn("_own", F.coalesce("_own", F.lit(0)))
+    return sized.select(F.col("_value").alias("regime"), "split", F.when(F.col("split") == "test", F.col("_own")).otherwise(F.col("_all") - F.col("_own")).alias("n"))

@@ -13,19 +13,28 @@ from strandmill.operators.ranking import first_n, names
 from strandmill.sources.shared import written
 
 
-def with_template_counts(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with ``template_count``, how many rows of all splits have the same template; 0 for an empty one.
+def with_counts(light: DataFrame, key: str = "_template", into: str = "template_count") -> DataFrame:
+    """``light`` with how many rows of all splits have the same key; 0 without a key.
 
-    Only repeated templates are joined back, by digest: rows of a unique template need no partner.
+    Only repeated keys are joined back, and rows without a key take no part in the join.
     """
-    keyed = rows.withColumn("_template", digest(t.template(text)))
-    repeated = keyed.where(F.col("_template").isNotNull()).groupBy("_template").agg(F.count("*").alias("_n")).where("_n > 1")
-    return keyed.join(repeated, "_template", "left").withColumn(
-        "template_count", F.when(F.col("_template").isNull(), 0).otherwise(F.coalesce("_n", F.lit(1))).cast("long")).drop("_template", "_n")
+    repeated = light.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    known = light.where(F.col(key).isNotNull()).join(repeated, key, "left").withColumn(into, F.coalesce("_n", F.lit(1)).cast("long")).drop("_n")
+    return known.select(*light.columns, into).union(light.where(F.col(key).isNull()).withColumn(into, F.lit(0).cast("long")))
 
 
-def boilerplate_flags(rows: DataFrame, text: str, config=scoring.BoilerplateConfig()) -> DataFrame:
-    return scoring.boilerplate(with_template_counts(rows, text), text, "template_count", config)
+def light_flags(rows: DataFrame, text: str, keep: list[str], config=scoring.BoilerplateConfig()) -> DataFrame:
+    """``keep``, digests of template and plain text, and the features of the boilerplate rules: written once, without texts.
+
+    The template of a text and the light view of its plain text are one: both drop markup first.
+    """
+    featured = scoring.boilerplate_features(rows.select(*dict.fromkeys([*keep, text])), text, config)
+    return written(featured.select(*keep, digest(t.normalize(F.col("plain_text"), "punct_light")).alias("_template"), F.md5("plain_text").alias("plain_md5"), *scoring.FEATURES), "flags")
+
+
+def boilerplate_flags(rows: DataFrame, text: str, keep: list[str], config=scoring.BoilerplateConfig()) -> DataFrame:
+    """``keep`` with ``template_count``, counts, ``plain_md5`` and ``categories`` of each row."""
+    return scoring.with_categories(with_counts(light_flags(rows, text, keep, config)), "template_count", config)
 
 
 def category_audit(flagged: DataFrame, by: str) -> DataFrame:
@@ -40,19 +49,52 @@ def first_category(categories: str, drops=scoring.BASE_DROPS) -> Column:
     return F.get(F.filter(F.col(categories), lambda x: x.isin(*drops)), F.lit(0))
 
 
-def clean(rows: DataFrame, text: str, identity: str, within: list[str], keep: int = 3, salt: str = "clean", drops=scoring.BASE_DROPS) -> tuple[DataFrame, DataFrame]:
-    """Rows that stay, with ``plain_text``, and a ledger ``(identity, drop_reason)`` of the others.
+# The variants of a clean table, the categories they drop, and what they cap.
+VARIANTS = {
+    "remove_eval_markup_heavy": (("markup_only", "pgn_markup_heavy"), None), "remove_short_boilerplate": (scoring.BASE_DROPS, None),
+    "keep_comment_source_balance": (scoring.BASE_DROPS, "source"), "template_capped": (scoring.BASE_DROPS, "template"),
+}
+
+
+def clean(flagged: DataFrame, identity: str, within: list[str], keep: int | None = 3, salt: str = "clean", drops=scoring.BASE_DROPS) -> tuple[DataFrame, DataFrame]:
+    """Of rows with flags those that stay, and a ledger ``(identity, drop_reason)`` of the others.
 
     Reasons in order: the first dropped category, ``empty_after_cleanup``, and ``template_cap`` beyond the first
-    ``keep`` rows of a template in its group. Flags are computed once and written, as both results read them.
+    ``keep`` rows of a template in its group. No text is moved: :func:`attach` fetches those of the rows that stay.
     """
-    flagged = written(boilerplate_flags(rows, text).withColumn("drop_reason", F.coalesce(
-        first_category("categories", drops), F.when(F.col("plain_text") == "", "empty_after_cleanup"))), "flags")
-    passed = flagged.where("drop_reason is null").withColumn(
-        "_key", F.coalesce(digest(t.normalize(F.col("plain_text"), "punct_light")), F.concat(F.lit("own:"), F.col(identity).cast("string"))))
-    kept = first_n(passed, [*within, "_key"], [rank_key(salt, identity), F.col(identity)], keep).drop("_key", "keep_rank", "drop_reason")
+    reasoned = flagged.withColumn("drop_reason", F.coalesce(first_category("categories", drops), F.when(F.col("_bare"), "empty_after_cleanup")))
+    lost, passed = reasoned.where("drop_reason is not null").select(identity, "drop_reason"), reasoned.where("drop_reason is null").drop("drop_reason")
+    if keep is None:
+        return passed, lost
+    keyed = passed.withColumn("_key", F.coalesce("_template", F.concat(F.lit("own:"), F.col(identity).cast("string"))))
+    kept = first_n(keyed, [*within, "_key"], [rank_key(salt, identity), F.col(identity)], keep).drop("_key", "keep_rank")
     capped = passed.select(identity).join(kept.select(identity), identity, "left_anti").withColumn("drop_reason", F.lit("template_cap"))
-    return kept, flagged.where("drop_reason is not null").select(identity, "drop_reason").union(capped)
+    return kept, lost.union(capped)
+
+
+def attach(rows: DataFrame, kept: DataFrame, identity: str, text: str) -> DataFrame:
+    """The rows that stay, with ``plain_text``."""
+    return rows.join(kept.select(identity), identity, "left_semi").withColumn("plain_text", t.strip_markup(text))
+
+
+def clean_variants(rows: DataFrame, text: str, identity: str, split: str, source: str, template_cap: int = 3, source_cap: int = 5, salt: str = "clean") -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Kept rows and ledger of each of ``VARIANTS``; texts are flagged once for all of them."""
+    flagged = written(boilerplate_flags(rows, text, [identity, split, source]), "flagged")
+    out = {}
+    for name, (drops, cap) in VARIANTS.items():
+        within, most = {None: ([split], None), "source": ([split, source], source_cap), "template": ([split], template_cap)}[cap]
+        out[name] = clean(flagged, identity, within, most, f"{salt}:{name}", drops)
+    return out
+
+
+def variant_counts(variants: dict[str, tuple[DataFrame, DataFrame]], by: str | None = None) -> DataFrame:
+    """``(variant, outcome, n)``: rows kept, and rows dropped for each reason; of each value of ``by`` among the kept ones."""
+    parts = None
+    for name, (kept, ledger) in variants.items():
+        outcome = F.lit("kept") if by is None else F.concat(F.lit("kept:"), F.coalesce(F.col(by).cast("string"), F.lit("unknown")))
+        one = kept.select(F.lit(name).alias("variant"), outcome.alias("outcome")).union(ledger.select(F.lit(name), "drop_reason"))
+        parts = one if parts is None else parts.union(one)
+    return parts.groupBy("variant", "outcome").agg(F.count("*").alias("n"))
 
 
 def quantile_thresholds(scored: DataFrame, by: list[str], config=scoring.InformativenessConfig()) -> DataFrame:
@@ -80,14 +122,21 @@ def family_audit(rows: DataFrame, family: str, text: str, split: str, least: int
 
 
 def style_audit(rows: DataFrame, family: str, text: str, least: int = 1) -> DataFrame:
-    """Averages of style features by family, the style they make, and how far each family is from the others."""
-    scored = scoring.informativeness(with_template_counts(rows, text), text)
-    averages = scored.groupBy(stats.named(family).alias("family")).agg(
-        F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("char_length", "token_count", "lexical_diversity", "markup_ratio", "score")],
-        F.round(F.avg(F.col("mostly_numeric_or_result").cast("int")), 6).alias("numeric_rate"),
-        F.round(F.avg((F.col("template_count") > 1).cast("int")), 6).alias("duplicate_rate")).where(F.col("n") >= least)
-    named = averages.withColumn("style", scoring.style_cluster(F.col("markup_ratio"), F.col("numeric_rate"), F.col("duplicate_rate"), F.col("score")))
-    return stats.divergence(named, ["char_length", "token_count", "lexical_diversity", "markup_ratio", "numeric_rate", "score"])
+    """Averages of style features by family, the style they make, and how far each family is from the others.
+
+    Texts are read once, for a table of features; the counts of templates are joined to that.
+    """
+    featured = scoring.informativeness(scoring.boilerplate_features(rows.select(stats.named(family).alias("family"), text), text), text)
+    light = written(featured.select(
+        "family", "char_length", "token_count", "lexical_diversity", F.col("markup_share").alias("markup_rate"), "score", digest(t.normalize(F.col("plain_text"), "punct_light")).alias("_template"),
+        F.arrays_overlap("_own", F.array(F.lit("markup_only"), F.lit("pgn_markup_heavy"))).alias("_heavy"),
+        (F.col("mostly_numeric_or_result") | (F.col("symbol_ratio") >= 0.25)).alias("_numeric")), "styles")
+    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
+    averages = with_counts(light).groupBy("family").agg(
+        F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("char_length", "token_count", "lexical_diversity", "markup_rate", "score")],
+        rate(F.col("_heavy")).alias("markup_heavy_rate"), rate(F.col("_numeric")).alias("numeric_rate"), rate(F.col("template_count") > 1).alias("duplicate_rate")).where(F.col("n") >= least)
+    named = averages.withColumn("style", scoring.style_cluster(F.col("markup_heavy_rate"), F.col("numeric_rate"), F.col("duplicate_rate"), F.col("score")))
+    return stats.divergence(named, ["char_length", "token_count", "lexical_diversity", "markup_rate", "duplicate_rate", "numeric_rate"])
 
 
 def label_frequency(labelled: DataFrame, labels: str, by=()) -> DataFrame:

@@ -25,10 +25,6 @@ def square_column(square: Column) -> Column:
     return F.pmod(square, F.lit(8)).cast("int")
 
 
-def square_at(row: Column, column: Column) -> Column:
-    return ((7 - row) * 8 + column).cast("int")
-
-
 def square_of(name: Column) -> Column:
     """``a1`` is 0, ``h8`` is 63; null for anything else."""
     return F.when(name.rlike("^[a-h][1-8]$"), (F.ascii(F.substring(name, 2, 1)) - 49) * 8 + F.ascii(name) - 97)
@@ -50,7 +46,7 @@ def encode_move(src: Column, dst: Column, promotion: Column) -> Column:
 
 
 def square_relations(spark: SparkSession) -> DataFrame:
-    """The 4,096 pairs of squares: 1 the same, 2 one rank, 3 one file, 4 one diagonal, 5 a knight's jump, else 0."""
+    """The 4,096 pairs of squares: 1 one rank, 2 one file, 3 one diagonal, 4 a knight's jump, 0 the same square and the rest."""
     pairs = spark.range(4096).select(F.floor(F.col("id") / 64).cast("int").alias("a"), F.pmod("id", F.lit(64)).cast("int").alias("b"))
     dr, dc = F.abs(square_row(F.col("a")) - square_row(F.col("b"))), F.abs(square_column(F.col("a")) - square_column(F.col("b")))
-    return pairs.withColumn("relation", F.when((dr == 0) & (dc == 0), 1).when(dr == 0, 2).when(dc == 0, 3).when(dr == dc, 4).when((dr + dc == 3) & (dr > 0) & (dc > 0), 5).otherwise(0))
+    return pairs.withColumn("relation", F.when((dr == 0) & (dc == 0), 0).when(dr == 0, 1).when(dc == 0, 2).when(dr == dc, 3).when((dr + dc == 3) & (dr > 0) & (dc > 0), 4).otherwise(0))

@@ -30,8 +30,3 @@ def flatten(messages: Column) -> Column:
 def flatten_text(*parts) -> Column:
     """The parts that are there, stripped, on lines of their own."""
     return F.array_join(F.filter(F.array(*[t.strip(t.text_of(p)) for p in parts]), lambda x: x != ""), "\n")
-
-
-def anchor_class(text: Column, anchor: Column) -> Column:
-    """``anchored`` with a text and an anchor, ``text_only``, or ``unusable``."""
-    return F.when(text == "", "unusable").when(anchor.isNotNull(), "anchored").otherwise("text_only")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import text as t
 from strandmill.functions.hashing import rank_key
 from strandmill.operators.ranking import first_n, names
+from strandmill.sources.shared import written
 
 
 def digest(column: Column) -> Column:
@@ -47,12 +48,21 @@ def cross_identity(rows: DataFrame, key: str, identity: str) -> DataFrame:
     return wide.agg(F.count("*").alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
-def top_repeated(rows: DataFrame, text: str, source: str, k: int = 20) -> DataFrame:
-    """The ``k`` texts that repeat most, with the sources they come from as ``source:count`` in order."""
-    per_source = rows.where(F.col(text) != "").groupBy(text, source).agg(F.count("*").alias("n"))
-    totals = per_source.groupBy(text).agg(
-        F.sum("n").alias("repeats"), F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce(F.col(source).cast("string"), F.lit("unknown")), "n"))).alias("_s"))
-    return totals.where("repeats > 1").orderBy(F.desc("repeats"), text).limit(k).select(text, "repeats", F.array_join("_s", ",").alias("sources"))
+def top_repeated(rows: DataFrame, text: str, source: str, k: int = 20, sources: int = 1000) -> DataFrame:
+    """The ``k`` texts that repeat most, with the sources they come from as ``source:count`` in order.
+
+    Texts are counted by digest; only the texts of the ``k`` largest counts, and those that tie with the last of them,
+    are fetched. A text of more than ``sources`` sources is an error: that column holds no sources.
+    """
+    light = rows.select(digest(F.col(text)).alias("_key"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("_source"), text)
+    per_source = written(light.where("_key is not null").groupBy("_key", "_source").agg(F.count("*").alias("n")), "repeated")
+    totals = per_source.groupBy("_key").agg(F.sum("n").alias("repeats"), F.count("*").alias("_sources")).where("repeats > 1")
+    last = totals.orderBy(F.desc("repeats")).limit(k).agg(F.min("repeats")).first()[0] or 0
+    top = totals.where(F.col("repeats") >= last)
+    checked = top.withColumn("_ok", F.assert_true(F.col("_sources") <= sources, F.lit(f"a text of over {sources} sources"))).drop("_ok", "_sources")
+    listed = per_source.join(checked.select("_key"), "_key").groupBy("_key").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "_source", "n"))), ",").alias("sources"))
+    texts = light.join(checked.select("_key"), "_key", "left_semi").groupBy("_key").agg(F.first(text).alias(text))
+    return checked.join(listed, "_key").join(texts, "_key").orderBy(F.desc("repeats"), text).limit(k).select(text, "repeats", "sources")
 
 
 def dedup(rows: DataFrame, key: Column, within: list[str], identity: str, keep: int, salt: str) -> DataFrame:

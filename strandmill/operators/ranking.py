@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,18 +99,19 @@ def stride(rows: DataFrame, group: str, place: str, every: int, salt: str) -> Da
     return rows.where(F.pmod(F.col(place) - phase, F.lit(every)) == 0)
 
 
-def placed(rows: DataFrame, by, order: list[Column], into: str = "place") -> DataFrame:
-    """``rows`` with their place, from 0, within their group in ``order``, however large the group is.
+def running(rows: DataFrame, by, order: list[Column], weight: Column, into: str) -> DataFrame:
+    """``rows`` with the sum of ``weight`` over the earlier rows of their group in ``order``, however large the group is.
 
-    Rows are sorted over ranges of (group, order) and counted per range; only the ranges' sizes are summed in order.
+    Rows are sorted over ranges of (group, order) and summed per range; only the ranges' sums are added up in order.
     The ranges are written before both results read them, as another run might cut them elsewhere.
     """
     by = names(by)
-    ranged = written(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({
+    ranged = written(rows.withColumn("_weight", weight).repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumns({
         "_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
-    inside = ranged.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_at")) - 1)
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n")).select(
+    earlier = Window.unboundedPreceding, -1
+    inside = ranged.withColumn("_in", F.coalesce(F.sum("_weight").over(Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(*earlier)), F.lit(0)))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(*earlier)
+    starts = ranged.groupBy(*by, "_range").agg(F.sum("_weight").alias("_n")).select(
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     same = F.col("_range") == F.col("_of")
     for i, c in enumerate(by):
@@ -116,6 +119,27 @@ def placed(rows: DataFrame, by, order: list[Column], into: str = "place") -> Dat
     return inside.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_in")).cast("long").alias(into))
 
 
+def placed(rows: DataFrame, by, order: list[Column], into: str = "place") -> DataFrame:
+    """``rows`` with their place, from 0, within their group in ``order``, however large the group is."""
+    return running(rows, by, order, F.lit(1), into)
+
+
+def histories(rows: DataFrame, by: str, order: list[Column], key: str, value: str, size: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Histories of groups in a form that grows with the rows: ``(by, key, place, segment)`` of each row, and
+    ``(by, segment, items)``, the values in order, ``size`` to a segment."""
+    links = written(placed(rows, by, order, "place").select(by, key, "place", F.floor(F.col("place") / size).alias("segment"), F.col(value).alias("_value")), "histories")
+    segments = links.groupBy(by, "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_value"))), lambda x: x["_value"]).alias("items"))
+    return links.drop("_value"), segments
+
+
+def whole_histories(links: DataFrame, segments: DataFrame, by: str, key: str) -> DataFrame:
+    """``(by, key, history)``: all values of the group up to the row, its own among them. What it returns grows with the
+    square of a group, so it is for groups like games; :func:`histories` holds the same for any group."""
+    parts = links.join(segments.select(F.col(by).alias("_by"), F.col("segment").alias("_segment"), "items"), (F.col(by) == F.col("_by")) & (F.col("_segment") <= F.col("segment")))
+    gathered = parts.groupBy(by, key, "place", "segment").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_segment", "items"))), lambda x: x["items"])).alias("_all"))
+    return gathered.select(by, key, F.slice("_all", F.lit(1), (F.col("place") + 1).cast("int")).alias("history"))
+
+
 def rotation(rows: DataFrame, order: list[Column], key: str, by: int, n: int) -> DataFrame:
     """``(key, partner)``: rows in ``order``, each with the row ``by`` places on, around the end."""
     at = placed(rows, (), order, "_place").select(key, "_place")
@@ -141,41 +165,51 @@ def permutation(rows: DataFrame, key: str, salt: str) -> DataFrame:
     return here.join(there, "_place").select(key, "partner")
 
 
-def skyline(rows: DataFrame, key: str, low: list[str], high: list[str], blocks: int = 8) -> DataFrame:
+def undominated(x: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+    """Which rows of ``x`` (more is better) no row of ``others``, or of ``x`` itself, dominates."""
+    if others is not None:
+        return np.array([not ((others >= r).all(1) & (others > r).any(1)).any() for r in x], bool)
+    keep, best, n = np.zeros(len(x), bool), np.empty_like(x), 0
+    for i in np.argsort(-x.sum(1), kind="stable"):
+        if not ((best[:n] >= x[i]).all(1) & (best[:n] > x[i]).any(1)).any():
+            keep[i], best[n], n = True, x[i], n + 1
+    return keep
+
+
+def skyline(rows: DataFrame, key: str, low: list[str], high: list[str], block_rows: int = 8192) -> DataFrame:
     """Rows that no other row dominates: at most in ``low``, at least in ``high``, and better in one.
 
-    Each block is thinned on its own first; a row that its block's rows dominate is dominated. The rest, a skyline of
-    skylines, is compared once more.
+    Each task thins its rows first, as what they dominate is dominated. The rest is written; blocks of it meet all
+    other blocks, so a table that is nearly all skyline costs bounded tasks. A row with a null is compared with none
+    and stays.
     """
     columns = low + high
-
-    def better(a: str, b: str):
-        cond = F.lit(True)
-        strict = F.lit(False)
-        for c in columns:
-            x, y = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
-            cond &= (x <= y) if c in low else (x >= y)
-            strict |= (x < y) if c in low else (x > y)
-        return cond & strict
+    signs = np.array([-1.0] * len(low) + [1.0] * len(high))
 
     def thin(batches):
-        import numpy as np
-        import pandas as pd
-
         held = None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch])
-            x = held[columns].to_numpy(float) * np.array([-1.0] * len(low) + [1.0] * len(high))
-            keep, best = [], np.empty((0, len(columns)))
-            for i in np.argsort(-x.sum(1), kind="stable"):
-                if not ((best >= x[i]).all(1) & (best > x[i]).any(1)).any():
-                    keep.append(i)
-                    best = np.vstack([best, x[i]])
-            held = held.iloc[sorted(keep)]
+            held = held[undominated(held[columns].to_numpy(float) * signs)]
         if held is not None:
             yield held
 
-    few = rows.select(key, *columns).dropna(subset=columns)
-    thinned = few.mapInPandas(thin, few.schema)
-    merged = thinned.repartition(1).mapInPandas(thin, few.schema)
-    return merged
+    few = rows.select(key, *columns)
+    known = few.dropna(subset=columns)
+    thinned = written(known.mapInPandas(thin, few.schema), "skyline")
+    blocks = max(1, -(-thinned.count() // block_rows))
+    numbered = thinned.withColumn("_b", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
+    here, there = numbered.select(*few.columns, "_b", every), numbered.select(*[F.col(c).alias(f"o_{i}") for i, c in enumerate(columns)], F.col("_b").alias("_o"), every.alias("_b"))
+
+    def beaten(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(other):
+            return own[[key]].iloc[:0]
+        return own[[key]][~undominated(own[columns].to_numpy(float) * signs, undominated_rows(other))]
+
+    def undominated_rows(other: pd.DataFrame) -> np.ndarray:
+        x = other[[f"o_{i}" for i in range(len(columns))]].to_numpy(float) * signs
+        return x[undominated(x)]
+
+    lost = here.groupBy("_b", "_o").cogroup(there.groupBy("_b", "_o")).applyInPandas(beaten, few.select(key).schema).distinct()
+    return thinned.join(lost, key, "left_anti").union(few.exceptAll(known))

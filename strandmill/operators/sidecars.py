@@ -56,19 +56,46 @@ def drop_reasons(*rules: tuple[str, Column]) -> Column:
 
 def game_reasons(variant: Column, rated: Column | None, plies: Column, least: int = 0, most: int | None = None) -> Column:
     """Why a game is left out, in order: variant, rating, too short, too long."""
-    rules = [("non_standard_variant", ~F.lower(t.strip(t.text_of(variant))).isin("", "standard"))]
+    rules = [("non_standard_variant", ~standard_game(variant))]
     if rated is not None:
-        rules.append(("unrated", ~F.coalesce(rated, F.lit(False))))
-    rules.append(("too_short", plies < least))
+        rules.append(("unrated_game", ~F.coalesce(rated, F.lit(False))))
+    rules.append(("too_short_game", plies < least))
     if most is not None:
-        rules.append(("too_long", plies > most))
+        rules.append(("too_long_game", plies > most))
     return drop_reasons(*rules)
 
 
-def source_family(given: str, source: str, site: str, event: str, annotator: str, file: str, prefix: str = "collection") -> Column:
-    """The family of a row's source: what is given, else the domain of its site or annotator, else a slug of site,
-    event or annotator under ``prefix``, else the file's stem, else the source."""
+# Variants of plain games, in any case; of annotated games, as they are written; values of a rated header.
+VARIANTS = ("", "standard", "chess", "from position")
+ANNOTATED_VARIANTS = ("", "Standard")
+RATED = ("true", "yes", "1")
+# Starts of source names that say how the family is found, and the prefix of families without a domain.
+DATASET_SOURCE, ARCHIVE_SOURCE, ARCHIVE_PREFIX = "mate_dataset_", "waterhorse_annotated_pgn", "waterhorse"
+
+
+def standard_game(variant: Column) -> Column:
+    return F.lower(t.strip(t.text_of(variant))).isin(*VARIANTS)
+
+
+def standard_annotated_game(variant: Column) -> Column:
+    """Stricter than :func:`standard_game`: the header as it is written."""
+    return t.text_of(variant).isin(*ANNOTATED_VARIANTS)
+
+
+def rated_game(header: Column, event: Column) -> Column:
+    """By the header, else by an event that says so."""
+    return F.lower(t.strip(t.text_of(header))).isin(*RATED) | F.lower(t.text_of(event)).contains("rated")
+
+
+def source_family(given: str, source: str, site: str, event: str, annotator: str, file: str, noted: str | None = None) -> Column:
+    """The family of a row's source: a slug of what is given; of a data set its name; of an archive of annotated games
+    the domain of site or annotator (``noted`` is one beside the headers), else a prefixed slug of site, event or
+    annotator; of any other row the stem of its file, else the source."""
+    name = F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("unknown"))
     known = lambda c: F.when(~t.strip(t.text_of(c)).isin("", "?"), t.strip(t.text_of(c)))
-    stem = F.regexp_replace(F.regexp_extract(t.text_of(file), r"([^/]*)$", 1), r"(?<=.)\..*$", "")
-    slugs = [F.when(known(c).isNotNull(), F.concat(F.lit(prefix + "::"), F.substring(t.slug(known(c)), 1, 64))) for c in (site, event, annotator)]
-    return F.coalesce(known(given), t.domain(site), t.domain(annotator), *slugs, F.nullif(stem, F.lit("")), known(source), F.lit("unknown"))
+    domains = [t.domain(c) for c in (site, annotator, noted) if c]
+    slugs = [F.when(known(c).isNotNull(), F.concat(F.lit(ARCHIVE_PREFIX + "::"), F.substring(t.slug(known(c)), 1, 64))) for c in (site, event, annotator)]
+    archive = F.coalesce(*domains, *slugs, F.lit(ARCHIVE_PREFIX + "::unknown"))
+    stem = F.regexp_replace(F.regexp_extract(t.text_of(file), r"([^/]*)/*$", 1), r"(?<=[^.])\.[^.]*$", "")
+    return (F.when(t.text_of(given) != "", t.slug(given)).when(name.startswith(DATASET_SOURCE), t.slug(name)).when(name.startswith(ARCHIVE_SOURCE), archive)
+            .when(stem != "", t.slug(stem)).otherwise(t.slug(name)))

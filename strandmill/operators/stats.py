@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators.ranking import names
+from strandmill.operators.ranking import names, running
+from strandmill.sources.shared import written
 
 
 def named(column: str, empty: str = "unknown") -> Column:
@@ -29,10 +30,6 @@ def pivot_counts(rows: DataFrame, by, column: str, values: list[str], total: str
         F.count("*").alias(total), *[F.count_if(F.col(column) == v).alias(v) for v in values])
 
 
-def flag_counts(rows: DataFrame, by, flags: list[str]) -> DataFrame:
-    return rows.groupBy(*names(by)).agg(*[F.count_if(F.col(c)).alias(c) for c in flags])
-
-
 def label_of(p: float) -> str:
     return f"p{round(p * 100):d}"
 
@@ -40,17 +37,21 @@ def label_of(p: float) -> str:
 def distribution(rows: DataFrame, by, value: str, percentiles=(0.5, 0.9)) -> DataFrame:
     """``n, mean, max`` and nearest-rank percentiles of each group.
 
-    The rank is round-half-even((n - 1) * p). Equal values are counted before they move, so a hot group costs its
-    distinct values; running counts over these give the ranks. Nulls are not counted; no group, no row.
+    The rank is round-half-even((n - 1) * p). Equal values are counted before they move; running counts over ranges of
+    the distinct values give the ranks, so one large group is ranked in many tasks. Nulls are not counted; no group, no row.
     """
     by = names(by)
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = counted.withColumns({
-        "_upto": F.sum("_c").over(Window.partitionBy(*by).orderBy("_v")), "_n": F.sum("_c").over(Window.partitionBy(*by))})
-    at = lambda p: F.bround((F.col("_n") - 1) * F.lit(float(p)))
-    return upto.groupBy(*by).agg(
-        F.sum("_c").alias("n"), F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"), F.max("_v").alias("max"),
-        *[F.min(F.when(F.col("_upto") > at(p), F.col("_v"))).alias(label_of(p)) for p in percentiles])
+    placed = written(running(counted, by, [F.col("_v")], F.col("_c"), "_before"), "ranks")
+    sizes = placed.groupBy(*by).agg(F.sum("_c").alias("n"), F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"), F.max("_v").alias("max"))
+    groups = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "n", "mean", "max", *[F.bround((F.col("n") - 1) * F.lit(float(p))).cast("long").alias(f"_at{j}") for j, p in enumerate(percentiles)])
+    first, last = F.col("_before"), F.col("_before") + F.col("_c")
+    match = F.lit(True)
+    for i, c in enumerate(by):
+        match &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    found = placed.join(groups, match)
+    return found.groupBy(*by, "n", "mean", "max").agg(*[
+        F.min(F.when((F.col(f"_at{j}") >= first) & (F.col(f"_at{j}") < last), F.col("_v"))).alias(label_of(p)) for j, p in enumerate(percentiles)])
 
 
 def mean_and_spread(rows: DataFrame, by, values: list[str]) -> DataFrame:

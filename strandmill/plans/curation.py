@@ -141,7 +141,7 @@ f AS (SELECT *, concat_ws(',',
 
 @query(f"WITH {flags_sql('documents', 'doc_id', 'lang')} SELECT doc_id, template_count, n AS token_count, round(dv, 6) AS lexical_diversity, categories FROM f")
 def boilerplate_flags(spark, sf_dir):
-    flagged = audits.boilerplate_flags(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    flagged = audits.boilerplate_flags(documents(spark, sf_dir), "text", ["doc_id"])
     return flagged.select("doc_id", "template_count", F.col("token_count").cast("long").alias("token_count"), F.round("lexical_diversity", 6).alias("lexical_diversity"), F.array_join("categories", ",").alias("categories"))
 
 
@@ -151,12 +151,12 @@ AUDIT = """SELECT {by}, category, count(*) AS n, round(count(*) / any_value(tota
 
 @query(f"WITH {flags_sql('documents', 'doc_id', 'lang')} {AUDIT.format(by='lang')}")
 def boilerplate_audit(spark, sf_dir):
-    return audits.category_audit(audits.boilerplate_flags(documents(spark, sf_dir).select("lang", "text"), "text"), "lang")
+    return audits.category_audit(audits.boilerplate_flags(documents(spark, sf_dir), "text", ["lang"]), "lang")
 
 
 @query(f"WITH {flags_sql('conversations', 'conv_id', 'role')} {AUDIT.format(by='role')}")
 def chat_boilerplate_audit(spark, sf_dir):
-    return audits.category_audit(audits.boilerplate_flags(table(spark, sf_dir, "conversations").select("role", "text"), "text"), "role")
+    return audits.category_audit(audits.boilerplate_flags(table(spark, sf_dir, "conversations"), "text", ["role"]), "role")
 
 
 def scores_sql(source: str = "documents", columns: str = "doc_id, lang, source, text") -> str:
@@ -234,13 +234,13 @@ p AS (SELECT *, row_number() OVER (PARTITION BY split, CASE WHEN light = '' THEN
 
 @query(f"{CLEAN} SELECT doc_id, split, md5(plain_text) AS plain_md5 FROM p WHERE place <= 3")
 def template_cap(spark, sf_dir):
-    kept, _ = audits.clean(documents(spark, sf_dir).select("doc_id", "split", "text"), "text", "doc_id", ["split"])
-    return kept.select("doc_id", "split", F.md5("plain_text").alias("plain_md5"))
+    kept, _ = audits.clean(audits.boilerplate_flags(documents(spark, sf_dir), "text", ["doc_id", "split"]), "doc_id", ["split"])
+    return kept.select("doc_id", "split", "plain_md5")
 
 
 @query(f"{CLEAN} SELECT doc_id, 'template_cap' AS drop_reason FROM p WHERE place > 3 UNION ALL SELECT doc_id, reason FROM d WHERE reason IS NOT NULL")
 def drop_ledger(spark, sf_dir):
-    return audits.clean(documents(spark, sf_dir).select("doc_id", "split", "text"), "text", "doc_id", ["split"])[1]
+    return audits.clean(audits.boilerplate_flags(documents(spark, sf_dir), "text", ["doc_id", "split"]), "doc_id", ["split"])[1]
 
 
 def cap_sql(most: int) -> str:
@@ -308,16 +308,22 @@ def family_audit(spark, sf_dir):
     return audits.family_audit(documents(spark, sf_dir), "source", "text", "split")
 
 
-STYLE = ("char_length", "token_count", "lexical_diversity", "markup_ratio", "numeric_rate", "score")
+STYLE = ("char_length", "token_count", "lexical_diversity", "markup_rate", "duplicate_rate", "numeric_rate")
 
 
-@query(f"""WITH {scores_sql()}, tc AS (SELECT *, {T.template('text')} AS template FROM s),
-n AS (SELECT *, CASE WHEN template = '' THEN 0 ELSE count(*) OVER (PARTITION BY template) END AS template_count FROM tc),
-a AS (SELECT coalesce(nullif(source, ''), 'unknown') AS family, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in STYLE if c != 'numeric_rate')},
-  round(avg(mostly_numeric_or_result::INT), 6) AS numeric_rate, round(avg((template_count > 1)::INT), 6) AS duplicate_rate FROM n GROUP BY 1),
-z AS (SELECT *, {', '.join(f'CASE WHEN coalesce(stddev_samp({c}) OVER (), 1) < 1e-8 THEN 1 ELSE coalesce(stddev_samp({c}) OVER (), 1) END AS sd_{c}, avg({c}) OVER () AS m_{c}' for c in STYLE)} FROM a)
-SELECT family, n, {', '.join(STYLE)}, duplicate_rate, CASE WHEN markup_ratio >= 0.2 OR numeric_rate >= 0.2 THEN 'markup_heavy' WHEN duplicate_rate >= 0.25 THEN 'repetitive'
-  WHEN score >= 0.68 AND markup_ratio < 0.1 THEN 'human_leaning' ELSE 'mixed' END AS style, round(sqrt({' + '.join(f'(({c} - m_{c}) / sd_{c}) ** 2' for c in STYLE)}), 4) AS divergence FROM z""")
+def style_sql(source: str, key: str, family: str) -> str:
+    """The audit of a table; flags and scores are those of the other queries' SQL."""
+    spread = lambda c: f"(CASE WHEN coalesce(stddev_samp({c}) OVER (), 1) < 1e-8 THEN 1 ELSE coalesce(stddev_samp({c}) OVER (), 1) END)"
+    return f"""WITH {flags_sql(source, key, family)}, {scores_sql(source, f'{key}, text')},
+j AS (SELECT coalesce(nullif(f.{family}, ''), 'unknown') AS family, s.char_length, s.token_count, s.lexical_diversity, f.ms AS markup_rate, s.score, template_count,
+  regexp_matches(categories, 'markup_only|pgn_markup_heavy') AS heavy, mostly_numeric_or_result OR symbol_ratio >= 0.25 AS num FROM f JOIN s USING ({key})),
+a AS (SELECT family, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('char_length', 'token_count', 'lexical_diversity', 'markup_rate', 'score'))},
+  round(avg(heavy::INT), 6) AS markup_heavy_rate, round(avg(num::INT), 6) AS numeric_rate, round(avg((template_count > 1)::INT), 6) AS duplicate_rate FROM j GROUP BY 1)
+SELECT *, CASE WHEN markup_heavy_rate >= 0.2 OR numeric_rate >= 0.2 THEN 'markup_heavy' WHEN duplicate_rate >= 0.25 THEN 'repetitive'
+  WHEN score >= 0.68 AND markup_heavy_rate < 0.1 THEN 'human_leaning' ELSE 'mixed_style' END AS style, round(sqrt({' + '.join(f'(({c} - avg({c}) OVER ()) / {spread(c)}) ** 2' for c in STYLE)}), 4) AS divergence FROM a"""
+
+
+@query(style_sql("documents", "doc_id", "source"))
 def style_audit(spark, sf_dir):
     return audits.style_audit(documents(spark, sf_dir), "source", "text").withColumn("divergence", F.round("divergence", 4))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import scoring, text as t
@@ -20,8 +19,9 @@ query = REGISTRY.query
 OTHER = SplitConfig(0.7, 0.2, "second")
 
 
-@query(r"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://', ''), '^www\.', ''), '[/?#].*$', '') AS host FROM pages)
-SELECT page_id, CASE WHEN contains(host, '.') AND NOT regexp_matches(host, '\s') THEN host END AS domain FROM u""")
+@query(r"""WITH u AS (SELECT page_id, lower(trim(coalesce(url, ''))) AS url FROM pages),
+h AS (SELECT page_id, split_part(regexp_replace(CASE WHEN contains(url, '://') THEN regexp_extract(url, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1) ELSE url END, '^www\.', ''), '/', 1) AS host FROM u)
+SELECT page_id, CASE WHEN contains(host, '.') AND NOT contains(host, ' ') THEN host END AS domain FROM h""")
 def source_family_from_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.domain("url").alias("domain"))
 
@@ -40,7 +40,7 @@ def holdout_counts(spark, sf_dir):
     return source_counts(spark, sf_dir)
 
 
-@query(f"WITH {COUNTS} SELECT source, {ELIGIBLE} AS reason, CASE WHEN total <= 199 THEN 'exploratory' WHEN total < 500 THEN 'secondary' WHEN total >= 1000 THEN 'strong' ELSE 'primary' END AS pool FROM c")
+@query(f"WITH {COUNTS} SELECT source, {ELIGIBLE} AS reason, CASE WHEN total <= 199 THEN 'exploratory_only' WHEN total < 500 THEN 'secondary_shared' WHEN total >= 1000 THEN 'strong_primary' ELSE 'primary_shared' END AS pool FROM c")
 def holdout_eligibility(spark, sf_dir):
     return source_counts(spark, sf_dir).select("source", scoring.eligibility().alias("reason"), scoring.pool_class(F.col("total")).alias("pool"))
 
@@ -50,8 +50,7 @@ d AS (SELECT coalesce(source, 'unknown') AS source, {SPLIT} AS split FROM docume
 SELECT e.source AS regime, split, count(*) AS n FROM e JOIN d ON (split = 'test' AND d.source = e.source) OR (split <> 'test' AND d.source <> e.source) GROUP BY 1, 2""")
 def holdout_regimes(spark, sf_dir):
     eligible = source_counts(spark, sf_dir).where(scoring.eligibility().isNull()).select(F.col("source").alias("value"))
-    rows = alignment.holdout(documents(spark, sf_dir).select("source", "split"), F.col("source"), "split", eligible)
-    return rows.groupBy("regime", "split").agg(F.count("*").alias("n"))
+    return alignment.holdout_sizes(documents(spark, sf_dir), F.col("source"), "split", eligible).where("n > 0")
 
 
 @query(f"SELECT pair, shared FROM (SELECT count(*) FILTER (tr AND va) AS train_val, count(*) FILTER (tr AND te) AS train_test, count(*) FILTER (va AND te) AS val_test FROM ("
@@ -63,10 +62,11 @@ def split_leakage(spark, sf_dir):
 SECOND = H.split_of("doc_id", OTHER)
 
 
-@query(f"SELECT count(*) FILTER (a = b) AS unchanged, count(*) FILTER (a <> b) AS changed, 0::BIGINT AS only_before, 0::BIGINT AS only_after FROM (SELECT {SPLIT} AS a, {SECOND} AS b FROM documents)")
+@query(f"SELECT count(*) FILTER (a = b) AS unchanged, count(*) FILTER (a <> b) AS changed, count(*) FILTER (b IS NULL) AS only_before, count(*) FILTER (a IS NULL) AS only_after FROM (SELECT {SPLIT} AS a, doc_id FROM documents WHERE lang <> 'de') FULL JOIN (SELECT {SECOND} AS b, doc_id FROM documents WHERE lang <> 'fr') USING (doc_id)")
 def split_diff(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", "split")
-    return alignment.split_diff(rows, rows.withColumn("split", split_of("doc_id", OTHER)), "doc_id", "split")
+    """Two versions of a table: the first lacks one language, the second another."""
+    rows = documents(spark, sf_dir).select("doc_id", "split", "lang")
+    return alignment.split_diff(rows.where("lang <> 'de'"), rows.where("lang <> 'fr'").withColumn("split", split_of("doc_id", OTHER)), "doc_id", "split")
 
 
 @query(f"SELECT doc_id FROM documents WHERE {SPLIT} = 'test' AND {SECOND} = 'test'")
@@ -285,6 +285,14 @@ def derangement(spark, sf_dir):
 
 
 LENGTH = lambda a, b: f"sqrt(list_sum(list_transform(embedding[{a}:{b}], lambda c: c::DOUBLE * c::DOUBLE)))"
+SIGN_Z = "CASE WHEN wins + losses > 0 THEN round(abs(least(wins, losses) + 0.5e0 - (wins + losses) / 2) / sqrt((wins + losses) / 4), 6) ELSE 0 END"
+
+
+def erfc_sql(x: str) -> str:
+    """Two-sided p: the complementary error function as an integral over 4,000 strips, unlike the engine's closed form."""
+    return f"CASE WHEN wins + losses = 0 THEN 1e0 ELSE round(least(1e0, greatest(0e0, 1 - list_sum(list_transform(range(4000), lambda i: exp(-pow(({x}) * (i + 0.5e0) / 4000, 2)))) * ({x}) / 4000 * 2 / sqrt(pi()))), 5) END"
+
+
 DELTAS = f"d AS (SELECT vec_id, label, round({LENGTH(1, 32)} - {LENGTH(33, 64)}, 6) AS delta FROM embeddings)"
 
 
@@ -294,9 +302,9 @@ def deltas(spark, sf_dir):
 
 
 @query(f"""WITH {DELTAS}, c AS (SELECT label, count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties, round(avg(delta), 6) AS mean_delta FROM d GROUP BY 1)
-SELECT *, CASE WHEN wins + losses > 0 THEN round(greatest(0, abs(greatest(wins, losses) - (wins + losses) / 2) - 0.5) / sqrt((wins + losses) / 4), 6) ELSE 0 END AS z FROM c""")
+SELECT *, {SIGN_Z} AS z, {erfc_sql(f"{SIGN_Z} / sqrt(2e0)")} AS p FROM c""")
 def paired_delta_sign(spark, sf_dir):
-    return retrieval.sign_statistics(deltas(spark, sf_dir), "delta", "label")
+    return retrieval.sign_statistics(deltas(spark, sf_dir), "delta", "label").withColumn("p", F.round(retrieval.sign_p(F.col("z")), 5))
 
 
 @query()
@@ -305,10 +313,21 @@ def bootstrap_ci(spark, sf_dir):
     return found.withColumn("reading", scoring.interval_reading(F.col("low"), F.col("high")))
 
 
-@query("SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), ',') AS history FROM events")
+@query("""SELECT event_id, len(h) AS n, md5(array_to_string(h, ',')) AS history FROM (
+  SELECT event_id, list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM events)""")
 def history_prefix(spark, sf_dir):
-    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-7, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.collect_list("event_type").over(last), ",").alias("history"))
+    """Every event with its user's whole history up to it."""
+    links, segments = ranking.histories(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_id", "event_type")
+    return ranking.whole_histories(links, segments, "user_id", "event_id").select("event_id", F.size("history").cast("long").alias("n"), F.md5(F.array_join("history", ",")).alias("history"))
+
+
+@query("""WITH p AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events),
+s AS (SELECT user_id, place // 256 AS segment, md5(string_agg(event_type, ',' ORDER BY place)) AS items FROM p GROUP BY 1, 2)
+SELECT event_id, place, segment, items FROM p JOIN s USING (user_id) WHERE segment = place // 256""")
+def history_links(spark, sf_dir):
+    """The bounded form: an event's place, and the segment of its user's history that it is in."""
+    links, segments = ranking.histories(table(spark, sf_dir, "events"), "user_id", [F.col("ts"), F.col("event_id")], "event_id", "event_type")
+    return links.join(segments, ["user_id", "segment"]).select("event_id", "place", "segment", F.md5(F.array_join("items", ",")).alias("items"))
 
 
 PLACES = "SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ply FROM events"
@@ -317,8 +336,7 @@ PHASE = "('0x' || substr(sha256('stride:' || user_id), 1, 8))::BIGINT % 4"
 
 @query(f"SELECT event_id FROM ({PLACES}) WHERE (ply - {PHASE} + 4) % 4 = 0")
 def stride_sample(spark, sf_dir):
-    place = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(place).alias("ply"))
+    rows = ranking.placed(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", [F.col("ts"), F.col("event_id")], "ply").withColumn("ply", F.col("ply") + 1)
     return ranking.stride(rows, "user_id", "ply", 4, "stride").select("event_id")
 
 
@@ -343,7 +361,7 @@ def qa_gates(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT i AS a, j AS b, abs(i // 8 - j // 8) AS dr, abs(i % 8 - j % 8) AS dc FROM range(64) x(i), range(64) y(j))
-SELECT a, b, CASE WHEN dr = 0 AND dc = 0 THEN 1 WHEN dr = 0 THEN 2 WHEN dc = 0 THEN 3 WHEN dr = dc THEN 4 WHEN dr + dc = 3 AND dr > 0 AND dc > 0 THEN 5 ELSE 0 END AS relation FROM s""")
+SELECT a, b, CASE WHEN a = b THEN 0 WHEN dr = 0 THEN 1 WHEN dc = 0 THEN 2 WHEN dr = dc THEN 3 WHEN least(dr, dc) = 1 AND greatest(dr, dc) = 2 THEN 4 ELSE 0 END AS relation FROM s""")
 def square_relations(spark, sf_dir):
     return boards.square_relations(spark).select(*[F.col(c).cast("long").alias(c) for c in ("a", "b")], F.col("relation").cast("int").alias("relation"))
 

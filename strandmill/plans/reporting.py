@@ -8,7 +8,7 @@ from strandmill.functions import scoring, text as t
 from strandmill.functions.hashing import Sql as H
 from strandmill.operators import audits, dedup, ranking, reports, retrieval, runs, sidecars
 from strandmill.plans.curation import CLEAN, LIGHT, SPLIT, T, documents, hits_sql, scored, scores_sql
-from strandmill.plans.evaluation import ALIGN, COUNTS, DELTAS, METRICS, RANKS, align_cascade, deltas, ranked, source_counts
+from strandmill.plans.evaluation import ALIGN, COUNTS, DELTAS, METRICS, RANKS, SIGN_Z, align_cascade, deltas, ranked, source_counts
 from strandmill.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -60,8 +60,8 @@ def duplicates_by_bucket(spark, sf_dir):
     return reports.duplicates_by_bucket(scored(documents(spark, sf_dir).select("text")), "text", "bucket")
 
 
-@query("""WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
-SELECT count(*) FILTER (n >= 2) AS repeated_groups, max(n) AS largest, sum(n)::BIGINT AS grouped_rows, 'o_custkey' AS split_key, NULL::VARCHAR AS fallback_reason FROM g""")
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1), c AS (SELECT count(*) FILTER (n >= 2) AS repeated_groups, coalesce(max(n), 0) AS largest, coalesce(sum(n), 0)::BIGINT AS grouped_rows FROM g)
+SELECT *, CASE WHEN repeated_groups > 0 THEN 'o_custkey' ELSE 'row' END AS split_key, CASE WHEN grouped_rows = 0 THEN 'no_group_keys' WHEN repeated_groups = 0 THEN 'no_repeated_groups' END AS fallback_reason FROM c""")
 def split_strategy(spark, sf_dir):
     return reports.split_strategy(table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
 
@@ -122,7 +122,7 @@ SELECT count(*) AS artifacts, count(*) FILTER (b.split IS NULL) AS missing, coun
 def verify_cleaning(spark, sf_dir):
     """Kept and dropped rows of the cleaning add up to the rows of each split."""
     rows = documents(spark, sf_dir).select("doc_id", "split", "text")
-    kept, ledger = audits.clean(rows, "text", "doc_id", ["split"])
+    kept, ledger = audits.clean(audits.boilerplate_flags(rows, "text", ["doc_id", "split"]), "doc_id", ["split"])
     splits = rows.select("doc_id", "split")
     found = kept.select("split").union(ledger.join(splits, "doc_id").select("split")).groupBy("split").agg(F.count("*").alias("n"))
     return reports.verified(splits.groupBy("split").agg(F.count("*").alias("n")), found, ["split"], "n")
@@ -171,29 +171,29 @@ def long_metrics(spark, sf_dir):
     return runs.long_metrics(epochs(spark, sf_dir), ["run", "epoch"], ["nll", "clicks", "purchases"])
 
 
-@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer WHERE c_nationkey < 5)
+@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer)
 SELECT o.k, orders, coalesce(balance, 0) AS balance FROM o LEFT JOIN c USING (k)""")
 def summary_join(spark, sf_dir):
     first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
-    return runs.with_metrics(first, table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance")), ["k"], ["balance"])
+    return runs.with_metrics(first, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance")), ["k"], ["balance"])
 
 
-@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer WHERE c_nationkey < 5)
+@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS orders FROM orders GROUP BY 1), c AS (SELECT c_custkey AS k, c_acctbal AS balance FROM customer)
 SELECT k, orders, balance, o.orders IS NOT NULL AS in_first, c.balance IS NOT NULL AS in_second FROM o FULL JOIN c USING (k)""")
 def summary_merge(spark, sf_dir):
     first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("orders"))
-    return runs.merged_subsets(first, table(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance")), ["k"])
+    return runs.merged_subsets(first, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance")), ["k"])
 
 
 @query(f"""WITH {DELTAS}, c AS (SELECT count(*) FILTER (delta > 0) AS wins, count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties, round(avg(delta), 6) AS mean_delta FROM d),
 m AS (SELECT count(*) AS regimes, count(*) FILTER (x > 0) AS regimes_up, count(*) FILTER (x < 0) AS regimes_down FROM (SELECT round(avg(delta), 6) AS x FROM d GROUP BY label))
-SELECT *, CASE WHEN wins + losses > 0 THEN round(greatest(0, abs(greatest(wins, losses) - (wins + losses) / 2) - 0.5) / sqrt((wins + losses) / 4), 6) ELSE 0 END AS z,
+SELECT *, {SIGN_Z} AS z,
   CASE WHEN mean_delta > 0 THEN regimes_up = regimes WHEN mean_delta < 0 THEN regimes_down = regimes ELSE false END AS consistent, CASE WHEN mean_delta > 0 THEN 'first' WHEN mean_delta < 0 THEN 'second' ELSE 'tie' END AS winner FROM c, m""")
 def pooled_regimes(spark, sf_dir):
     return runs.pooled_comparison(deltas(spark, sf_dir), "label", "delta")
 
 
-@query(f"""WITH {COUNTS} SELECT source, CASE WHEN total <= 199 THEN 'exploratory' WHEN total < 500 THEN 'secondary' WHEN total >= 1000 THEN 'strong' ELSE 'primary' END AS pool,
+@query(f"""WITH {COUNTS} SELECT source, CASE WHEN total <= 199 THEN 'exploratory_only' WHEN total < 500 THEN 'secondary_shared' WHEN total >= 1000 THEN 'strong_primary' ELSE 'primary_shared' END AS pool,
 concat_ws(',', CASE WHEN test >= 5 THEN 'tested' END, CASE WHEN train >= 8 * val THEN 'train_heavy' END) AS buckets FROM c""")
 def regime_buckets(spark, sf_dir):
     found = runs.regime_buckets(source_counts(spark, sf_dir), "total", {"tested": F.col("test") >= 5, "train_heavy": F.col("train") >= 8 * F.col("val")})
@@ -229,7 +229,7 @@ def random_control(spark, sf_dir):
     return ranking.permutation(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", "control")
 
 
-GAME = "CASE WHEN lower(trim(coalesce(o_orderstatus, ''))) NOT IN ('', 'standard', 'o', 'f') THEN 'non_standard_variant' WHEN o_orderpriority LIKE '5%' THEN 'unrated' WHEN plies < 3 THEN 'too_short' WHEN plies > 5 THEN 'too_long' END"
+GAME = "CASE WHEN lower(trim(coalesce(o_orderstatus, ''))) NOT IN ('', 'standard', 'o', 'f') THEN 'non_standard_variant' WHEN o_orderpriority LIKE '5%' THEN 'unrated_game' WHEN plies < 3 THEN 'too_short_game' WHEN plies > 5 THEN 'too_long_game' END"
 
 
 @query(f"""WITH p AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS plies FROM orders)

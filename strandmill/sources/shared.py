@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; one is set here only where there is none, as in tests."""
+    """``spark.checkpoint.dir``. Where there is none, a local session gets one of its own, as in tests; a cluster would
+    have no folder that all share, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="strandmill-")

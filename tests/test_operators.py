@@ -35,6 +35,7 @@ def test_small_text_functions(spark):
     assert one(spark, t.slug(F.lit("!!"))) == "unknown"
     assert one(spark, t.domain(F.lit("https://www.Example.org/a?b"))) == "example.org"
     assert one(spark, t.domain(F.lit("no domain"))) is None
+    assert [one(spark, t.domain(F.lit(x))) for x in ("a.org?x", "https://b.org?x", "www.c.org/p", "nohost", "x://")] == ["a.org?x", "b.org", "c.org", None, None]
     assert one(spark, t.clip(F.lit("abcdef ghi"), 8)) == "abcde..."
     assert one(spark, t.spaced_tag(F.lit("discoveredAttack_now"))) == "discovered attack now"
     assert one(spark, t.between(F.lit("a START b END c"), "START", ["END"])).strip() == "b"
@@ -42,7 +43,7 @@ def test_small_text_functions(spark):
 
 def test_scoring_rules(spark):
     sizes = spark.createDataFrame([(n,) for n in (150, 437, 500, 1000)], "n long")
-    assert [r[0] for r in sizes.orderBy("n").select(scoring.pool_class(F.col("n"))).collect()] == ["exploratory", "secondary", "primary", "strong"]
+    assert [r[0] for r in sizes.orderBy("n").select(scoring.pool_class(F.col("n"))).collect()] == ["exploratory_only", "secondary_shared", "primary_shared", "strong_primary"]
     rows = spark.createDataFrame([(1, "[%eval 0.3]"), (2, "1-0"), (3, "!?"), (4, "Inaccuracy. Nf3 was best."), (5, None), (6, "A plain remark on the position")], "id long, text string")
     found = {r["id"]: r["categories"] for r in scoring.boilerplate(rows.withColumn("n", F.lit(1)), "text", "n").collect()}
     assert found == {1: ["markup_only", "pgn_markup_heavy"], 2: ["result_comment"], 3: ["symbol_only"], 4: ["engine_template"], 5: [], 6: []}
@@ -105,7 +106,13 @@ def test_ranks_with_ties(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<double>")
     k = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "id long, v array<double>")
     assert sorted(tuple(r) for r in retrieval.ranks(q, k).collect()) == [(1, 1, 2, 2), (2, 1, 1, 1)]
-    assert abs(retrieval.sign_p(1.959964) - 0.05) < 1e-6
+    import math
+
+    for z in (0.0, 0.1, 0.5, 1.0, 1.959964, 3.0, 5.0):
+        assert abs(one(spark, retrieval.sign_p(F.lit(z), F.lit(9))) - math.erfc(z / math.sqrt(2))) < 2e-7
+    assert one(spark, retrieval.sign_p(F.lit(0.0), F.lit(0))) == 1.0
+    signs = spark.createDataFrame([(1.0,), (-1.0,), (0.0,)], "d double")
+    assert retrieval.sign_statistics(signs, "d").first()["z"] == round(0.5 / math.sqrt(2 / 4), 6)
 
 
 def test_boards(spark):

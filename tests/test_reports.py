@@ -54,10 +54,16 @@ def test_prompt_rows(spark):
 def test_source_families(spark):
     schema = "given string, source string, site string, event string, annotator string, file string"
     rows = spark.createDataFrame([
-        ("mine", "s", None, None, None, None), (None, "s", "https://www.chess.example/1", None, None, None), (None, "s", "?", "My Open 2020", None, None),
-        (None, "s", None, None, None, "a/b/games.jsonl.gz"), ("", "s", "", None, None, ""), (None, None, None, None, None, None)], schema)
-    found = [r[0] for r in rows.select(sidecars.source_family("given", "source", "site", "event", "annotator", "file", "base")).collect()]
-    assert found == ["mine", "chess.example", "base::my_open_2020", "games", "s", "unknown"]
+        ("My Own!", "s", None, None, None, None), (None, "waterhorse_annotated_pgn_1", "https://www.chess.example/1", None, None, None), (None, "waterhorse_annotated_pgn", "?", "My Open 2020", None, "f.pgn"),
+        (None, "waterhorse_annotated_pgn", None, "?", None, None), (None, "s", "https://x.org", None, None, "a/b/Games 1.jsonl"), ("", "mate_dataset_Tactic", "", None, None, "f.zip"), ("", "s", "", None, None, ""), (None, None, None, None, None, None)], schema)
+    found = [r[0] for r in rows.select(sidecars.source_family("given", "source", "site", "event", "annotator", "file")).collect()]
+    assert found == ["my_own", "chess.example", "waterhorse::my_open_2020", "waterhorse::unknown", "games_1", "mate_dataset_tactic", "s", "unknown"]
+
+
+def test_game_rules(spark):
+    games = spark.createDataFrame([("Standard", "yes", "x", 40), (None, "", "Rated Blitz", 40), ("From Position ", "1", "", 40), ("CHESS", "true", "", 2), ("Atomic", "1", "", 40), ("", "no", "casual", 40), ("standard", "1", "", 400)], "v string, r string, e string, n int")
+    found = [tuple(r) for r in games.select(sidecars.game_reasons(F.col("v"), sidecars.rated_game(F.col("r"), F.col("e")), F.col("n"), 4, 300), sidecars.standard_annotated_game(F.col("v"))).collect()]
+    assert found == [(None, True), (None, True), (None, False), ("too_short_game", False), ("non_standard_variant", False), ("unrated_game", True), ("too_long_game", False)]
 
 
 def test_gates(spark):
