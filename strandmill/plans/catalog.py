@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import curation, evaluation, reporting
+from strandmill.plans import cases, curation, evaluation, reporting, sidecars
 
-PARTS = (curation, evaluation, reporting)
+PARTS = (curation, evaluation, reporting, cases, sidecars)
 
 
 def flagship(spark, sf_dir):

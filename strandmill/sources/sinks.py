@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,13 +21,42 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True)
 
 
+def write_file(spark: SparkSession, value: str, path: str) -> None:
+    """One small text as one file, such as a manifest, on whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(value.encode()))
+    finally:
+        stream.close()
+
+
+def yaml_lines(value, deep: int = 0) -> list[str]:
+    """Settings as YAML: nested maps and lists, scalars as JSON, which YAML reads."""
+    pad, rows = "  " * deep, value.items() if isinstance(value, dict) else ((None, x) for x in value)
+    out = []
+    for key, x in rows:
+        head = f"{pad}-" if key is None else f"{pad}{json.dumps(key) if not str(key).replace('_', '').isalnum() else key}:"
+        if isinstance(x, (dict, list, tuple)) and x:
+            out += [head, *yaml_lines(x, deep + 1)]
+        else:
+            out.append(f"{head} {json.dumps(x if x or not isinstance(x, tuple) else [], ensure_ascii=False, default=str)}")
+    return out
+
+
+def write_yaml(spark: SparkSession, value: dict, path: str) -> None:
+    write_file(spark, "\n".join(yaml_lines(value)) + "\n", path)
+
+
 def write_variants(variants: dict[str, DataFrame], ledger: DataFrame, root: str, primary: str) -> dict[str, int]:
     """``root/variant=.../split=...``, the ledger beside it, and the primary variant once more at ``root/primary``."""
     if primary not in variants:
         raise ValueError(f"{primary} is none of the variants {sorted(variants)}")
     counts = {name: write_jsonl(rows, f"{root}/variants/variant={name}", "split") for name, rows in variants.items()}
     write_jsonl(ledger, f"{root}/ledger")
-    write_jsonl(variants[primary], f"{root}/primary", "split")
+    # from what was just written, so that the variant is computed once
+    again = ledger.sparkSession.read.schema(variants[primary].schema).json(f"{root}/variants/variant={primary}")
+    write_jsonl(again, f"{root}/primary", "split")
     return counts
 
 
