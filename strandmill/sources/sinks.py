@@ -18,7 +18,7 @@ def write_jsonl(rows: DataFrame, path: str, *partitions: str) -> int:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").csv(path, header=True)
+    rows.write.mode("overwrite").csv(path, header=True, escape='"')  # quotes doubled, as the reader takes them
 
 
 def write_file(spark: SparkSession, value: str, path: str) -> None:
