@@ -60,6 +60,43 @@ def test_op2_better_places_hide_no_others():
     assert [b["word"] for b in long["base"][-2:]] == [299_994, 299_997]
 
 
+def test_op2_edits_by_brute_force():
+    """Notices with random edits, up to two more than allowed: found exactly where edit distances of all word runs say so."""
+    import random
+
+    rng, scanner = random.Random(8), licenses.Scanner()
+
+    def distances(notice, text):
+        """Edit distance of the notice to every prefix of the text."""
+        row = list(range(len(text) + 1))
+        for i, a in enumerate(notice, 1):
+            row, above = [i], row
+            for j, b in enumerate(text, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (a != b)))
+        return row
+
+    seen = Counter()
+    for n in range(60):
+        i = n % len(licenses.NOTICES)
+        label, notice = licenses.NOTICES[i]
+        chars = list(notice)
+        for _ in range(rng.randrange(0, scanner.edits[i] + 3)):
+            at = rng.randrange(len(chars))
+            change = rng.randrange(3)
+            chars[at:at + (change != 0)] = [] if change == 1 else [rng.choice("abcxyz")]
+        around = lambda: " ".join(rng.choice(("plain", "words", "of", "text", "zq")) for _ in range(rng.randrange(1, 6)))
+        words = f"{around()} {' '.join(''.join(chars).split())} {around()}".split()
+        text = " ".join(words)
+        starts = [0, *[k + 1 for k, c in enumerate(text) if c == " "]]
+        least = min(min(d for j, d in enumerate(distances(notice, text[a:a + len(notice) + scanner.edits[i] + 1])) if j and (a + j == len(text) or text[a + j] == " ")) for a in starts if len(text) > a)
+        spans = [s for s in scanner.scan(text)["spans"] if s["label"] == label]
+        assert bool(spans) == (least <= scanner.edits[i]), (text, least, spans)
+        if spans:
+            assert min(s["edits"] for s in spans) == least
+        seen[bool(spans)] += 1
+    assert min(seen.values()) >= 5
+
+
 def test_op3_held_out_accuracy(spark, docs):
     found = run(spark, "op3_language_id").merge(docs, on="doc_id")
     assert list(found["held_out"]) == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found["doc_id"]]
