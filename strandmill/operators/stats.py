@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.operators.ranking import names, running
-from strandmill.sources.shared import written
 
 
 def named(column: str, empty: str = "unknown") -> Column:
@@ -42,8 +41,8 @@ def distribution(rows: DataFrame, by, value: str, percentiles=(0.5, 0.9)) -> Dat
     """
     by = names(by)
     counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    placed = written(running(counted, by, [F.col("_v")], F.col("_c"), "_before"), "ranks")
-    sizes = placed.groupBy(*by).agg(F.sum("_c").alias("n"), F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"), F.max("_v").alias("max"))
+    placed = running(counted, by, [F.col("_v")], F.col("_c"), "_before")
+    sizes = placed.select(*by, "_v", "_c").groupBy(*by).agg(F.sum("_c").alias("n"), F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"), F.max("_v").alias("max"))
     groups = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "n", "mean", "max", *[F.bround((F.col("n") - 1) * F.lit(float(p))).cast("long").alias(f"_at{j}") for j, p in enumerate(percentiles)])
     first, last = F.col("_before"), F.col("_before") + F.col("_c")
     match = F.lit(True)
