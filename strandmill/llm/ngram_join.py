@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -243,9 +243,14 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     shaped = seen.where(F.size("blocks") > 0).join(repeated, of_set, "left")
     one = shaped.where("node = id").dropDuplicates(of_set).select("node", "blocks")
     shown = shaped.where("node is null").select(F.col("id").alias("node"), "blocks").union(one).select("node", F.explode("blocks").alias("block"))
-    shared = materialize(shown.groupBy("block").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1"), "ngram-blocks")
-    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    met = materialize(join_hot(shown, shared, "block", "c", total).groupBy("node", "hub").agg(F.sum("c").alias("met")), "ngram-met")
+    # the few blocks that many rows show are found by a sketch and joined where they lie, so that no task gets one whole
+    hot = list(shown.freqItems(["block"], 0.002).first()[0] or ())  # all that a 500th of the rows have, 500 at most
+    everywhere = shown.where(F.col("block").isin(hot))
+    hubs = everywhere.groupBy("block").agg(F.min("node").alias("hub"), F.count("*").alias("c"))  # a row for each hot block
+    of_block = Window.partitionBy("block")
+    drawn = shown.where(~F.col("block").isin(hot)).select("node", F.min("node").over(of_block).alias("hub"), F.count("*").over(of_block).alias("c")).where("c > 1")
+    drawn = drawn.union(everywhere.join(F.broadcast(hubs), "block").select("node", "hub", "c"))
+    met = materialize(drawn.groupBy("node", "hub").agg(F.sum("c").alias("met")), "ngram-met")
     groups = components(met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), "ngram-candidates")
 
     # 2. the sets of candidates only: their rows are found by key, broadcast while they are few
