@@ -238,19 +238,23 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     seen = materialize(base.withColumn("p", profiles(F.col("text"), size, percent)).select("id", "p.*"), "ngram-profiles")
     classes = materialize(seen.where("n > 0").groupBy(*of_set).agg(F.min("id").alias("node"), F.count("*").alias("c")), "ngram-classes")
 
-    # 1. column blocks: classes that share one are joined to the smallest of those that do
+    # 1. column blocks: classes that share one are joined to the smallest of those that do. Block lists are as large as
+    # texts, so rows find out where they lie whether they stand for their class; only pairs (row, block) are shuffled, once
     repeated = classes.where("c > 1").select(*of_set, "node")
-    shaped = seen.where(F.size("blocks") > 0).join(repeated, of_set, "left")
-    one = shaped.where("node = id").dropDuplicates(of_set).select("node", "blocks")
-    shown = shaped.where("node is null").select(F.col("id").alias("node"), "blocks").union(one).select("node", F.explode("blocks").alias("block"))
-    # the few blocks that many rows show are found by a sketch and joined where they lie, so that no task gets one whole
-    hot = list(shown.freqItems(["block"], 0.002).first()[0] or ())  # all that a 500th of the rows have, 500 at most
+    few = repeated.count() <= broadcast_rows
+    shaped = seen.where(F.size("blocks") > 0).join(F.broadcast(repeated) if few else repeated, of_set, "left").where("node is null or node = id").select(F.col("id").alias("node"), "blocks")
+    if not few:
+        shaped = materialize(shaped, "ngram-shaped")
+    shown = shaped.select("node", F.explode("blocks").alias("block"))
+    # the few blocks that very many rows show are found by a sketch and joined where they lie, so that no task gets one whole
+    hot = list(shown.freqItems(["block"], 0.0005).first()[0] or ())  # all with a 2,000th of the pairs, 2,000 at most
     everywhere = shown.where(F.col("block").isin(hot))
     hubs = everywhere.groupBy("block").agg(F.min("node").alias("hub"), F.count("*").alias("c"))  # a row for each hot block
     of_block = Window.partitionBy("block")
     drawn = shown.where(~F.col("block").isin(hot)).select("node", F.min("node").over(of_block).alias("hub"), F.count("*").over(of_block).alias("c")).where("c > 1")
     drawn = drawn.union(everywhere.join(F.broadcast(hubs), "block").select("node", "hub", "c"))
     met = materialize(drawn.groupBy("node", "hub").agg(F.sum("c").alias("met")), "ngram-met")
+    seen = materialize(seen.select("id", *of_set), "ngram-keys", seen)  # the blocks are not needed any more
     groups = components(met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), "ngram-candidates")
 
     # 2. the sets of candidates only: their rows are found by key, broadcast while they are few
