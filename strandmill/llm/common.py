@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,6 +78,19 @@ def running_sum(rows: DataFrame, by: list[str], order: list[str], weight: Column
     return ranged.withColumn("_here", F.coalesce(here, F.lit(0))).join(starts, [*by, "_range"]).withColumn(into, F.col("_before") + F.col("_here")).drop("_w", "_range", "_here", "_before")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in what is planned inside: a batch of long rows lies outside the heap, once
+    on each side of the Python worker, and is as large as its rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batches, rows: int = 256):
     """Runs of at most ``rows`` rows of Arrow batches, without copies: what a function holds beside a batch stays small."""
     for batch in batches:

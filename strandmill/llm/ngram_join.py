@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandmill.llm.common import components, join_hot, materialize, running_sum, slices
+from strandmill.llm.common import arrow_rows, components, join_hot, materialize, running_sum, slices
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows without a key get numbers from this on.
@@ -224,15 +224,21 @@ def identity(key: str, text: str) -> Column:
 
 
 def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
-                block_weight: int = 600_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+                block_weight: int = 600_000, broadcast_rows: int = 1_000_000, batch_rows: int = 1000) -> DataFrame:
     """``(id, n, label)`` for every row: its identity, set size, and the smallest identity of its component.
 
     Rows of equal sets form a class (found by partial aggregation, never listed), and one row of each class takes part
     in the join. Row blocks hold about ``block_weight`` n-grams, which bounds a task's memory however large a group is.
     Candidate groups are first held against one row each; only pairs of which one is not linked to that row are left
     for the blocks, so a group around one text costs its size, not its square. Texts are read twice: all of them for
-    their blocks, candidates once more for their sets.
+    their blocks, candidates once more for their sets. All steps with Python are written here, in batches of ``batch_rows``.
     """
+    with arrow_rows(docs.sparkSession, batch_rows):
+        return joined(docs, key, text, size, percent, block_weight, broadcast_rows)
+
+
+def joined(docs: DataFrame, key: str, text: str, size: int, percent: int, block_weight: int, broadcast_rows: int) -> DataFrame:
+    """The steps of ``near_labels``."""
     base = docs.select(identity(key, text).alias("id"), F.col(text).cast("string").alias("text"))
     of_set = ["n", "h1", "h2"]
     seen = materialize(base.withColumn("p", profiles(F.col("text"), size, percent)).select("id", "p.*"), "ngram-profiles")
