@@ -105,3 +105,13 @@ def test_every_labelled_language_is_learned(spark):
     assert names == ["de", "en", *(f"rare{i}" for i in range(6))] and profiles.shape[0] == 8
     assert language.equal_shares({"a": 1000, "b": 3, "c": 50}, 60) == {"b": 3, "c": 28, "a": 29}
     assert language.equal_shares({"a": 5, "b": 5}, 1) == {"a": 1, "b": 1}
+
+
+def test_join_without_broadcasts_and_the_session_keeps_its_batches(spark):
+    words = [f"w{i}" for i in range(102)]
+    texts = [" ".join(words), " ".join(words), " ".join(words[:100]), " ".join(reversed(words)), "", None, "a b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(frame, broadcast_rows=0).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6} and spark.conf.get(key) == before
