@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,18 @@ def slices(batches, rows: int = 256):
             yield batch.slice(start, rows)
 
 
+def text_slices(texts, most: int = 8_000_000):
+    """Runs of an Arrow string array of about ``most`` bytes, without copies; a longer text is a run of its own."""
+    start = size = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + (n or 0) > most:
+            yield texts.slice(start, i - start)
+            start, size = i, 0
+        size += n or 0
+    if len(texts) > start:
+        yield texts.slice(start)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, as the variable of a one-element transform."""
     return F.element_at(F.transform(F.array(value), body), 1)
