@@ -79,6 +79,18 @@ def running_sum(rows: DataFrame, by: list[str], order: list[str], weight: Column
     return ranged.withColumn("_here", F.coalesce(here, F.lit(0))).join(starts, [*by, "_range"]).withColumn(into, F.col("_before") + F.col("_here")).drop("_w", "_range", "_here", "_before")
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted`` names, each with as many underscores as make it no column's name; Spark's names ignore case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most ``rows`` rows in what is planned inside: a batch of long rows lies outside the heap, once

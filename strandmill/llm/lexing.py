@@ -44,14 +44,12 @@ PLAIN = re.compile(r"[$]?[A-Za-z_][A-Za-z0-9_.]*", re.ASCII)
 DIGIT = re.compile("[0-9]")
 #: Name and value inside a string, such as a connection text or an address, and the login of an address.
 INSIDE = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)\x20?=([^;&\s\"']+)", re.ASCII)
-LOGIN = re.compile(r"://[^/\s:@]{0,256}:([^/\s@]+)@", re.ASCII)
+LOGIN = re.compile(r"://[^/\s:@]*+:([^/\s@]++)@", re.ASCII)
 # What joins or replaces values, what may stand before one, calls that look a name up, keys that name a value.
 JOINS = ("+", ".", "||", "or", "??")
 SCHEMES = ("bearer", "basic", "token", "digest")
 LOOKUP = re.compile(r"(?:get|env|environ|read|load|open|find|fetch|lookup|config|param|prompt|input|print|log|info|warn|error|debug|format)\w*$", re.IGNORECASE)
 NAMING = ("key", "name", "id")
-#: Inside an unquoted value, names have values of their own; these are looked at so far.
-INNER = 256
 
 
 def tokens(text: str, start: int, end: int, comments: list[Span] | None) -> list[Token]:
@@ -119,7 +117,7 @@ class Reading:
         return self.list[i].kind if 0 <= i < len(self.list) else "end"
 
     def of(self, i: int) -> str:
-        return self.text[self.list[i].start:self.list[i].end] if 0 <= i < len(self.list) and self.list[i].end - self.list[i].start <= INNER else ""
+        return self.text[self.list[i].start:self.list[i].end] if 0 <= i < len(self.list) else ""
 
     def quoted(self, i: int) -> str:
         return self.text[slice(*self.list[i].inner)]
@@ -268,8 +266,8 @@ class Reading:
                         continue
                     references.append(self.text[start:end])
                     break
-                if (not inner or end - start <= INNER) and PLAIN.match(self.text, start):
-                    references += [x.strip(".").lstrip("$") for x in self.text[start:end].split("+") if PLAIN.fullmatch(x)]
+                if PLAIN.match(self.text, start):  # names inside an unquoted value refer to what touches them up to the next operator
+                    references += [x.strip(".").lstrip("$") for x in self.text[start:self.list[here].end if inner else end].split("+") if PLAIN.fullmatch(x)]
                 if not plain or DIGIT.search(self.text, start, end):
                     literals.append((start, end))
                 self.i = stop
@@ -287,17 +285,17 @@ class Reading:
         self.note(name, weight, literals, references, inner)
         return literals
 
-    def phrase(self, name: str, weight: float, start: int, most: int = 8) -> None:
-        """Words up to the end of a line are one value more; it counts for names of passwords. More words are prose."""
+    def phrase(self, name: str, weight: float, start: int) -> None:
+        """Words up to the end of a line are one value more; it counts for names of passwords."""
         last = self.i
-        while last - self.i < most and self.kind(last) == "word":
+        while self.kind(last) == "word":
             last += 1
         if last > self.i and self.kind(last) in ("line", "end"):
             self.note(name, weight, [(start, self.list[last - 1].end)])
 
     def indent(self, at: int) -> int:
-        start = self.text.rfind("\n", max(0, at - INNER), at) + 1
-        line = self.text[start:at]
+        """How deep the line of a key lies that ends it; at most one key of a line does, so lines are read once."""
+        line = self.text[self.text.rfind("\n", 0, at) + 1:at]
         return len(line) - len(line.lstrip(" \t-"))
 
     def text_block(self, name: str, weight: float) -> None:

@@ -16,22 +16,30 @@ from strandmill.llm.common import slices
 #: Phrase and label, found as consecutive words.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label and notice, in lower case with single spaces.
+#: Label, notice in lower case with single spaces, and the words of it that tell it from other licences.
+#: Edits may fall on any other word.
 NOTICES = (
-    ("apache", "licensed under the apache license version 2 0"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("gpl", "licensed under the gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("mpl", "subject to the terms of the mozilla public license"),
-    ("cc", "licensed under a creative commons"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa"),
-    ("public-domain", "dedicated to the public domain"),
-    ("isc", "permission to use copy modify and or distribute this software"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("apache", "licensed under the apache license version 2 0", "apache 2 0"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "free charge any copy"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification", "source binary"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "neither nor endorse"),
+    ("bsl", "boost software license version 1 0", "boost 1 0"),
+    ("gpl", "licensed under the gnu general public license", "gnu general public"),
+    ("lgpl", "gnu lesser general public license", "lesser general"),
+    ("agpl", "gnu affero general public license", "affero general"),
+    ("mpl", "subject to the terms of the mozilla public license", "mozilla public"),
+    ("epl", "under the terms of the eclipse public license", "eclipse public"),
+    ("cddl", "common development and distribution license", "development distribution"),
+    ("cc", "licensed under a creative commons", "creative commons"),
+    ("cc-by-nc", "licensed under cc by nc", "cc by nc"),
+    ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
+    ("cc-by-nd", "licensed under cc by nd", "cc by nd"),
+    ("cc0", "released under cc0 1 0 universal", "cc0"),
+    ("public-domain", "dedicated to the public domain", "public domain"),
+    ("isc", "permission to use copy modify and or distribute this software", "use copy modify distribute"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "express implied warranty liable"),
 )
 
 RESULT = ("struct<n_words:bigint,base:array<struct<label:string,word:bigint>>,"
@@ -60,7 +68,8 @@ class Scanner:
         self.word = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
         self.notices, self.patterns, self.edits = notices, [], []
         seeds: dict[str, list[Seed]] = {}
-        for i, (_, notice) in enumerate(notices):
+        self.exact = [set(words.split()) for _, _, words in notices]
+        for i, (_, notice, _) in enumerate(notices):
             allowed = len(notice) * error_percent // 100
             # allowed edits touch at most as many of the pieces, so one of allowed + 1 pieces stands unchanged
             cuts = [len(notice) * j // (allowed + 1) for j in range(allowed + 2)]
@@ -83,7 +92,7 @@ class Scanner:
         found = set()
         for i, start in windows:
             stop = start + 2 * (self.edits[i] + 1) + len(self.notices[i][1]) + 1
-            if (m := self.patterns[i].search(norm, max(0, start), min(len(norm), stop))) is not None:
+            if (m := self.patterns[i].search(norm, max(0, start), min(len(norm), stop))) is not None and self.exact[i] <= set(m[0].split()):
                 found.add((sum(m.fuzzy_counts), m.start() + 1, m.end() - 1, i))
         kept: list[tuple[int, int, int, int]] = []  # in order, without overlaps
         for edits, start, end, i in sorted(found, key=lambda x: (x[0] / len(self.notices[x[3]][1]), x[1] - x[2], x[1], x[3])):
@@ -111,7 +120,7 @@ class Scanner:
             for start, end, edits, i in places:
                 first = last + norm.count(" ", seen, start)
                 seen, last = end, first + norm.count(" ", start, end)
-                label, notice = self.notices[i]
+                label, notice, _ = self.notices[i]
                 spans.append({"label": label, "start": where[first][0], "end": where[last][1], "edits": edits, "score": 1 - edits / len(notice)})
         return {"n_words": len(words), "base": base, "spans": spans}
 

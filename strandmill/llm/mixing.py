@@ -18,7 +18,7 @@ def word_count(text: Column) -> Column:
 
 def hash32(key: Column) -> Column:
     """The first 32 bits of the key's MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -66,10 +66,11 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("k", "source_size", "target", "whole", (F.col("prefix") + take.cast("long")).alias("below"))
 
 
-def with_hash(docs: DataFrame, key: str, source: str) -> DataFrame:
-    """``docs`` with ``_k``, the source as a key that holds null too, and ``_h``, the hash of the row's key."""
+def with_hash(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """``docs`` with ``_k``, the source as a key that holds null too, and ``_h``, the hash of the row's key, or of its
+    text where there is no key."""
     name = F.col(source).cast("string")
-    return docs.withColumns({"_k": F.when(name.isNull(), "n").otherwise(F.concat(F.lit("s"), name)), "_h": hash32(F.col(key))})
+    return docs.withColumns({"_k": F.when(name.isNull(), "n").otherwise(F.concat(F.lit("s"), name)), "_h": hash32(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))))})
 
 
 def source_limits(rows: DataFrame, weights, share: float, broadcast_rows: int = 100_000) -> DataFrame:
@@ -84,8 +85,8 @@ def copies(limit: float = 2.0) -> Column:
 
 
 def light(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    return materialize(with_hash(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), word_count(F.col(text).cast("string")).alias("size")), "key", "source")
-                       .withColumnsRenamed({"_k": "k", "_h": "h"}), "mix-rows")
+    rows = with_hash(docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")), "key", "source", "text")
+    return materialize(rows.select("key", "source", word_count(F.col("text")).alias("size"), F.col("_k").alias("k"), F.col("_h").alias("h")), "mix-rows")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5) -> DataFrame:
@@ -93,7 +94,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Sources are ordered by code point, null last and one of them; their targets follow :func:`source_targets`.
     Documents are taken by the hash of their key, so reruns agree and a larger budget takes a superset. Rows of one
-    key and source go together; a null text has size 0, a null key a hash of its own, and an empty table gives an
+    key and source go together; a null text has size 0, rows without a key go by their texts, and an empty table gives an
     empty one. Sums are aggregated before they are shuffled, so a hot source costs no more than another.
     """
     rows = light(docs, key, text, source)
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken. Texts are not shuffled; columns of any name pass."""
     limits = source_limits(light(docs, key, text, source), weights, share).select("_k", "whole", "below")
-    took = with_hash(docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns)}), f"_{docs.columns.index(key)}", f"_{docs.columns.index(source)}").join(limits, "_k")
+    took = with_hash(docs.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(docs.columns)}), *(f"_{docs.columns.index(c)}" for c in (key, source, text))).join(limits, "_k")
     return took.select("*", F.explode(F.array_repeat(F.lit(0), copies().cast("int")))).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

@@ -20,8 +20,6 @@ from pyspark.sql.functions import arrow_udf
 from strandmill.llm.common import arrow_rows, components, join_hot, materialize, running_sum, slices
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rows without a key get numbers from this on.
-KEYLESS = 1 << 62
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -217,15 +215,26 @@ def product_links(percent: int):
     return run
 
 
-def identity(key: str, text: str) -> Column:
-    """The key; for a row without one a number by its text, above all usual keys."""
-    by_text = F.lit(KEYLESS) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))), 2)
-    return F.coalesce(F.col(key).cast("long"), by_text)
+def identities(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
+    """The number of a row, and whether it is its key: rows without a key have a number by their text, which is no row's key.
+
+    Where keys are missing, the numbers are held against all keys, and salted anew until none is a key.
+    """
+    own, salt = F.col(key).cast("long"), 0
+    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    if docs.where(own.isNull()).limit(1).count():
+        keys = docs.where(own.isNotNull()).select(own.alias("id"))
+        while docs.where(own.isNull()).select(F.xxhash64(content, F.lit(salt)).alias("id")).join(keys, "id", "left_semi").limit(1).count():
+            salt += 1
+    else:
+        return own, F.lit(True)
+    return F.coalesce(own, F.xxhash64(content, F.lit(salt))), own.isNotNull()
 
 
 def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
                 block_weight: int = 600_000, broadcast_rows: int = 1_000_000, batch_rows: int = 1000) -> DataFrame:
-    """``(id, n, label)`` for every row: its identity, set size, and the smallest identity of its component.
+    """``(id, keyed, n, label, named)`` for every row: its number and whether that is its key, its set's size, and the
+    smallest key of its component, or the smallest number, not ``named``, where no row of it has a key.
 
     Rows of equal sets form a class (found by partial aggregation, never listed), and one row of each class takes part
     in the join. Row blocks hold about ``block_weight`` n-grams, which bounds a task's memory however large a group is.
@@ -239,9 +248,10 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 def joined(docs: DataFrame, key: str, text: str, size: int, percent: int, block_weight: int, broadcast_rows: int) -> DataFrame:
     """The steps of ``near_labels``."""
-    base = docs.select(identity(key, text).alias("id"), F.col(text).cast("string").alias("text"))
+    number, keyed = identities(docs, key, text)
+    base = docs.select(number.alias("id"), keyed.alias("keyed"), F.col(text).cast("string").alias("text"))
     of_set = ["n", "h1", "h2"]
-    seen = materialize(base.withColumn("p", profiles(F.col("text"), size, percent)).select("id", "p.*"), "ngram-profiles")
+    seen = materialize(base.withColumn("p", profiles(F.col("text"), size, percent)).select("id", "keyed", "p.*"), "ngram-profiles")
     classes = materialize(seen.where("n > 0").groupBy(*of_set).agg(F.min("id").alias("node"), F.count("*").alias("c")), "ngram-classes")
 
     # 1. column blocks: classes that share one are joined to the smallest of those that do. Block lists are as large as
@@ -260,7 +270,7 @@ def joined(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
     drawn = shown.where(~F.col("block").isin(hot)).select("node", F.min("node").over(of_block).alias("hub"), F.count("*").over(of_block).alias("c")).where("c > 1")
     drawn = drawn.union(everywhere.join(F.broadcast(hubs), "block").select("node", "hub", "c"))
     met = materialize(drawn.groupBy("node", "hub").agg(F.sum("c").alias("met")), "ngram-met")
-    seen = materialize(seen.select("id", *of_set), "ngram-keys", seen)  # the blocks are not needed any more
+    seen = materialize(seen.select("id", "keyed", *of_set), "ngram-keys", seen)  # the blocks are not needed any more
     groups = components(met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), "ngram-candidates")
 
     # 2. the sets of candidates only: their rows are found by key, broadcast while they are few
@@ -303,7 +313,15 @@ def joined(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
 
     # 5. every row's component by its class; most classes are one row without links
     known = classes.join(found, "node", "left").where("label is not null or c > 1").select(*of_set, F.coalesce("label", "node").alias("label"))
-    return seen.join(known, of_set, "left").select("id", "n", F.coalesce("label", "id").alias("label"))
+    labelled = seen.join(known, of_set, "left").select("id", "keyed", "n", F.coalesce("label", "id").alias("label"))
+    if not docs.where(F.col(key).cast("long").isNull()).limit(1).count():
+        return labelled.withColumn("named", F.lit(True))
+    # 6. components with rows that have no key are named by their smallest key
+    labelled = materialize(labelled, "ngram-labelled")
+    least = labelled.groupBy("label").agg(F.min(F.when(F.col("keyed"), F.col("id"))).alias("least"), F.count_if(~F.col("keyed")).alias("without")).where("without > 0")
+    least = materialize(least.select("label", "least", F.lit(True).alias("partly")), "ngram-least")
+    renamed = labelled.join(F.broadcast(least) if least.count() <= broadcast_rows else least, "label", "left")
+    return renamed.select("id", "keyed", "n", F.coalesce("least", "label").alias("label"), (F.col("partly").isNull() | F.col("least").isNotNull()).alias("named"))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, **limits) -> DataFrame:
@@ -315,9 +333,8 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     any other, shown with a null key, and has a null component unless a keyed row is in it. An empty table gives an
     empty one; other columns of ``docs`` don't matter.
     """
-    real = lambda c: F.when(F.col(c) < KEYLESS, F.col(c))
     return near_labels(docs, key, text, size, percent, **limits).select(
-        real("id").alias(key), F.col("n").alias("n_shingles"), real("label").alias("component_id"))
+        F.when(F.col("keyed"), F.col("id")).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("named"), F.col("label")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -328,12 +345,12 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     """
     labels = materialize(near_labels(docs, key, text, size, percent).select("id", "label"), "ngram-labels")
     counted = labels.groupBy("id").agg(F.min("label").alias("label"), F.count("*").alias("rows"))
-    marked = materialize(counted.where("id <> label or rows > 1").select(F.col("id").alias("_id"), (F.col("id") != F.col("label")).alias("_drop")), "ngram-marked")
+    marked = materialize(counted.where("id <> label or rows > 1").select("id", (F.col("id") != F.col("label")).alias("drop")), "ngram-marked")
     if marked.count() <= broadcast_rows:
         marked = F.broadcast(marked)
-    rows = docs.withColumn("_id", identity(key, text)).join(marked, "_id", "left")
-    alone = rows.where("_drop is null").select(*docs.columns)
-    return alone.union(rows.where("not _drop").dropDuplicates(["_id"]).select(*docs.columns))
+    rows = docs.select(identities(docs, key, text)[0].alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).join(marked, "id", "left")
+    alone = rows.where("drop is null").select("row.*")
+    return alone.union(rows.where("not drop").dropDuplicates(["id"]).select("row.*"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import let
+from strandmill.llm.common import free_names, let
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -77,21 +77,22 @@ def repeated_words(tokens: Column, window: int = 3) -> Column:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` and the metrics of the rule table as long columns."""
     raw = F.coalesce(F.col(text), F.lit(""))
+    tokens, lines, run = free_names(docs.columns, "_words", "_lines", "_joined")
     worded = docs.withColumns({
-        "_words": words(F.col(text)),
-        "_lines": F.filter(F.split(raw, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != ""),
+        tokens: words(F.col(text)),
+        lines: F.filter(F.split(raw, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != ""),
     })
-    joined = worded.withColumn("_joined", F.array_join("_words", ""))
+    joined = worded.withColumn(run, F.array_join(tokens, ""))
     return joined.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length("_joined").cast("long"),
-        "n_symbols": F.regexp_count("_joined", F.lit("[#*$%&|<>]")).cast("long"),
-        "n_shouts": F.regexp_count("_joined", F.lit("!")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
-    }).drop("_words", "_lines", "_joined")
+        "n_words": F.size(tokens).cast("long"),
+        "word_chars": F.length(run).cast("long"),
+        "n_symbols": F.regexp_count(run, F.lit("[#*$%&|<>]")).cast("long"),
+        "n_shouts": F.regexp_count(run, F.lit("!")).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_stop_words": F.size(F.filter(tokens, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(tokens)),
+    }).drop(tokens, lines, run)
 
 
 def verdict_sql(rules=RULES) -> tuple[str, str]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from strandmill.llm.common import slices
-from strandmill.llm.lexing import INNER, LOGIN, Target, read
+from strandmill.llm.lexing import LOGIN, Target, read
 
 #: Kinds in the order of ties; the first three are the base.
 KINDS = ("assign", "access", "hex", "literal")
@@ -33,6 +33,8 @@ NAME_WEIGHTS = (
 )
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|changeme|example\w*|your\w*|<.*>|\$\{.*\}|none|null|true|false|todo)$", re.IGNORECASE | re.ASCII)
 
+WORD_CHARACTER = re.compile(r"\w", re.ASCII)
+
 #: Names whose values may hold white space.
 PHRASE = re.compile("pass|pwd", re.IGNORECASE)
 
@@ -66,6 +68,35 @@ def literal_strength(value: str, phrase: bool = False) -> float:
     return min(1.0, entropy / 3.0) * (1.0 if any(c.isdigit() for c in value) else 0.7)
 
 
+class Endings:
+    """:func:`literal_strength` of the endings of an unquoted value, which has no white space, from one pass over it.
+
+    Names inside such a value have all of what follows as theirs, so their values are endings of one another.
+    """
+
+    def __init__(self, text: str, start: int, end: int):
+        counts: Counter = Counter()
+        self.text, self.start, self.end, self.plain, total = text, start, end, end, 0.0
+        self.entropy = [0.0] * (end - start + 1)
+        for at in range(end - 1, start - 1, -1):
+            c = text[at]
+            counts[c] += 1
+            n, size = counts[c], end - at
+            total += n * math.log2(n) - (n - 1) * math.log2(n - 1) if n > 1 else 0.0
+            self.entropy[at - start] = math.log2(size) - total / size
+            if self.plain == at + 1 and WORD_CHARACTER.match(c):
+                self.plain = at  # from here on there are only word characters
+        self.last_digit = max((i for i in range(start, end) if text[i].isdigit()), default=-1)
+
+    def strength(self, at: int) -> float:
+        if self.end - at < 256:
+            return literal_strength(self.text[at:self.end])
+        head, tail = self.text[at:at + 7].lower(), self.text[self.end - 1]
+        if self.plain <= at + 4 and head.startswith("your") or self.plain <= at + 7 and head == "example" or head[0] == "<" and tail == ">" or head[:2] == "${" and tail == "}":
+            return 0.0
+        return min(1.0, self.entropy[at - self.start] / 3.0) * (1.0 if self.last_digit >= at else 0.7)
+
+
 def reached(targets: list[Target]) -> list[tuple[Target, float]]:
     """Targets with the largest weight that reaches them: their own, or that of a target they are a constant of.
 
@@ -100,9 +131,24 @@ def lexed_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, str,
     weigh = lru_cache(4096)(name_weight)
     for targets in read(text, weigh):
         constants = {x.name for x in targets if x.literals and len(x.name) >= 8}
-        for target, weight in reached(targets):
-            phrase, inner = PHRASE.search(target.name) is not None, INNER if target.inner else len(text)
-            values = [text[a:min(b, a + inner)] for a, b in target.literals]
+        longest = max(map(len, constants), default=0)
+        endings: dict[int, Endings] = {}
+        found = reached(targets)
+        lowest: dict[int, int] = {}
+        for target, _ in found:
+            for a, b in target.literals if target.inner else ():
+                lowest[b] = min(a, lowest.get(b, a))
+        for target, weight in found:
+            phrase = PHRASE.search(target.name) is not None
+            if target.inner:
+                for a, b in target.literals:
+                    if b not in endings:
+                        endings[b] = Endings(text, lowest[b], b)
+                    known = b - a <= longest and text[a:b] in constants
+                    if b > a and not known and (score := weight * endings[b].strength(a)) >= threshold:
+                        best[a, b] = max(score, best.get((a, b), 0.0))
+                continue
+            values = [text[a:b] for a, b in target.literals]
             whole = literal_strength("".join(values), phrase) if len(values) > 1 else 0.0  # concatenations are folded
             for span, value in zip(target.literals, values):
                 score = weight * max(whole, literal_strength(value, phrase)) if value not in constants else 0.0

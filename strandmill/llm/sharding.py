@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandmill.llm.common import materialize
+from strandmill.llm.common import free_names, materialize
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,17 +75,17 @@ def hilbert_shards(rows: DataFrame, cells: list[Column], ties: list[str], shards
     texts and null ties come first in their cell. Fewer rows than shards leave shards empty, an empty table gives an
     empty one. Columns named like the new ones are replaced.
     """
+    at, place, n, before, every, rank, shard = free_names(rows.columns, "_range", "_place", "_n", "_before", "_all", "_rank", "_shard")
     placed = rows.withColumn("curve", curve_index(cells, bits))
     ordered = placed.repartitionByRange("curve", *ties).sortWithinPartitions("curve", *ties)
     kept = materialize(ordered.withColumns({
-        "_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "hilbert")
-    counts = kept.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    ranked = kept.join(before, "_range").withColumn("_rank", F.col("_before") + F.col("_place"))
-    shard = F.expr(f"(_rank * {shards}) div _all")
-    first = F.expr(f"(_shard * _all + {shards - 1}) div {shards}")  # the smallest rank of the shard
-    return (ranked.withColumn("_shard", shard).withColumns({"shard": F.col("_shard").cast("int"), "slot": (F.col("_rank") - first).cast("long")})
-            .drop("_range", "_place", "_before", "_all", "_rank", "_shard"))
+        at: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "hilbert")
+    counts = kept.groupBy(at).agg(F.count("*").alias(n))
+    starts = counts.select(at, (F.sum(n).over(Window.orderBy(at)) - F.col(n)).alias(before), F.sum(n).over(Window.partitionBy()).alias(every))
+    ranked = kept.join(starts, at).withColumn(rank, F.col(before) + F.col(place))
+    first = F.expr(f"({shard} * {every} + {shards - 1}) div {shards}")  # the smallest rank of the shard
+    return (ranked.withColumn(shard, F.expr(f"({rank} * {shards}) div {every}")).withColumns({"shard": F.col(shard).cast("int"), "slot": (F.col(rank) - first).cast("long")})
+            .drop(at, place, before, every, rank, shard))
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

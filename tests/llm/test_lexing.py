@@ -67,3 +67,39 @@ def test_any_text_is_read():
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40)))
         spans = secrets.find_secrets(text)
         assert all(0 <= a < b <= len(text) for a, _, _, b, _ in spans) and spans == sorted(spans)
+
+
+@pytest.mark.parametrize("n", [10, 300, 5000])
+def test_nothing_is_cut_by_length(n):
+    """Names, user names, lines before a key and values may have any length."""
+    long = "a" * n
+    assert values(f"--{long}-secret-key {V}") == [V]
+    assert values(f"x {long} credential:\n    {V}\nnext: 1\n") == [V] or values(f"  {long} credential:\n    {V}\n") == [V]
+    assert values(f'url = "postgres://{long}:{V}@host/db"') == [V]
+    phrase = " ".join(["horse"] * n) + " 9"
+    assert values(f"pwd: {phrase}\nx: 1\n") == [phrase]
+    value = f"{V * n}=key"
+    assert values(f"q=1:signing_key={value}{V}") == [f"{value}{V}"]
+
+
+def test_endings_score_as_their_texts():
+    rng = random.Random(4)
+    for text in ["".join(rng.choice("abcXYZ019+/=<>${}") for _ in range(900)), "your" + "a1b2" * 100, "<" + "ab9" * 200 + ">", "${" + "k3j" * 200 + "}", "x" * 700, "example" + "q8w" * 150]:
+        endings = secrets.Endings(text, 0, len(text))
+        for at in range(len(text)):
+            assert abs(endings.strength(at) - secrets.literal_strength(text[at:])) < 1e-9
+
+
+def test_generated_configuration_files():
+    """Against a reading by lines: every sensitive name of .env, ini, JSON and YAML files, and nothing else."""
+    import json
+
+    rng = random.Random(6)
+    for n in range(40):
+        names = rng.sample(["db_passphrase", "signing_key", "host", "service.credential", "colour", "client_access_key", "title", "private-key", "port_name"], 6)
+        pairs = {k: "".join(rng.choice("abcdefghkmnpqrstuvwxyz23456789") for _ in range(14)) + "7q" for k in names}
+        wanted = sorted(v for k, v in pairs.items() if any(x in k.replace("_", "").replace("-", "") for x in ("passphrase", "signingkey", "credential", "accesskey", "privatekey")))
+        files = ["".join(f"{k.upper()}={v}\n" for k, v in pairs.items()), "[main]\n" + "".join(f"{k} = {v}\n; note\n" for k, v in pairs.items()), json.dumps({"a": pairs}, indent=n % 3 or None),
+                 "top:\n" + "".join(f"  {k}: {v}\n" for k, v in pairs.items())]
+        for text in files:
+            assert sorted(values(text)) == wanted, text
