@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import materialize
+from strandmill.llm.common import free_names, materialize
 from strandmill.llm.language import UNKNOWN, fit_profiles, identify
 from strandmill.llm.mixing import mixed_copies
 from strandmill.llm.ngram_join import drop_near_copies
@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every text is judged whole and on its own: very long ones as any other, equal ones alike. Columns of any name pass.
     """
     names, profiles = fit_profiles(docs)
-    into = max([c for c in docs.columns if c.startswith("_language")], default="") + "_language"  # no column's name
+    (into,) = free_names(docs.columns, "_language")
     found = identify(docs, names, profiles, into=into)
     return found.where((F.col(into)["lang"] != UNKNOWN) & (F.col(into)["score"] >= MIN_SCORE)).drop(into)
 
