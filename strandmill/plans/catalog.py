@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import cases, curation, evaluation, reporting, sidecars
+from strandmill.plans import cases, curation, evaluation, reporting, sidecars, texts
 
-PARTS = (curation, evaluation, reporting, cases, sidecars)
+PARTS = (curation, evaluation, reporting, cases, sidecars, texts)
 
 
 def flagship(spark, sf_dir):
