@@ -59,10 +59,10 @@ VARIANTS = {
 def clean(flagged: DataFrame, identity: str, within: list[str], keep: int | None = 3, salt: str = "clean", drops=scoring.BASE_DROPS) -> tuple[DataFrame, DataFrame]:
     """Of rows with flags those that stay, and a ledger ``(identity, drop_reason)`` of the others.
 
-    Reasons in order: the first dropped category, ``empty_after_cleanup``, and ``template_cap`` beyond the first
+    Reasons in order: ``boilerplate:`` and the first dropped category, ``empty_after_cleanup``, and ``template_cap`` beyond the first
     ``keep`` rows of a template in its group. No text is moved: :func:`attach` fetches those of the rows that stay.
     """
-    reasoned = flagged.withColumn("drop_reason", F.coalesce(first_category("categories", drops), F.when(F.col("_bare"), "empty_after_cleanup")))
+    reasoned = flagged.withColumn("drop_reason", F.coalesce(F.concat(F.lit("boilerplate:"), first_category("categories", drops)), F.when(F.col("_bare"), "empty_after_cleanup")))
     lost, passed = reasoned.where("drop_reason is not null").select(identity, "drop_reason"), reasoned.where("drop_reason is null").drop("drop_reason")
     if keep is None:
         return passed, lost
@@ -77,7 +77,7 @@ def attach(rows: DataFrame, kept: DataFrame, identity: str, text: str) -> DataFr
     return rows.join(kept.select(identity), identity, "left_semi").withColumn("plain_text", t.strip_markup(text))
 
 
-def clean_variants(rows: DataFrame, text: str, identity: str, split: str, source: str, template_cap: int = 3, source_cap: int = 5, salt: str = "clean") -> dict[str, tuple[DataFrame, DataFrame]]:
+def clean_variants(rows: DataFrame, text: str, identity: str, split: str, source: str, template_cap: int = 3, source_cap: int = 3, salt: str = "clean") -> dict[str, tuple[DataFrame, DataFrame]]:
     """Kept rows and ledger of each of ``VARIANTS``; texts are flagged once for all of them."""
     flagged = written(boilerplate_flags(rows, text, [identity, split, source]), "flagged")
     out = {}

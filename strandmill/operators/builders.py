@@ -179,11 +179,16 @@ def rationale_text(source: Column, strategy: Column, tactic: Column, preferred:
 def rationales(aligned: DataFrame, most: int = 240) -> DataFrame:
     """``(rationale_id, sidecar_id, position_id, rationale_short, motifs, threats, defences)`` of the matched rows."""
     rows = aligned.where(F.col("matched_position_id").isNotNull())
-    told = F.concat_ws(" ", *[t.text_of(c) for c in ("strategy_text", "tactic_text")])
+    none = F.array().cast("array<string>")
+
+    def tags(vocabulary, own=none) -> Column:
+        """Tags of each text on its own, and the row's."""
+        return F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce(own, none), *[scoring.keyword_labels(t.text_of(c), vocabulary) for c in ("strategy_text", "tactic_text")]))), ",")
+
     return rows.select(
         F.concat(F.lit("rationale_"), F.substring(F.sha2(F.concat_ws(":", "sidecar_id", "matched_position_id"), 256), 1, 16)).alias("rationale_id"), "sidecar_id", F.col("matched_position_id").alias("position_id"),
         rationale_text(F.col("source"), F.col("strategy_text"), F.col("tactic_text"), t.preferred_option("preferred_move"), F.col("theme_tags"), F.col("matched_move"), most).alias("rationale_short"),
-        *[F.array_join(F.array_sort(scoring.keyword_labels(told, m)), ",").alias(n) for n, m in (("motifs", scoring.MOTIFS), ("threats", scoring.THREATS), ("defences", scoring.DEFENCES))])
+        tags(scoring.MOTIFS, F.col("theme_tags")).alias("motifs"), tags(scoring.THREATS).alias("threats"), tags(scoring.DEFENCES).alias("defences"))
 
 
 def probe_targets(rows: DataFrame, text: str, vocabulary: dict, least: int) -> tuple[DataFrame, DataFrame]:
@@ -218,9 +223,10 @@ def tag_union(*columns: str) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(c, none) for c in columns])))
 
 
-def rank_histogram(ranked: DataFrame, rank: str = "rank", bounds: tuple[int, ...] = (1, 5, 10, 50, 100)) -> DataFrame:
-    """``(bucket, n)``: how many ranks are at most each bound and above the one before."""
-    bucket = F.lit(f">{bounds[-1]}")
-    for b in reversed(bounds):
-        bucket = F.when(F.col(rank) <= b, f"<={b}").otherwise(bucket)
-    return ranked.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+def rank_diagnostics(ranked: DataFrame) -> DataFrame:
+    """One row of ranks ``(rank, strict_rank, ties)``: how many are 1, 2 to 5 and beyond, how many queries have tied
+    competitors, their mean and largest number, and how many strict ranks are worse."""
+    r, rivals = F.col("rank"), F.col("ties") - 1
+    return ranked.agg(
+        F.count_if(r == 1).alias("rank_1"), F.count_if(r.between(2, 5)).alias("rank_2_to_5"), F.count_if(r > 5).alias("rank_over_5"), F.count_if(rivals > 0).alias("tied_queries"),
+        F.round(F.coalesce(F.avg(rivals), F.lit(0.0)), 6).alias("mean_tied"), F.coalesce(F.max(rivals), F.lit(0)).alias("most_tied"), F.count_if(F.col("strict_rank") > r).alias("penalties"))

@@ -1,15 +1,18 @@
-"""Queries over small tables written out here, which exercise rules that no row of the test tables does.
+"""Queries that exercise rules which no row of the test tables does, and round trips of readers and writers.
 
-Where both engines can apply the rule, both read the same rows; else the SQL lists what the rules of the survey ask for.
+Remarks, headers and tags of a written-out list are dealt to the rows of a table by key and joined to what the row
+holds, so that every rule has rows to work on and the work grows with the table. Where both engines can apply a rule,
+both read the same rows; else the SQL deals out the answers that the rules of the survey ask for.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandmill.functions import scoring, text as t
 from strandmill.operators import audits, boards, builders, dedup, sidecars
-from strandmill.plans.curation import AUDIT, T, flags_sql, style_sql
+from strandmill.plans.curation import AUDIT, SPLIT, T, documents, flags_sql, style_sql
 from strandmill.plans.registry import Registry, table
 from strandmill.sources import readers, sinks
 from strandmill.sources.shared import fresh
@@ -17,35 +20,36 @@ from strandmill.sources.shared import fresh
 REGISTRY = Registry()
 query = REGISTRY.query
 
-LONG = "The rook defends the pawn because the king attacks the bishop on e5 and the queen threatens mate with a fork"
-#: id, split, source, text: markup, results, symbols, engine phrases, repeated short and dull templates, and plain remarks.
-ROWS = (
-    [(1, "train", "engine", "[%eval 0.3]"), (2, "train", "engine", "[%clk 0:01:02] ok"), (3, "train", "engine", "1-0"), (4, "val", "engine", "!?"), (5, "val", "engine", "Inaccuracy. Nf3 was best."),
-     (6, "val", "engine", "Forced."), (7, "test", "engine", "[%eval 0.3][%clk 0:00:01] a longer remark that keeps its words"), (8, "test", "engine", None), (9, "test", "people", "   ")]
-    + [(100 + i, "train", "repeats", "Good move!") for i in range(22)] + [(200 + i, "train", "repeats", "again again again again again again, onwards" if i % 2 else "Again, again again again again AGAIN onwards") for i in range(2)]
-    + [(300 + i, "val", "repeats", "so so so so so so extraordinarily") for i in range(21)]
-    + [(400 + i, "test", "people", f"{LONG} number {i}") for i in range(6)] + [(500 + i, "test", "mixed", f"1 2 3 4 {i}" if i % 4 == 0 else f"some words of note {i}") for i in range(8)]
-)
-
 
 def literal(x) -> str:
     return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
 
 
-def values(rows, columns: str) -> str:
-    """The rows as a table of SQL."""
-    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({columns}))"
+def dealt_out(key: str, values: list, kind: str = "string") -> Column:
+    """One of ``values`` by the row's key."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.pmod(F.col(key), F.lit(len(values))).cast("int"))
 
 
-def answers(rows, columns: str) -> str:
-    return f"SELECT * FROM {values(rows, columns)}"
+def dealt_sql(key: str, values: list) -> str:
+    return f"([{', '.join(map(literal, values))}][({key} % {len(values)} + 1)::INT])"
 
 
-CASES = values(ROWS, "id, split, source, text")
+LONG = "The rook defends the pawn because the king attacks the bishop on e5 and the queen threatens mate with a fork"
+#: Markup, results, symbols, engine phrases, repeated short and dull templates; the same text is SQL of both engines.
+SPLICED = f"""CASE doc_id % 20
+  WHEN 0 THEN '[%eval 0.3]' WHEN 1 THEN '[%clk 0:01:02] ok' WHEN 2 THEN '1-0' WHEN 3 THEN '!?' WHEN 4 THEN 'Inaccuracy. Nf3 was best.' WHEN 5 THEN 'Forced.'
+  WHEN 6 THEN concat('[%eval 0.3][%clk 0:00:01] ', text) WHEN 7 THEN NULL WHEN 8 THEN '   ' WHEN 9 THEN 'Good move!'
+  WHEN 10 THEN CASE WHEN doc_id % 40 = 10 THEN 'again again again again again again, onwards' ELSE 'Again, again again again again AGAIN onwards' END
+  WHEN 11 THEN 'so so so so so so extraordinarily' WHEN 12 THEN concat('{LONG} number ', CAST(doc_id AS STRING)) WHEN 13 THEN concat('1 2 3 4 ', CAST(doc_id AS STRING))
+  WHEN 14 THEN concat('some words of note ', CAST(doc_id AS STRING)) WHEN 15 THEN concat(text, ' {{[%eval 1.0]}} 1/2-1/2 $3') ELSE text END"""
+CASES = f"(SELECT doc_id AS id, {SPLIT} AS split, CASE WHEN doc_id % 20 < 6 THEN 'engine' WHEN doc_id % 20 < 12 THEN 'repeats' WHEN doc_id % 20 = 13 THEN 'numbers' ELSE source END AS source, {SPLICED} AS text FROM documents)"
 
 
-def cases(spark):
-    return spark.createDataFrame(ROWS, "id long, split string, source string, text string")
+def cases(spark, sf_dir):
+    """Documents with remarks in place of, or beside, their texts."""
+    number = F.col("doc_id") % 20
+    source = F.when(number < 6, "engine").when(number < 12, "repeats").when(number == 13, "numbers").otherwise(F.col("source"))
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "split", source.alias("source"), F.expr(SPLICED).alias("text"))
 
 
 FLAGGED = flags_sql(CASES, "id", "split, source")
@@ -53,13 +57,13 @@ FLAGGED = flags_sql(CASES, "id", "split, source")
 
 @query(f"WITH {FLAGGED} SELECT id::BIGINT AS id, template_count, categories FROM f")
 def case_flags(spark, sf_dir):
-    flagged = audits.boilerplate_flags(cases(spark), "text", ["id"])
+    flagged = audits.boilerplate_flags(cases(spark, sf_dir), "text", ["id"])
     return flagged.select("id", "template_count", F.array_join("categories", ",").alias("categories"))
 
 
 @query(f"WITH {FLAGGED} {AUDIT.format(by='source')}")
 def case_category_audit(spark, sf_dir):
-    return audits.category_audit(audits.boilerplate_flags(cases(spark), "text", ["source"]), "source")
+    return audits.category_audit(audits.boilerplate_flags(cases(spark, sf_dir), "text", ["source"]), "source")
 
 
 def variants_sql() -> str:
@@ -68,9 +72,9 @@ def variants_sql() -> str:
     for name, (drops, cap) in audits.VARIANTS.items():
         wanted = ", ".join(f"'{d}'" for d in drops)
         group = {None: "id", "source": "split, source, own", "template": "split, own"}[cap]
-        most = {None: 1 << 30, "source": 5, "template": 3}[cap]
+        most = 3 if cap else 1 << 30
         parts.append(f"""SELECT '{name}' AS variant, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason IS NULL, {group} ORDER BY id) <= {most} THEN 'kept' ELSE 'template_cap' END) AS outcome
-FROM (SELECT *, coalesce(list_filter(string_split(categories, ','), lambda x: x IN ({wanted}))[1], CASE WHEN plain_text = '' THEN 'empty_after_cleanup' END) AS reason,
+FROM (SELECT *, coalesce('boilerplate:' || list_filter(string_split(categories, ','), lambda x: x IN ({wanted}))[1], CASE WHEN plain_text = '' THEN 'empty_after_cleanup' END) AS reason,
   CASE WHEN {T.normalize('plain_text', 'punct_light')} = '' THEN 'own:' || id ELSE {T.normalize('plain_text', 'punct_light')} END AS own FROM f)""")
     return f"SELECT variant, outcome, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2"
 
@@ -78,7 +82,7 @@ FROM (SELECT *, coalesce(list_filter(string_split(categories, ','), lambda x: x
 @query(f"WITH {FLAGGED} {variants_sql()}")
 def case_clean_variants(spark, sf_dir):
     """Every drop reason and both caps."""
-    return audits.variant_counts(audits.clean_variants(cases(spark), "text", "id", "split", "source"))
+    return audits.variant_counts(audits.clean_variants(cases(spark, sf_dir), "text", "id", "split", "source"))
 
 
 @query(f"WITH {flags_sql('(SELECT doc_id AS id, source, lang AS split, text FROM documents)', 'id', 'split, source')} {variants_sql()}")
@@ -90,111 +94,172 @@ def clean_variants(spark, sf_dir):
 
 @query(style_sql(CASES, "id", "source"))
 def case_style_audit(spark, sf_dir):
-    """Groups of every style but the repetitive one, which is ``repeats``."""
-    return audits.style_audit(cases(spark), "source", "text").withColumn("divergence", F.round("divergence", 4))
+    """Groups of several styles."""
+    return audits.style_audit(cases(spark, sf_dir), "source", "text").withColumn("divergence", F.round("divergence", 4))
 
 
 @query(f"""WITH k AS (SELECT id, split, {T.normalize('text', 'punct_light')} AS light FROM {CASES}), s AS (SELECT light, count(*) AS size, least(count(*), 3) AS kept FROM k WHERE light <> '' GROUP BY 1)
 SELECT size, count(*) AS clusters, sum(kept)::BIGINT AS kept FROM s GROUP BY 1""")
 def case_dedup_cap(spark, sf_dir):
     """Clusters larger than the cap."""
-    rows = cases(spark).select("id", dedup.digest(t.normalize("text", "punct_light")).alias("key")).where("key is not null")
+    rows = cases(spark, sf_dir).select("id", dedup.digest(t.normalize("text", "punct_light")).alias("key")).where("key is not null")
     kept = dedup.dedup(rows, F.col("key"), [], "id", 3, "case").groupBy("cluster_id").agg(F.first("cluster_size").alias("size"), F.count("*").alias("kept"))
     return kept.groupBy("size").agg(F.count("*").alias("clusters"), F.sum("kept").alias("kept"))
 
 
 REMARKS = [
-    (1, "White gives check and threatens mate!"), (2, "A fork of king and queen"), (3, "The knight is pinned"), (4, "a skewer, then a discovered attack"), (5, "discovered check wins"), (6, "King safety first: near the opposing king"),
-    (7, "the passed pawn on the open file"), (8, "queen the pawn by promotion"), (9, "He captures, then comes the recapture"), (10, "nothing here"), (11, None), (12, "Checkmate"), (13, "exchange on the open diagonal, defend well"),
-]
-LABELS = [
-    (1, "check,mate_threat"), (2, "fork"), (3, "pin"), (4, "skewer,discovered_attack"), (5, "check,discovered_check"), (6, "king_safety"), (7, "passed_pawn,open_file"), (8, "promotion"), (9, "capture,recapture"), (10, ""), (11, ""), (12, "mate_threat"), (13, ""),
-]
-TAGS = [
-    (1, "checkmate_pattern,check", "mate_threat,forcing_check", ""), (2, "", "king_pressure", ""), (3, "", "", ""), (4, "", "", ""), (5, "check", "forcing_check", ""), (6, "", "king_pressure", ""), (7, "line_opening", "", ""),
-    (8, "", "", ""), (9, "", "", ""), (10, "", "", ""), (11, "", "", ""), (12, "checkmate_pattern,check", "mate_threat,forcing_check", ""), (13, "exchange,line_opening", "", "defensive_response"),
+    "White gives check and threatens mate!", "A fork of king and queen", "The knight is pinned", "a skewer, then a discovered attack", "discovered check wins", "King safety first: near the opposing king",
+    "the passed pawn on the open file", "queen the pawn by promotion", "He captures, then comes the recapture", "nothing here", None, "Checkmate", "exchange on the open diagonal, defend well",
 ]
+LABELS = ["check,mate_threat", "fork", "pin", "skewer,discovered_attack", "check,discovered_check", "king_safety", "passed_pawn,open_file", "promotion", "capture,recapture", "", "", "mate_threat", ""]
+MOTIFS = ["checkmate_pattern,check", "", "", "", "check", "", "line_opening", "", "", "", "", "checkmate_pattern,check", "exchange,line_opening"]
+THREATS = ["mate_threat,forcing_check", "king_pressure", "", "", "forcing_check", "king_pressure", "", "", "", "", "", "mate_threat,forcing_check", ""]
+DEFENCES = ["", "", "", "", "", "", "", "", "", "", "", "", "defensive_response"]
+
+
+def remarks(spark, sf_dir):
+    """Turns of conversations with a remark and their own number."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"))
+    return rows.select("id", F.concat(dealt_out("id", REMARKS), F.lit(" ("), F.col("id").cast("string"), F.lit(")")).alias("text"))
 
 
-def remarks(spark):
-    return spark.createDataFrame(REMARKS, "id long, text string")
+REMARKED = "(SELECT conv_id * 100 + turn AS id FROM conversations)"
 
 
-@query(answers(LABELS, "id, labels"))
+@query(f"SELECT id, {dealt_sql('id', LABELS)} AS labels FROM {REMARKED}")
 def case_keyword_labels(spark, sf_dir):
-    return remarks(spark).select("id", F.array_join(scoring.keyword_labels("text"), ",").alias("labels"))
+    return remarks(spark, sf_dir).select("id", F.array_join(scoring.keyword_labels("text"), ",").alias("labels"))
 
 
-@query(f"SELECT label, count(*) AS n, count(*) < 2 AS rare FROM (SELECT unnest(string_split(labels, ',')) AS label FROM {values(LABELS, 'id, labels')}) WHERE label <> '' GROUP BY 1")
+LABELLED = f"l AS (SELECT id, {dealt_sql('id', LABELS)} AS labels FROM {REMARKED}), bound AS (SELECT count(*) // 10 AS least FROM l), c AS (SELECT label, count(*) AS n FROM (SELECT unnest(string_split(labels, ',')) AS label FROM l) WHERE label <> '' GROUP BY 1)"
+
+
+def targets(spark, sf_dir):
+    """Labels that are rarer than a tenth of the rows are dropped."""
+    rows = remarks(spark, sf_dir)
+    return builders.probe_targets(rows, "text", scoring.KEYWORD_LABELS, rows.count() // 10)
+
+
+@query(f"WITH {LABELLED} SELECT label, n, n < least AS rare FROM c, bound")
 def case_label_frequency(spark, sf_dir):
-    return builders.probe_targets(remarks(spark), "text", scoring.KEYWORD_LABELS, 2)[1]
+    return targets(spark, sf_dir)[1]
 
 
-@query(f"SELECT id, array_to_string(list_filter(string_split(labels, ','), lambda x: x IN ('check', 'mate_threat')), ',') AS labels FROM {values(LABELS, 'id, labels')}")
+@query(f"WITH {LABELLED}, k AS (SELECT list(label) AS often FROM c, bound WHERE n >= least) SELECT id, array_to_string(list_filter(string_split(labels, ','), lambda x: list_contains(often, x)), ',') AS labels FROM l, k")
 def case_rare_labels(spark, sf_dir):
-    """Labels that occur once are dropped: check and mate threat occur twice."""
-    return builders.probe_targets(remarks(spark), "text", scoring.KEYWORD_LABELS, 2)[0].select("id", F.array_join("target_labels", ",").alias("labels"))
+    return targets(spark, sf_dir)[0].select("id", F.array_join("target_labels", ",").alias("labels"))
 
 
-@query(answers(TAGS, "id, motifs, threats, defences"))
+@query(f"SELECT id, {dealt_sql('id', MOTIFS)} AS motifs, {dealt_sql('id', THREATS)} AS threats, {dealt_sql('id', DEFENCES)} AS defences FROM {REMARKED}")
 def case_text_tags(spark, sf_dir):
     tags = lambda names: F.array_join(scoring.keyword_labels("text", names), ",")
-    return remarks(spark).select("id", tags(scoring.MOTIFS).alias("motifs"), tags(scoring.THREATS).alias("threats"), tags(scoring.DEFENCES).alias("defences"))
+    return remarks(spark, sf_dir).select("id", tags(scoring.MOTIFS).alias("motifs"), tags(scoring.THREATS).alias("threats"), tags(scoring.DEFENCES).alias("defences"))
+
+
+THEMES = ["Under-Promotion", "mateIn2|fork", "castling", "en_passant", "", None]
+THEMED = [("promotion_related", 0), ("check_related", 1), ("castling_related", 2), ("en_passant_related", 3)]
 
 
-@query(answers([(1, True, False, False, False), (2, False, True, False, False), (3, False, False, True, False), (4, False, False, False, True), (5, False, False, False, False), (6, False, False, False, False)], "id, theme_promotion_related, theme_check_related, theme_castling_related, theme_en_passant_related"))
+@query(f"SELECT p_partkey, {', '.join(f'p_partkey % 6 = {i} AS theme_{name}' for name, i in THEMED)} FROM part")
 def case_theme_flags(spark, sf_dir):
-    rows = spark.createDataFrame([(1, ["Under-Promotion"]), (2, ["mateIn2", "fork"]), (3, ["castling"]), (4, ["en_passant"]), (5, []), (6, None)], "id long, tags array<string>")
-    return rows.select("id", *scoring.theme_groups(F.col("tags")))
+    """Theme tags beside the words of a part's name."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.split(F.concat_ws("|", dealt_out("p_partkey", THEMES), F.replace("p_name", F.lit(" "), F.lit("|"))), r"\|").alias("tags"))
+    return rows.select("p_partkey", *scoring.theme_groups(F.col("tags")))
 
 
-@query(answers([(1, "[%eval 0.3] x", "eval", 11, "x"), (2, "a [%CLK 1][%emt 2]", "clk,emt", 16, "a"), (3, "[not markup]", "", 0, "[not markup]"), (4, None, "", 0, "")], "id, text, tags, markup, plain"))
+MARKED = [("[%eval 0.3] x", "eval", 11, "x"), ("a [%CLK 1][%emt 2]", "clk,emt", 16, "a"), ("[not markup]", "", 0, "[not markup]"), ("", "", 0, "")]
+
+
+@query(f"""SELECT p_partkey, {dealt_sql('p_partkey', [m[1] for m in MARKED])} AS tags, {dealt_sql('p_partkey', [m[2] for m in MARKED])}::BIGINT AS markup,
+  trim({dealt_sql('p_partkey', [m[3] for m in MARKED])} || ' ' || p_name) AS plain FROM part""")
 def case_markup(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "[%eval 0.3] x"), (2, "a [%CLK 1][%emt 2]"), (3, "[not markup]"), (4, None)], "id long, text string")
-    return rows.select("id", "text", F.array_join(t.markup_tags(t.text_of("text")), ",").alias("tags"), t.markup_characters(t.text_of("text")).cast("long").alias("markup"), t.strip_markup("text").alias("plain"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(dealt_out("p_partkey", [m[0] for m in MARKED]), F.lit(" "), F.col("p_name")).alias("text"))
+    return rows.select("p_partkey", F.array_join(t.markup_tags(t.text_of("text")), ",").alias("tags"), t.markup_characters(t.text_of("text")).cast("long").alias("markup"), t.strip_markup("text").alias("plain"))
 
 
-GAMES = [("Standard", "yes", "x", 40), (None, None, "Rated Blitz", 40), (" From Position ", "1", "", 40), ("CHESS", "true", "", 2), ("Atomic", "1", "", 40), ("", "no", "casual", 40), ("standard", "1", "", 400)]
+#: variant, rated, event, plies, and the answers: reason, whether it is an annotated standard game.
+GAMES = [("Standard", "yes", "x", 40, "kept", True), (None, None, "Rated Blitz", 40, "kept", True), (" From Position ", "1", "", 40, "kept", False), ("CHESS", "true", "", 2, "too_short_game", False),
+         ("Atomic", "1", "", 40, "non_standard_variant", False), ("", "no", "casual", 40, "unrated_game", True), ("standard", "1", "", 400, "too_long_game", False)]
 
 
-@query(answers([(0, "kept", True), (1, "kept", True), (2, "kept", False), (3, "too_short_game", False), (4, "non_standard_variant", False), (5, "unrated_game", True), (6, "too_long_game", False)], "id, reason, annotated"))
+@query(f"""SELECT reason, annotated, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM (SELECT o_orderkey, {dealt_sql('o_orderkey', [g[4] for g in GAMES])} AS reason, {dealt_sql('o_orderkey', [g[5] for g in GAMES])} AS annotated FROM orders) GROUP BY 1, 2""")
 def case_game_rules(spark, sf_dir):
-    """The plain rule of variants knows four values in any case, that of annotated games two as they are written."""
-    rows = spark.createDataFrame([(i, *g) for i, g in enumerate(GAMES)], "id long, variant string, rated string, event string, plies int")
+    """The plain rule of variants knows four values in any case, that of annotated games two as they are written; orders stand for games."""
+    column = lambda i, kind="string": dealt_out("o_orderkey", [g[i] for g in GAMES], kind)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", column(0).alias("variant"), column(1).alias("rated"), column(2).alias("event"), column(3, "int").alias("plies"))
     reason = sidecars.game_reasons(F.col("variant"), sidecars.rated_game(F.col("rated"), F.col("event")), F.col("plies"), 4, 300)
-    return rows.select("id", F.coalesce(reason, F.lit("kept")).alias("reason"), sidecars.standard_annotated_game(F.col("variant")).alias("annotated"))
+    marked = rows.select("o_orderkey", F.coalesce(reason, F.lit("kept")).alias("reason"), sidecars.standard_annotated_game(F.col("variant")).alias("annotated"))
+    return marked.groupBy("reason", "annotated").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
 
 
+#: given, source, site, event, annotator, file, and the family.
 FAMILIES = [
-    ("My Own!", "s", None, None, None, None), (None, "waterhorse_annotated_pgn_1", "https://www.chess.example/1", None, None, None), (None, "waterhorse_annotated_pgn", "?", "My Open 2020", None, "f.pgn"), (None, "waterhorse_annotated_pgn", None, "?", None, None),
-    (None, "s", "https://x.org", None, None, "a/b/Games 1.jsonl"), ("", "mate_dataset_Tactic", None, None, None, "f.zip"), ("", "s", None, None, None, ""), (None, None, None, None, None, None), (None, "waterhorse_annotated_pgn", "Paris FRA", None, "notes.example.net", None),
+    ("My Own!", "s", None, None, None, None, "my_own"), (None, "waterhorse_annotated_pgn_1", "https://www.chess.example/1", None, None, None, "chess.example"), (None, "waterhorse_annotated_pgn", "?", "My Open 2020", None, "f.pgn", "waterhorse::my_open_2020"),
+    (None, "waterhorse_annotated_pgn", None, "?", None, None, "waterhorse::unknown"), (None, "s", "https://x.org", None, None, "a/b/Games 1.jsonl", "games_1"), ("", "mate_dataset_Tactic", None, None, None, "f.zip", "mate_dataset_tactic"),
+    ("", "s", None, None, None, "", "s"), (None, None, None, None, None, None, "unknown"), (None, "waterhorse_annotated_pgn", "Paris FRA", None, "notes.example.net", None, "notes.example.net"),
 ]
+#: An address of the page stands in for the site of every tenth row.
+HOST = r"regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', '')"
 
 
-@query(answers(list(enumerate(["my_own", "chess.example", "waterhorse::my_open_2020", "waterhorse::unknown", "games_1", "mate_dataset_tactic", "s", "unknown", "notes.example.net"])), "id, family"))
+@query(f"SELECT page_id, CASE WHEN page_id % 10 = 9 AND url LIKE '%://%.%' THEN {HOST} ELSE {dealt_sql('page_id', [f[6] for f in FAMILIES])} END AS family FROM pages WHERE NOT (page_id % 10 = 9 AND NOT url LIKE '%://%.%')")
 def case_source_families(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *f) for i, f in enumerate(FAMILIES)], "id long, given string, source string, site string, event string, annotator string, file string")
-    return rows.select("id", sidecars.source_family("given", "source", "site", "event", "annotator", "file").alias("family"))
+    column = lambda i: dealt_out("page_id", [f[i] for f in FAMILIES])
+    given, site = F.col("page_id") % 10 == 9, F.col("url").like("%://%.%")
+    pages = table(spark, sf_dir, "pages").where(~(given & ~site))
+    rows = pages.select("page_id", *[column(i).alias(c) for i, c in enumerate(("given", "source", "site", "event", "annotator", "file"))], given.alias("_own"), "url")
+    rows = rows.withColumns({"given": F.when(~F.col("_own"), F.col("given")), "source": F.when(F.col("_own"), "waterhorse_annotated_pgn").otherwise(F.col("source")), "site": F.when(F.col("_own"), F.col("url")).otherwise(F.col("site"))})
+    return rows.select("page_id", sidecars.source_family("given", "source", "site", "event", "annotator", "file").alias("family"))
 
 
-@query(answers([(199, "exploratory_only"), (200, "secondary_shared"), (499, "secondary_shared"), (500, "primary_shared"), (999, "primary_shared"), (1000, "strong_primary"), (0, "exploratory_only")], "n, pool"))
+@query("SELECT pool, count(*) AS n, min(size) AS least, max(size) AS most FROM (SELECT size, CASE WHEN size < 200 THEN 'exploratory_only' WHEN size < 500 THEN 'secondary_shared' WHEN size < 1000 THEN 'primary_shared' ELSE 'strong_primary' END AS pool FROM (SELECT o_orderkey % 1201 AS size FROM orders)) GROUP BY 1")
 def case_pool_classes(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in (199, 200, 499, 500, 999, 1000, 0)], "n long").select("n", scoring.pool_class(F.col("n")).alias("pool"))
+    sizes = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1201).alias("size"))
+    return sizes.groupBy(scoring.pool_class(F.col("size")).alias("pool")).agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+
+
+SQUARES = "(SELECT o_orderkey, o_orderkey % 64 AS a, (o_custkey * 7 + o_orderkey // 64) % 64 AS b, o_orderkey % 5 AS p FROM orders)"
+
+
+def squares(spark, sf_dir):
+    """Two squares and a promotion of each order."""
+    b = F.pmod(F.col("o_custkey") * 7 + F.floor(F.col("o_orderkey") / 64), F.lit(64))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(64)).alias("a"), b.alias("b"), F.pmod("o_orderkey", F.lit(5)).cast("int").alias("p"))
 
 
-@query(answers([("a1", "a1", 0), ("a1", "h1", 1), ("a1", "a8", 2), ("a1", "h8", 3), ("b1", "c3", 4), ("g8", "e7", 4), ("a1", "b4", 0), ("d4", "e5", 3), ("d4", "e4", 1)], "a, b, relation"))
+@query(f"""SELECT relation, count(*) AS n, sum(o_orderkey)::BIGINT AS ids FROM (SELECT o_orderkey, CASE WHEN dr = 0 AND dc = 0 THEN 0 WHEN dr = 0 THEN 1 WHEN dc = 0 THEN 2 WHEN dr = dc THEN 3 WHEN least(dr, dc) = 1 AND greatest(dr, dc) = 2 THEN 4 ELSE 0 END AS relation
+FROM (SELECT o_orderkey, abs(a // 8 - b // 8) AS dr, abs(a % 8 - b % 8) AS dc FROM {SQUARES})) GROUP BY 1""")
 def case_square_relations(spark, sf_dir):
-    pairs = spark.createDataFrame([("a1", "a1"), ("a1", "h1"), ("a1", "a8"), ("a1", "h8"), ("b1", "c3"), ("g8", "e7"), ("a1", "b4"), ("d4", "e5"), ("d4", "e4")], "a string, b string")
-    known = boards.square_relations(spark).withColumnsRenamed({"a": "x", "b": "y"})
-    return pairs.join(known, (boards.square_of(F.col("a")) == F.col("x")) & (boards.square_of(F.col("b")) == F.col("y"))).select("a", "b", "relation")
+    known = boards.square_relations(spark).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "relation")
+    return squares(spark, sf_dir).join(F.broadcast(known), ["a", "b"]).groupBy("relation").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("ids"))
+
+
+@query("""SELECT a, b, relation, count(*) AS n FROM (SELECT a, b, CASE WHEN dr = 0 AND dc = 0 THEN 0 WHEN dr = 0 THEN 1 WHEN dc = 0 THEN 2 WHEN dr = dc THEN 3 WHEN least(dr, dc) = 1 AND greatest(dr, dc) = 2 THEN 4 ELSE 0 END AS relation
+FROM (SELECT a, b, abs(a // 8 - b // 8) AS dr, abs(a % 8 - b % 8) AS dc FROM (SELECT l_orderkey % 64 AS a, l_partkey % 64 AS b FROM lineitem))) GROUP BY 1, 2, 3""")
+def square_relations(spark, sf_dir):
+    """How often each pair of squares occurs among order and part of the lines, with its relation."""
+    pairs = table(spark, sf_dir, "lineitem").groupBy(F.pmod("l_orderkey", F.lit(64)).alias("a"), F.pmod("l_partkey", F.lit(64)).alias("b")).agg(F.count("*").alias("n"))
+    known = boards.square_relations(spark).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "relation")
+    return pairs.join(F.broadcast(known), ["a", "b"])
+
+
+@query(f"SELECT o_orderkey, chr((97 + a % 8)::INT) || (a // 8 + 1) || chr((97 + b % 8)::INT) || (b // 8 + 1) || ['', 'n', 'b', 'r', 'q'][(p + 1)::INT] AS move, a AS src, b AS dst, p AS promotion FROM {SQUARES}")
+def move_codec(spark, sf_dir):
+    """Moves written and read again."""
+    moves = squares(spark, sf_dir).select("o_orderkey", boards.encode_move(F.col("a"), F.col("b"), F.col("p")).alias("move"))
+    return moves.select("o_orderkey", "move", boards.move_parts(F.col("move")).alias("m")).select("o_orderkey", "move", *[F.col(f"m.{c}").cast("long").alias(c) for c in ("src", "dst", "promotion")])
+
+
+#: segment, moves, other moves, tags, other tags, and the answers.
+RULES = [(" ,, a plan  in the center", "e2e4 d2d4", "d2d4 e2e4", "b a", "c b", "a plan in the center", True, "a,b,c"), (",TacticB: e2e4", "e2e4", "d2d4", "a", None, "Tactic: e2e4", False, "a"), (None, None, None, None, None, "", True, "")]
 
 
-@query(answers([(1, "a plan in the center", True, "a,b,c"), (2, "Tactic: e2e4", False, "a"), (3, "", True, "")], "id, segment, same, tags"))
+@query(f"SELECT c_custkey, trim({dealt_sql('c_custkey', [r[5] for r in RULES])} || ' ' || lower(c_mktsegment)) AS segment, {dealt_sql('c_custkey', [r[6] for r in RULES])} AS same, {dealt_sql('c_custkey', [r[7] for r in RULES])} AS tags FROM customer")
 def case_small_rules(spark, sf_dir):
     """Segments of prompts, equal move lists, united tags."""
-    rows = spark.createDataFrame([(1, " ,, a plan  in the center", ["e2e4", "d2d4"], ["d2d4", "e2e4"], ["b", "a"], ["c", "b"]), (2, ",TacticB: e2e4", ["e2e4"], ["d2d4"], ["a"], None), (3, None, None, None, None, None)],
-                                 "id long, s string, m array<string>, n array<string>, x array<string>, y array<string>")
-    return rows.select("id", builders.clean_segment("s").alias("segment"), builders.same_moves("m", "n").alias("same"), F.array_join(builders.tag_union("x", "y"), ",").alias("tags"))
+    column = lambda i: dealt_out("c_custkey", [r[i] for r in RULES])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", column(0), F.lower("c_mktsegment")).alias("s"), *[F.split(column(i), " ").alias(c) for i, c in ((1, "m"), (2, "n"), (3, "x"), (4, "y"))])
+    return rows.select("c_custkey", builders.clean_segment("s").alias("segment"), builders.same_moves("m", "n").alias("same"), F.array_join(builders.tag_union("x", "y"), ",").alias("tags"))
 
 
 # round trips of readers and writers
@@ -271,11 +336,10 @@ def roundtrip_found_files(spark, sf_dir):
     return found.groupBy(F.regexp_extract("path", r"region=(\d+)", 1).cast("long").alias("region")).agg(F.count("*").alias("files"))
 
 
-@query("SELECT x AS experiment, y AS seed, x * 10 + y AS loss FROM range(3) a(x), range(2) b(y)".replace("x AS experiment", "'run' || x AS experiment").replace("x * 10", "x::DOUBLE * 10"))
+@query("SELECT 'run' || n_regionkey AS experiment, n_nationkey % 2 AS seed, sum(n_nationkey)::DOUBLE AS loss FROM nation GROUP BY 1, 2")
 def roundtrip_summaries(spark, sf_dir):
-    """Summaries found in the folders of runs and seeds."""
+    """Summaries found in the folders of runs and seeds: one of each region and parity of nations."""
     root = fresh(spark, "summaries")
-    for x in range(3):
-        for y in range(2):
-            sinks.write_file(spark, f'{{"loss": {x * 10.0 + y}}}', f"{root}/run{x}_seed{y}/summary.json")
+    for run in table(spark, sf_dir, "nation").groupBy("n_regionkey", (F.col("n_nationkey") % 2).alias("seed")).agg(F.sum("n_nationkey").alias("loss")).collect():  # ten rows
+        sinks.write_file(spark, f'{{"loss": {float(run["loss"])}}}', f"{root}/run{run['n_regionkey']}_seed{run['seed']}/summary.json")
     return readers.read_summaries(spark, root).select("experiment", F.col("seed").cast("long").alias("seed"), "loss")

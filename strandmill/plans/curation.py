@@ -228,7 +228,7 @@ def quantile_threshold_filter(spark, sf_dir):
 
 
 CLEAN = f"""WITH {flags_sql('documents', 'doc_id', f"lang, {SPLIT} AS split")},
-d AS (SELECT *, CASE WHEN categories <> '' THEN string_split(categories, ',')[1] WHEN plain_text = '' THEN 'empty_after_cleanup' END AS reason, {T.normalize('plain_text', 'punct_light')} AS light FROM f),
+d AS (SELECT *, CASE WHEN categories <> '' THEN 'boilerplate:' || string_split(categories, ',')[1] WHEN plain_text = '' THEN 'empty_after_cleanup' END AS reason, {T.normalize('plain_text', 'punct_light')} AS light FROM f),
 p AS (SELECT *, row_number() OVER (PARTITION BY split, CASE WHEN light = '' THEN 'own:' || doc_id ELSE light END ORDER BY {H.rank_key('clean', 'doc_id')}, doc_id) AS place FROM d WHERE reason IS NULL)"""
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandmill.functions import scoring, text as t
 from strandmill.functions.hashing import Sql as H
 from strandmill.functions.hashing import SplitConfig, split_of
-from strandmill.operators import alignment, boards, chat, ranking, retrieval, stats
+from strandmill.operators import alignment, chat, ranking, retrieval, stats
 from strandmill.operators.dedup import digest
 from strandmill.plans.curation import LIGHT, SPLIT, T, documents, scored, scores_sql
 from strandmill.plans.registry import Registry, table
@@ -360,19 +360,6 @@ def qa_gates(spark, sf_dir):
     return stats.missing_rates(rows, "split", ["text", "lang", "source", "quality"]).withColumn("enough", F.col("n") >= 30)
 
 
-@query("""WITH s AS (SELECT i AS a, j AS b, abs(i // 8 - j // 8) AS dr, abs(i % 8 - j % 8) AS dc FROM range(64) x(i), range(64) y(j))
-SELECT a, b, CASE WHEN a = b THEN 0 WHEN dr = 0 THEN 1 WHEN dc = 0 THEN 2 WHEN dr = dc THEN 3 WHEN least(dr, dc) = 1 AND greatest(dr, dc) = 2 THEN 4 ELSE 0 END AS relation FROM s""")
-def square_relations(spark, sf_dir):
-    return boards.square_relations(spark).select(*[F.col(c).cast("long").alias(c) for c in ("a", "b")], F.col("relation").cast("int").alias("relation"))
-
-
-@query("""SELECT chr((97 + a % 8)::INT) || (a // 8 + 1) || chr((97 + b % 8)::INT) || (b // 8 + 1) || ['', 'n', 'b', 'r', 'q'][p + 1] AS move, a AS src, b AS dst, p AS promotion FROM range(64) x(a), range(64) y(b), range(5) z(p)""")
-def move_codec(spark, sf_dir):
-    parts = spark.range(64 * 64 * 5).select(F.floor(F.col("id") / 320).alias("a"), F.pmod(F.floor(F.col("id") / 5), F.lit(64)).alias("b"), F.pmod("id", F.lit(5)).cast("int").alias("p"))
-    moves = parts.select(boards.encode_move(F.col("a"), F.col("b"), F.col("p")).alias("move"))
-    return moves.select("move", boards.move_parts(F.col("move")).alias("m")).select("move", *[F.col(f"m.{c}").cast("long").alias(c) for c in ("src", "dst", "promotion")])
-
-
 @query(f"SELECT doc_id, {SPLIT} AS split, md5({T.template('text')}) AS template FROM documents")
 def stream_splits(spark, sf_dir):
     """The row-local stages on a stream of documents, appended to files."""

@@ -8,25 +8,30 @@ from strandmill.functions import scoring
 from strandmill.functions.hashing import Sql as H
 from strandmill.functions.hashing import split_of
 from strandmill.operators import builders
-from strandmill.plans.cases import answers
-from strandmill.plans.curation import SPLIT, documents
+from strandmill.plans.cases import dealt_out, dealt_sql
+from strandmill.plans.curation import SPLIT, T, documents
 from strandmill.plans.evaluation import RANKS, ranked
 from strandmill.plans.registry import Registry, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
-BOARD = ("8/8/8/8/8/8/8/K1k5 w - - 0 1", "8/8/8/8/8/8/8/K1k5 w - - 7 9", "8/8/8/8/8/8/8/K2k4 b - - 0 1", "broken", None)
 
 
-@query(answers([(0, 24, None, 2, "b2b3"), (1, 24, None, 2, "b2b3"), (2, 9, 5, None, "c2c3"), (3, None, None, None, None), (4, None, None, None, None)], "id, engine_depth, engine_cp, engine_mate, engine_best"))
+@query("""WITH last AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1)
+SELECT o_orderkey AS id, e::BIGINT AS engine_depth, CASE WHEN e % 3 <> 0 THEN e % 500 END::BIGINT AS engine_cp, CASE WHEN e % 3 = 0 THEN e % 7 END::BIGINT AS engine_mate, CASE WHEN e % 4 = 0 THEN 'b2b3' ELSE 'e2e' || (e % 8 + 1) END AS engine_best
+FROM orders LEFT JOIN last ON o_custkey = user_id AND o_orderkey % 5 < 3""")
 def enriched_positions(spark, sf_dir):
-    """Positions without clocks meet the deepest of their evaluations, the first of equally deep ones."""
-    base = spark.createDataFrame([(i, f) for i, f in enumerate(BOARD)], "id long, fen string")
-    evaluations = spark.createDataFrame([
-        (BOARD[0], 3, 10, None, "e2e4 e7e5", None), (BOARD[0], None, 7, None, None, [(20, [(1, None, "a2a3")]), (24, [(None, 2, "b2b3 b7b6"), (9, None, "h2h3")])]),
-        (BOARD[2], 9, 5, None, "c2c3", None), (BOARD[2], 8, 6, None, "d2d3", None), (None, 99, 1, None, None, None)],
-        "fen string, depth int, cp int, mate int, pv string, evals array<struct<depth:int,pvs:array<struct<cp:int,mate:int,line:string>>>>").coalesce(1)
+    """A position of each order without its clocks meets the deepest evaluation among the events of its customer, flat or nested."""
+    fen = F.when(F.col("o_orderkey") % 5 == 3, "broken").when(F.col("o_orderkey") % 5 < 3, F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit(" w - - "), F.col("o_orderkey").cast("string"), F.lit(" 1")))
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), fen.alias("fen"))
+    e = F.col("event_id").cast("int")
+    cp, mate, nested = F.when(e % 3 != 0, e % 500), F.when(e % 3 == 0, e % 7), e % 4 == 0
+    line = lambda cp, mate, line: F.array(F.struct(cp.cast("int").alias("cp"), mate.cast("int").alias("mate"), F.lit(line).alias("line")))
+    evals = F.array(F.struct(F.lit(-2).alias("depth"), line(F.lit(5), F.lit(None), "a2a3").alias("pvs")), F.struct(e.alias("depth"), line(cp, mate, "b2b3 b7b6").alias("pvs")))
+    evaluations = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit(" w - - 0 1")).alias("fen"), F.when(~nested, e).alias("depth"), F.when(~nested, cp).alias("cp"), F.when(~nested, mate).alias("mate"),
+        F.when(~nested, F.concat(F.lit("e2e"), (e % 8 + 1).cast("string"), F.lit(" e7e5"))).alias("pv"), F.when(nested, evals).alias("evals"))
     return builders.enriched(base, evaluations).select("id", *[F.col(f"engine_{c}").cast("long").alias(f"engine_{c}") for c in ("depth", "cp", "mate")], "engine_best")
 
 
@@ -126,29 +131,54 @@ def shared_holdout_ids(spark, sf_dir):
     return holdouts(spark, sf_dir)[1]
 
 
-CHATS = [
-    '{"messages": [{"role": "human", "content": " Hi "}, {"role": "gpt", "content": "Hello"}]}', '{"conversations": [{"from": "User", "value": "a"}, {"from": "model", "value": ""}]}', '{"dialogue": [{"author": "bot", "text": "x"}], "messages": []}',
-    '{"messages": [{"role": "user", "content": "  "}]}', '{"instruction": "do", "output": "done"}', '{"title": "", "body": "long text"}', '{"other": 1}', "broken",
-]
+def chat_line(text):
+    """A JSON line of one of eight shapes around a text, by the row's number."""
+    one = lambda **fields: F.struct(*[F.lit(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in fields.items()])
+    shapes = [
+        F.to_json(one(messages=F.array(one(role="human", content=F.concat(F.lit(" "), text, F.lit(" "))), one(role="gpt", content="Hello")))),
+        F.to_json(one(conversations=F.array(one(**{"from": "User"}, value=text), one(**{"from": "model"}, value="")))),
+        F.to_json(one(dialogue=F.array(one(author="bot", text=text)), messages=F.array().cast("array<string>"))),
+        F.to_json(one(messages=F.array(one(role="user", content="  ")), note=text)),
+        F.to_json(one(instruction=text, output="done")), F.to_json(one(title="", body=text)), F.to_json(one(other=text)), F.concat(F.lit("broken "), text),
+    ]
+    kind = F.col("id") % 8
+    return F.coalesce(*[F.when(kind == i, s) for i, s in enumerate(shapes)])
+
+
+SAID = T.normalize("text", "raw")
 
 
-@query(answers([(0, "conversation", "user: Hi|assistant: Hello"), (1, "conversation", "user: a"), (2, "conversation", "assistant: x"), (3, "no_messages", ""), (4, "text", "do|done|"), (5, "text", "||long text"), (6, "no_text", ""), (7, "no_text", "")], "id, kind, shown"))
+@query(f"""WITH c AS (SELECT conv_id * 100 + turn AS id, coalesce(text, '') AS text FROM conversations)
+SELECT id, CASE WHEN id % 8 < 3 THEN 'conversation' WHEN id % 8 = 3 THEN 'no_messages' WHEN id % 8 < 6 THEN 'text' ELSE 'no_text' END AS kind,
+  md5(CASE id % 8 WHEN 0 THEN 'user: ' || {SAID} || '|assistant: Hello' WHEN 1 THEN 'user: ' || {SAID} WHEN 2 THEN 'assistant: ' || {SAID} WHEN 4 THEN text || '|done|' WHEN 5 THEN '||' || text ELSE '' END) AS shown_md5 FROM c""")
 def chat_corpus(spark, sf_dir):
-    """JSON lines of several shapes, told apart and brought into two."""
-    lines = spark.createDataFrame(list(enumerate(CHATS)), "id long, line string")
-    talks, texts, ledger = builders.chat_corpus(lines, "line", "id")
+    """Turns as JSON lines of several shapes, told apart and brought into two."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    talks, texts, ledger = builders.chat_corpus(rows.select("id", chat_line(F.col("text")).alias("line")), "line", "id")
     shown = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "|")
     plain = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("prompt", "response", "text")])
-    return talks.select("id", F.lit("conversation").alias("kind"), shown.alias("shown")).union(texts.select("id", F.lit("text"), plain)).union(ledger.select("id", "drop_reason", F.lit("")))
+    every = talks.select("id", F.lit("conversation").alias("kind"), shown.alias("shown")).union(texts.select("id", F.lit("text"), plain)).union(ledger.select("id", "drop_reason", F.lit("")))
+    return every.select("id", "kind", F.md5("shown").alias("shown_md5"))
+
+
+#: source, strategy, tactic, preferred move, themes, move, whether it is matched; and the answers.
+RATIONALES = [
+    ("mate", "A: x || B: a plan", "A: d2d4 || B: e2e4 e7e5", "MoveB:e2e4", None, "e2e4", 1, "a plan e2e4 e7e5", ""), ("mate", "A: first strategy || B: y", None, None, None, None, 1, "first strategy", ""),
+    ("puzzle", None, None, None, "fork|mateIn2", None, 1, "Puzzle themes: fork, mateIn2", "fork,mateIn2"), ("puzzle", None, None, None, "", "e2e4", 1, "Move focus: e2e4", ""),
+    ("mate", "whole text on mate", None, None, None, None, 1, "whole text on mate", "checkmate_pattern"), ("mate", "A: z", None, None, None, None, 0, "", ""),
+    ("other", "now open", "file it, then check", None, None, None, 1, "now open file it, then check", "check"), ("puzzle", "mate", "an exchange", None, "zugzwang|exchange", None, 1, "Puzzle themes: zugzwang, exchange", "checkmate_pattern,exchange,zugzwang"),
+]
 
 
-@query(answers([("s1", "a plan e2e4 e7e5", ""), ("s2", "first strategy", ""), ("s3", "Puzzle themes: fork, mateIn2", ""), ("s4", "Move focus: e2e4", ""), ("s5", "whole text on mate", "checkmate_pattern")], "sidecar_id, rationale_short, motifs"))
+@query(f"SELECT o_orderkey::VARCHAR AS sidecar_id, {dealt_sql('o_orderkey', [r[7] for r in RATIONALES])} AS rationale_short, {dealt_sql('o_orderkey', [r[8] for r in RATIONALES])} AS motifs FROM orders WHERE o_orderkey % 8 <> 5")
 def rationale_sidecar(spark, sf_dir):
-    """The preferred option of a prompt, the first one, themes, the move, a text without options; unmatched rows are left out."""
-    rows = spark.createDataFrame([
-        ("s1", "p1", "mate", "A: x || B: a plan", "A: d2d4 || B: e2e4 e7e5", "MoveB:e2e4", None, "e2e4"), ("s2", "p2", "mate", "A: first strategy || B: y", None, None, None, None), ("s3", "p3", "puzzle", None, None, None, ["fork", "mateIn2"], None),
-        ("s4", "p4", "puzzle", None, None, None, [], "e2e4"), ("s5", "p5", "mate", "whole text on mate", None, None, None, None), ("s6", None, "mate", "A: z", None, None, None, None)],
-        "sidecar_id string, matched_position_id string, source string, strategy_text string, tactic_text string, preferred_move string, theme_tags array<string>, matched_move string")
+    """The preferred option of a prompt, the first one, themes, the move, a text without options; unmatched rows are left out.
+    Motifs are a row's themes and the tags of each of its texts."""
+    column = lambda i, kind="string": dealt_out("o_orderkey", [r[i] for r in RATIONALES], kind)
+    themes = column(4)
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("sidecar_id"), F.when(column(6, "int") == 1, F.concat(F.lit("p"), F.col("o_orderkey").cast("string"))).alias("matched_position_id"), column(0).alias("source"),
+        column(1).alias("strategy_text"), column(2).alias("tactic_text"), column(3).alias("preferred_move"), F.when(themes == "", F.array().cast("array<string>")).otherwise(F.split(themes, r"\|")).alias("theme_tags"), column(5).alias("matched_move"))
     return builders.rationales(rows).select("sidecar_id", "rationale_short", "motifs")
 
 
@@ -163,6 +193,7 @@ def pilot_gates(spark, sf_dir):
     return builders.pilot_gates(rows, "game", "split", "reason", 20, 1000)
 
 
-@query(f"WITH {RANKS} SELECT CASE WHEN rank <= 1 THEN '<=1' WHEN rank <= 5 THEN '<=5' WHEN rank <= 10 THEN '<=10' WHEN rank <= 50 THEN '<=50' WHEN rank <= 100 THEN '<=100' ELSE '>100' END AS bucket, count(*) AS n FROM r GROUP BY 1")
+@query(f"""WITH {RANKS} SELECT count(*) FILTER (rank = 1) AS rank_1, count(*) FILTER (rank BETWEEN 2 AND 5) AS rank_2_to_5, count(*) FILTER (rank > 5) AS rank_over_5, count(*) FILTER (ties > 1) AS tied_queries,
+  round(avg(ties - 1), 6) AS mean_tied, max(ties - 1) AS most_tied, count(*) FILTER (strict_rank > rank) AS penalties FROM r""")
 def rank_histogram(spark, sf_dir):
-    return builders.rank_histogram(ranked(spark, sf_dir))
+    return builders.rank_diagnostics(ranked(spark, sf_dir))
