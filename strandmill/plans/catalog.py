@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import cases, curation, evaluation, reporting, sidecars, texts
+from strandmill.plans import cases, curation, evaluation, imports, reporting, sidecars, texts
 
-PARTS = (curation, evaluation, reporting, cases, sidecars, texts)
+PARTS = (curation, evaluation, reporting, cases, sidecars, texts, imports)
 
 
 def flagship(spark, sf_dir):
