@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scoring, text as t
 from strandmill.functions.hashing import rank_key, split_of
-from strandmill.operators import alignment, audits, sidecars
+from strandmill.operators import alignment, audits, movetext, sidecars
 from strandmill.operators.boards import position_key
 from strandmill.operators.ranking import first_n
 from strandmill.operators.stats import named
@@ -198,6 +198,38 @@ def probe_targets(rows: DataFrame, text: str, vocabulary: dict, least: int) -> t
     return audits.without_rare(labelled, "target_labels", least, list(vocabulary)), counts
 
 
+#: Headers that make a game's identity, beside its file and key; the text of the identity is JSON with sorted keys.
+IDENTITY = ("Black", "Date", "Event", "FEN", "Round", "Site", "White")
+
+
+def record_id(prefix: str, **fields: Column) -> Column:
+    """A digest of fields, as JSON with sorted keys and nulls."""
+    value = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", ""))
+    parts = [F.concat(F.lit(f'"{k}": '), value(c)) for k, c in sorted(fields.items())]
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256), 1, 16))
+
+
+def annotated_sidecar(rows: DataFrame, text: str = "text", key: str = "pipeline_key", file: str = "source_file") -> tuple[DataFrame, DataFrame]:
+    """Rows of the main-line moves that are commented on, of games inside JSON rows, and a ledger ``(key, file, drop_reason)``.
+
+    Reasons: ``missing_text``, ``non_standard_variant``, ``no_comment_annotations``. Positions and the legality of moves
+    take the rules of play and are left out; moves stay as they are written.
+    """
+    read = rows.select(F.col(key).alias("source_row_id"), F.col(file).alias("source_file"), F.when(t.strip(t.text_of(text)) != "", F.col(text)).alias("_text"))
+    game = read.withColumn("_g", F.when(F.col("_text").isNotNull(), movetext.games(F.col("_text")))).drop("_text")
+    header = lambda name: F.element_at("_g.headers", name)
+    told = F.filter("_g.nodes", lambda n: (n["depth"] == 0) & movetext.node_comment(n).isNotNull())
+    game_id = record_id("ann_game_", source_file=F.col("source_file"), pipeline_key=F.col("source_row_id"), **{h.lower(): header(h) for h in IDENTITY})
+    judged = written(game.select("source_row_id", "source_file", game_id.alias("game_id"), F.col("_g.headers").alias("headers"), told.alias("_told"), sidecars.drop_reasons(
+        ("missing_text", F.col("_g").isNull()), ("non_standard_variant", ~sidecars.standard_annotated_game(t.strip(t.text_of(header("Variant"))))), ("no_comment_annotations", F.size(told) == 0)).alias("drop_reason")), "games")
+    place = lambda tail, prefix: F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws(":", "game_id", F.col("_n.ply").cast("string"), *tail), 256), 1, 16))
+    nodes = judged.where("drop_reason is null").select("*", F.explode("_told").alias("_n")).withColumn("_c", movetext.node_comment(F.col("_n")))
+    kept = nodes.select(
+        place([F.lit("comment")], "sidecar_").alias("sidecar_id"), place([], "pos_").alias("position_id"), "game_id", "source_file", "source_row_id", F.col("_n.ply").alias("ply_index"), F.col("_n.move").alias("target_move"),
+        F.col("_c.text").alias("comment_text"), F.col("_c.nags").alias("nag_codes"), F.col("_c.source").alias("comment_source"), "headers", split_of("game_id").alias("split"))
+    return kept, judged.where("drop_reason is not null").select("source_row_id", "source_file", "drop_reason")
+
+
 def pilot_gates(rows: DataFrame, game: str, split: str, reason: str, least_val: int = 1000, least_test: int = 1000) -> DataFrame:
     """``(gate, passed)``: no row with a broken position, target or history, no game in two splits, no empty or tiny split."""
     n = lambda c: F.count_if(c)

@@ -141,6 +141,12 @@ def read_games(spark: SparkSession, paths) -> DataFrame:
         "path", F.map_from_entries(first).alias("headers"), t.strip(F.regexp_replace("text", r"(?m)^\[[^\n]*\]\n?", "")).alias("moves"))
 
 
+def read_sharded_json(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines of all ``*.jsonl`` and ``*.jsonl-*`` files below ``root``, with ``source_file``, the file's name."""
+    found = spark.read.schema(schema).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", "{*.jsonl,*.jsonl-*}").json(root)
+    return found.select("*", F.col("_metadata.file_name").alias("source_file"))
+
+
 def read_summaries(spark: SparkSession, root: str, name: str = "summary.json") -> DataFrame:
     """JSON documents named ``name`` below ``root`` with ``experiment`` and ``seed`` from their folders."""
     found = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)

@@ -31,6 +31,18 @@ def write_file(spark: SparkSession, value: str, path: str) -> None:
         stream.close()
 
 
+def name_shards(spark: SparkSession, written: str, folder: str, pattern: str) -> int:
+    """Moves the part files that Spark wrote to ``folder``, numbered by ``pattern``; returns how many there are."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    system = paths(written).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(paths(folder))
+    parts = sorted(str(s.getPath()) for s in system.listStatus(paths(written)) if s.getPath().getName().startswith("part-"))
+    for i, part in enumerate(parts):
+        if not system.rename(paths(part), paths(f"{folder}/{pattern.format(i)}")):
+            raise OSError(f"{part} was not moved")
+    return len(parts)
+
+
 def yaml_lines(value, deep: int = 0) -> list[str]:
     """Settings as YAML: nested maps and lists, scalars as JSON, which YAML reads."""
     pad, rows = "  " * deep, value.items() if isinstance(value, dict) else ((None, x) for x in value)
