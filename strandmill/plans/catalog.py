@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import cases, curation, evaluation, imports, reporting, sidecars, texts
+from strandmill.plans import cases, curation, evaluation, imports, probes, reporting, sidecars, texts
 
-PARTS = (curation, evaluation, reporting, cases, sidecars, texts, imports)
+PARTS = (curation, evaluation, reporting, cases, sidecars, texts, imports, probes)
 
 
 def flagship(spark, sf_dir):

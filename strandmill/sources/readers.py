@@ -154,6 +154,35 @@ def read_summaries(spark: SparkSession, root: str, name: str = "summary.json") -
     return found.withColumns({"experiment": F.regexp_extract(path, r"/([^/]+?)(?:[_-]seed[_-]?\d+)?/(?:eval/)?[^/]+$", 1), "seed": F.nullif(F.regexp_extract(path, r"seed[_-]?(\d+)", 1), F.lit("")).cast("int")})
 
 
+def read_settings(spark: SparkSession, paths) -> DataFrame:
+    """``(path, settings)`` of YAML files, settings as JSON text; a file that is empty has those of an empty map.
+
+    Files are parsed by tasks with the PyYAML library where that is installed; a file that is no YAML is an error that names it.
+    """
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        import yaml
+
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["path"], batch["value"]):
+                try:
+                    out.append((path, json.dumps(yaml.safe_load(text) or {}, default=str)))
+                except yaml.YAMLError as e:
+                    raise ValueError(f"{path} is no YAML: {e}") from None
+            yield pd.DataFrame(out, columns=["path", "settings"])
+
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(parse, "path string, settings string")
+
+
+def load_settings(spark: SparkSession, *paths: str) -> dict:
+    """Settings of a few files, merged in the order given."""
+    import json
+
+    return merge_settings(*[json.loads(r["settings"]) for path in paths for r in read_settings(spark, path).collect()])
+
+
 def merge_settings(*layers: dict) -> dict:
     """Nested dictionaries merged, later ones win, lists are replaced."""
     out: dict = {}
