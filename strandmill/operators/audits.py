@@ -97,6 +97,32 @@ def variant_counts(variants: dict[str, tuple[DataFrame, DataFrame]], by: str | N
     return parts.groupBy("variant", "outcome").agg(F.count("*").alias("n"))
 
 
+def before_and_after(rows: DataFrame, text: str, identity: str, split: str, source: str, percentiles: tuple[float, ...] = (0.5, 0.9), **caps) -> DataFrame:
+    """``(variant, scope, value, n, repeated, flagged, mean, max, percentiles)`` of the lengths of plain texts: before cleaning
+    and after each of ``VARIANTS``, of all rows, by split and by source.
+
+    Texts are flagged once. Rows are counted by their small features before anything is counted by variant and scope, and
+    percentiles come from counts of distinct lengths, so no set of rows is gathered.
+    """
+    length = F.length(t.strip_markup(text)).cast("long")
+    flagged = written(boilerplate_flags(rows.withColumn("size", length), text, [identity, split, source, "size"]), "flagged")
+    kept = [flagged.select(F.lit("before").alias("variant"), identity)]
+    for name, (drops, cap) in VARIANTS.items():
+        within, most = {None: ([split], None), "source": ([split, source], caps.get("source_cap", 3)), "template": ([split], caps.get("template_cap", 3))}[cap]
+        kept.append(clean(flagged, identity, within, most, f"{caps.get('salt', 'clean')}:{name}", drops)[0].select(F.lit(name).alias("variant"), identity))
+    every = kept[0]
+    for one in kept[1:]:
+        every = every.union(one)
+    light = flagged.select(identity, F.col(split).alias("_split"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("_source"), "size", (F.col("template_count") > 1).alias("_repeated"), (F.size("categories") > 0).alias("_flagged"))
+    counted = written(every.join(light, identity).groupBy("variant", "_split", "_source", "size", "_repeated", "_flagged").agg(F.count("*").alias("_c")), "audits")
+    scope = lambda name, value: F.struct(F.lit(name).alias("scope"), value.alias("value"))
+    scoped = counted.select("*", F.explode(F.array(scope("all", F.lit("all")), scope("split", F.col("_split")), scope("source", F.col("_source")))).alias("_s")).select("*", "_s.*")
+    by = ["variant", "scope", "value"]
+    sums = scoped.groupBy(*by).agg(F.sum(F.when(F.col("_repeated"), F.col("_c")).otherwise(0)).alias("repeated"), F.sum(F.when(F.col("_flagged"), F.col("_c")).otherwise(0)).alias("flagged"))
+    sizes = stats.distribution(scoped, by, "size", percentiles, "_c")
+    return sums.join(sizes, by)
+
+
 def quantile_thresholds(scored: DataFrame, by: list[str], config=scoring.InformativenessConfig()) -> DataFrame:
     """Each group's threshold: the larger of the medium bound and its quantile of scores."""
     p = config.source_quantile

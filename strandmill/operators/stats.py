@@ -33,14 +33,15 @@ def label_of(p: float) -> str:
     return f"p{round(p * 100):d}"
 
 
-def distribution(rows: DataFrame, by, value: str, percentiles=(0.5, 0.9)) -> DataFrame:
+def distribution(rows: DataFrame, by, value: str, percentiles=(0.5, 0.9), weight: str | None = None) -> DataFrame:
     """``n, mean, max`` and nearest-rank percentiles of each group.
 
     The rank is round-half-even((n - 1) * p). Equal values are counted before they move; running counts over ranges of
     the distinct values give the ranks, so one large group is ranked in many tasks. Nulls are not counted; no group, no row.
+    A row with a ``weight`` counts as so many.
     """
     by = names(by)
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
     placed = running(counted, by, [F.col("_v")], F.col("_c"), "_before")
     sizes = placed.select(*by, "_v", "_c").groupBy(*by).agg(F.sum("_c").alias("n"), F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"), F.max("_v").alias("max"))
     groups = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "n", "mean", "max", *[F.bround((F.col("n") - 1) * F.lit(float(p))).cast("long").alias(f"_at{j}") for j, p in enumerate(percentiles)])

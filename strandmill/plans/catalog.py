@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import cases, curation, evaluation, imports, probes, reporting, sidecars, texts
+from strandmill.plans import cases, curation, evaluation, imports, probes, reporting, sidecars, texts, versions
 
-PARTS = (curation, evaluation, reporting, cases, sidecars, texts, imports, probes)
+PARTS = (curation, evaluation, reporting, cases, sidecars, texts, imports, probes, versions)
 
 
 def flagship(spark, sf_dir):
