@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators.ranking import best_by, names
+from strandmill.operators.ranking import best_by, left_join_split, names
 
 
 def enrich(rows: DataFrame, details: DataFrame, key: str, value: list[str], ordinal: str, payload: list[str], keep_unmatched: bool = True) -> DataFrame:
@@ -25,9 +25,11 @@ def align(rows: DataFrame, base: DataFrame, exact: str, loose: str, extra: str |
 
     One base row with the exact key matches. Of several, the one that also agrees in ``extra`` does if it is alone;
     else the row stays unmatched, within a split or across splits. Only without any exact row is the loose key tried
-    the same way, with less confidence. Every base table is aggregated by its key before the join.
+    the same way, with less confidence. Every base table is aggregated by its key before the join, and a key that very many
+    rows share, such as that of empty texts, is joined where its rows lie.
     """
-    found = rows.join(candidates(base, [exact], split, payload, "e"), exact, "left").join(candidates(base, [loose], split, payload, "l"), loose, "left")
+    found = left_join_split(rows, candidates(base, [exact], split, payload, "e"), exact)
+    found = left_join_split(found, candidates(base, [loose], split, payload, "l"), loose)
     if extra:
         found = found.join(candidates(base, [exact, extra], split, payload, "ex"), [exact, extra], "left").join(candidates(base, [loose, extra], split, payload, "lx"), [loose, extra], "left")
     else:

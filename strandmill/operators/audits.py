@@ -9,18 +9,19 @@ from strandmill.functions import scoring, text as t
 from strandmill.functions.hashing import rank_key
 from strandmill.operators import stats
 from strandmill.operators.dedup import digest
-from strandmill.operators.ranking import first_n, names
+from strandmill.operators.ranking import first_n, left_join_split, names
 from strandmill.sources.shared import written
 
 
 def with_counts(light: DataFrame, key: str = "_template", into: str = "template_count") -> DataFrame:
     """``light`` with how many rows of all splits have the same key; 0 without a key.
 
-    Only repeated keys are joined back, and rows without a key take no part in the join.
+    Only repeated keys are joined back; a key of very many rows is joined where its rows lie, and rows without a key take
+    no part in the join.
     """
-    repeated = light.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    known = light.where(F.col(key).isNotNull()).join(repeated, key, "left").withColumn(into, F.coalesce("_n", F.lit(1)).cast("long")).drop("_n")
-    return known.select(*light.columns, into).union(light.where(F.col(key).isNull()).withColumn(into, F.lit(0).cast("long")))
+    repeated = written(light.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    joined = left_join_split(light, repeated, key, repeated)
+    return joined.withColumn(into, F.when(F.col(key).isNull(), 0).otherwise(F.coalesce("_n", F.lit(1))).cast("long")).select(*light.columns, into)
 
 
 def light_flags(rows: DataFrame, text: str, keep: list[str], config=scoring.BoilerplateConfig()) -> DataFrame:

@@ -47,6 +47,24 @@ def group_sizes(rows: DataFrame, keys, into: str = "n") -> DataFrame:
     return rows.groupBy(*names(keys)).agg(F.count("*").alias(into))
 
 
+def left_join_split(rows: DataFrame, side: DataFrame, key: str, counts: DataFrame | None = None, least: int = 500, parts: int = 500) -> DataFrame:
+    """``rows`` left-joined with ``side``, which has a row for a key at most, without a task for a hot key.
+
+    Keys of more than a ``parts``-th of all rows, so fewer than ``parts`` of them, meet their row of ``side`` where they
+    lie; rows with a null key take no part in the join; only the others are shuffled to their key. ``counts(key, _n)``
+    are the rows of each key, where they are known.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    counts = group_sizes(known, key, "_n") if counts is None else counts
+    hot = written(counts.where(F.col("_n") > max(least, rows.count() // parts)).select(key), "hot-keys")
+    added = [f for f in side.schema.fields if f.name != key]
+    columns = [*rows.columns, *[f.name for f in added]]
+    there = known.join(F.broadcast(side.join(F.broadcast(hot), key, "left_semi")), key, "left").join(F.broadcast(hot), key, "left_semi").select(*columns)
+    rest = known.join(F.broadcast(hot), key, "left_anti").join(side.join(F.broadcast(hot), key, "left_anti"), key, "left").select(*columns)
+    lone = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return there.union(rest).union(lone)
+
+
 def quotas(sizes: DataFrame, by, stratum: str, limit: int) -> DataFrame:
     """Seats of each stratum, by largest remainders: ``(by..., stratum, n, quota)`` of rows ``(by..., stratum, n)``.
 
@@ -135,7 +153,8 @@ def histories(rows: DataFrame, by: str, order: list[Column], key: str, value: st
 def whole_histories(links: DataFrame, segments: DataFrame, by: str, key: str) -> DataFrame:
     """``(by, key, history)``: all values of the group up to the row, its own among them. What it returns grows with the
     square of a group, so it is for groups like games; :func:`histories` holds the same for any group."""
-    parts = links.join(segments.select(F.col(by).alias("_by"), F.col("segment").alias("_segment"), "items"), (F.col(by) == F.col("_by")) & (F.col("_segment") <= F.col("segment")))
+    asked = links.withColumn("_segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segment").cast("long"))))
+    parts = asked.join(segments.select(by, F.col("segment").cast("long").alias("_segment"), "items"), [by, "_segment"])  # by segment, so one group is many tasks
     gathered = parts.groupBy(by, key, "place", "segment").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_segment", "items"))), lambda x: x["items"])).alias("_all"))
     return gathered.select(by, key, F.slice("_all", F.lit(1), (F.col("place") + 1).cast("int")).alias("history"))
 

@@ -59,6 +59,17 @@ def pairwise_sidecar(spark, sf_dir):
     return rows.select(F.regexp_extract("fen", r"(\d+)$", 1).cast("long").alias("id"), "source_family", "source_row_id", F.col("target_move_uci").alias("move"), F.md5("comment_text").alias("comment_md5"), "sidecar_id")
 
 
+@query("""SELECT 'orders_' || o_orderkey % 3 || '.zip' AS archive, ['plain.jsonl', 'a.jsonl.gz', 'b.jsonl.xz', 'c.jsonl.bz2'][(o_orderkey % 4 + 1)::INT] AS member, count(*) AS lines, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1, 2""")
+def roundtrip_inner_members(spark, sf_dir):
+    """Members that are packed once more inside their archive, by gz, xz and bz2."""
+    key = F.col("o_orderkey")
+    member = F.get(F.array(*map(F.lit, ["plain.jsonl", "a.jsonl.gz", "b.jsonl.xz", "c.jsonl.bz2"])), (key % 4).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("orders_"), (key % 3).cast("string")).alias("archive"), member.alias("member"), key.alias("id"), F.to_json(F.struct(key.alias("id"))).alias("value"))
+    made = archives.write_archives(rows, fresh(spark, "inner"), "archive", "member", "id", "value").collect()
+    lines = archives.read_members(spark, sorted(r["path"] for r in made), 1000).select("path", "member", F.from_json("value", "id bigint")["id"].alias("id"))
+    return lines.groupBy(F.regexp_extract("path", "([^/]*)$", 1).alias("archive"), "member").agg(F.count("*").alias("lines"), F.sum("id").alias("keys"))
+
+
 # rows of unknown shape
 
 BOARD = "8/8/8/8/8/8/8/K1k5"

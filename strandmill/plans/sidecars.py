@@ -12,6 +12,8 @@ from strandmill.plans.cases import dealt_out, dealt_sql
 from strandmill.plans.curation import SPLIT, T, documents
 from strandmill.plans.evaluation import RANKS, ranked
 from strandmill.plans.registry import Registry, table
+from strandmill.sources import readers, sinks
+from strandmill.sources.shared import fresh
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -161,6 +163,31 @@ def chat_corpus(spark, sf_dir):
     return every.select("id", "kind", F.md5("shown").alias("shown_md5"))
 
 
+@query("""WITH c AS (SELECT conv_id * 100 + turn AS id FROM conversations), k AS (SELECT CASE WHEN id % 8 < 3 THEN 'conversation' WHEN id % 8 IN (4, 5) THEN 'text' ELSE 'dropped' END AS schema, id FROM c)
+SELECT schema, count(*) AS written, sum(id)::BIGINT AS ids, count(*) AS noted FROM k GROUP BY 1""")
+def roundtrip_chat_corpus(spark, sf_dir):
+    """The normalised corpus written by schema with its manifest, and read again."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    root = fresh(spark, "corpus")
+    sinks.write_by_schema(dict(zip(("conversation", "text", "dropped"), builders.chat_corpus(rows.select("id", chat_line(F.col("text")).alias("line")), "line", "id"))), root)
+    noted = readers.read_settings(spark, f"{root}/manifest.yaml").select(F.explode(F.from_json("settings", "rows map<string,bigint>")["rows"]).alias("schema", "noted"))
+    parts = None
+    for name in ("conversation", "text", "dropped"):
+        one = spark.read.schema("id bigint").json(f"{root}/{name}.jsonl").select(F.lit(name).alias("schema"), "id")
+        parts = one if parts is None else parts.union(one)
+    return parts.groupBy("schema").agg(F.count("*").alias("written"), F.sum("id").alias("ids")).join(noted, "schema")
+
+
+@query("""WITH last AS (SELECT user_id, max(event_id) AS e FROM events GROUP BY 1), j AS (SELECT o_orderkey, e FROM orders LEFT JOIN last ON o_custkey = user_id AND o_orderkey % 5 < 3)
+SELECT count(*) AS rows, count(e) AS matched, count(*) - count(e) AS unmatched, count(*) FILTER (e % 3 = 0) AS mates, sum(CASE WHEN e % 3 <> 0 THEN e % 500 END)::BIGINT AS cp FROM j""")
+def enriched_file(spark, sf_dir):
+    """Enriched positions written as JSON lines, with the counters of their manifest held against the file."""
+    root = fresh(spark, "enriched")
+    sinks.write_jsonl(enriched_positions(spark, sf_dir), f"{root}/rows.jsonl")
+    rows = spark.read.schema("id bigint, engine_depth bigint, engine_cp bigint, engine_mate bigint, engine_best string").json(f"{root}/rows.jsonl")
+    return rows.agg(F.count("*").alias("rows"), F.count("engine_depth").alias("matched"), F.count_if(F.col("engine_depth").isNull()).alias("unmatched"), F.count("engine_mate").alias("mates"), F.sum("engine_cp").alias("cp"))
+
+
 #: source, strategy, tactic, preferred move, themes, move, whether it is matched; and the answers.
 RATIONALES = [
     ("mate", "A: x || B: a plan", "A: d2d4 || B: e2e4 e7e5", "MoveB:e2e4", None, "e2e4", 1, "a plan e2e4 e7e5", ""), ("mate", "A: first strategy || B: y", None, None, None, None, 1, "first strategy", ""),

@@ -163,6 +163,16 @@ def read_members(spark: SparkSession, paths: list[str], size: int = 8_000_000) -
     return spark.read.format("archived_lines").option("paths", "\n".join(paths)).option("membersize", str(size)).load()
 
 
+def packed(name: str, content: bytes) -> bytes:
+    """A member's content, packed once more if its name says so."""
+    import bz2
+    import gzip
+    import lzma
+
+    pack = {"gz": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress}.get(name.rpartition(".")[2].lower())
+    return pack(content) if pack else content
+
+
 def write_archives(rows: DataFrame, root: str, archive: str, member: str, order: str, value: str) -> DataFrame:
     """Writes ``(archive, member, order, value)`` rows as lines of zip archives below ``root``: ``(path, members)``.
 
@@ -178,7 +188,7 @@ def write_archives(rows: DataFrame, root: str, archive: str, member: str, order:
 
         def close():
             if state["name"] is not None:
-                state["zip"].writestr(state["member"], state["text"].getvalue())
+                state["zip"].writestr(state["member"], packed(state["member"], state["text"].getvalue()))
                 state["zip"].close()
                 state["stream"].close()
                 system, inside = opened(f"{root}/{state['name']}.zip")
@@ -194,7 +204,7 @@ def write_archives(rows: DataFrame, root: str, archive: str, member: str, order:
                     stream = system.open_output_stream(inside)
                     state = {"name": name, "temporary": inside, "stream": stream, "zip": zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED), "member": part, "text": io.BytesIO(), "n": 0}
                 elif part != state["member"]:
-                    state["zip"].writestr(state["member"], state["text"].getvalue())
+                    state["zip"].writestr(state["member"], packed(state["member"], state["text"].getvalue()))
                     state |= {"member": part, "text": io.BytesIO(), "n": state["n"] + 1}
                 state["text"].write((text or "").encode() + b"\n")
         close()

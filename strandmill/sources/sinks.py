@@ -60,6 +60,13 @@ def write_yaml(spark: SparkSession, value: dict, path: str) -> None:
     write_file(spark, "\n".join(yaml_lines(value)) + "\n", path)
 
 
+def write_by_schema(parts: dict[str, DataFrame], root: str) -> dict[str, int]:
+    """``root/<schema>.jsonl`` of each part, and ``root/manifest.yaml`` with the rows that were written."""
+    counts = {name: write_jsonl(rows, f"{root}/{name}.jsonl") for name, rows in parts.items()}
+    write_yaml(next(iter(parts.values())).sparkSession, {"rows": counts, "files": [f"{name}.jsonl" for name in parts]}, f"{root}/manifest.yaml")
+    return counts
+
+
 def write_variants(variants: dict[str, DataFrame], ledger: DataFrame, root: str, primary: str) -> dict[str, int]:
     """``root/variant=.../split=...``, the ledger beside it, and the primary variant once more at ``root/primary``."""
     if primary not in variants:

@@ -58,3 +58,30 @@ def test_regimes_of_rows(spark):
         regimes.rows_of(made, known, "f:c", "split")
     held = regimes.bitmaps(made, "id").groupBy("number").agg(F.sum(F.bitmap_count("bits")).alias("n")).collect()
     assert {r["n"] for r in held} == {60, 32} and sum(r["n"] for r in held) == 60 + 96
+
+
+def test_bootstrap_against_plain_loops(spark):
+    import numpy as np
+
+    from strandmill.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    data = [(int(i), float(rng.normal(0.1))) for i in range(150)]
+    row = retrieval.bootstrap(spark.createDataFrame([*data, (None, 5.0), (7000, None)], "k long, d double").repartition(5), "d", "k", 200, 3).first()
+    means = []
+    for r in range(200):
+        draws = [retrieval.poisson_draws(np.array([k]), 200, 3)[0][r] for k, _ in data]
+        means.append(sum(t * d for t, (_, d) in zip(draws, data)) / max(1.0, sum(draws)))
+    means.sort()
+    assert (row["mean"], row["low"], row["high"]) == (round(sum(means) / 200, 6), round(means[int(0.025 * 199)], 6), round(means[int(0.975 * 199)], 6))
+
+
+@pytest.mark.parametrize("least", [3, 10**6])
+def test_left_join_of_hot_and_null_keys(spark, least):
+    from strandmill.operators.ranking import left_join_split
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i}") for i in range(60)], "i int, k string")
+    side = spark.createDataFrame([("hot", 1), ("k2", 2), ("k5", None), ("other", 3)], "k string, v int")
+    want = {(i, {"hot": 1, "k2": 2}.get(k)) for i, k in ((r["i"], r["k"]) for r in rows.collect())}
+    found = left_join_split(rows, side, "k", least=least, parts=10).collect()
+    assert {(r["i"], r["v"]) for r in found} == want and len(found) == 60
