@@ -12,7 +12,7 @@ from strandmill.operators.dedup import digest
 from strandmill.plans.curation import LIGHT, SPLIT, T, documents, scored, scores_sql
 from strandmill.plans.registry import Registry, table
 from strandmill.sources.shared import fresh
-from strandmill.streaming import flows
+from strandmill.streaming import flows, stateful
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -377,3 +377,20 @@ def stream_windows(spark, sf_dir):
     stream = flows.stream_table(spark, sf_dir, "events*.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     flows.append_files(flows.windowed_counts(stream, "ts", ["event_type"]), out, fresh(spark, "stream-state"))
     return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, value >= 5 AS high FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 HOUR),
+s AS (SELECT *, sum(high::INT) OVER w - 1 AS seen FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT *, sum((high AND seen % 2 = 0)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS kept FROM s)
+SELECT user_id::VARCHAR AS "group", event_id AS id, CASE WHEN NOT high THEN 'below_least' WHEN seen % 2 <> 0 THEN 'off_stride' WHEN kept <= 3 THEN 'kept' ELSE 'over_cap' END AS outcome FROM k""")
+def stream_running_cap(spark, sf_dir):
+    """Every second event of a user from a value of 5 on, three at most, on a stream in several batches: as on the table."""
+    root, out = fresh(spark, "stream-parts"), fresh(spark, "stream-cap")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("group"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    state, ends = fresh(spark, "stream-state"), rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    third = (ends["high"] - ends["low"]) / 3
+    for i in range(3):  # a batch for each third, in order
+        inside = F.col("ts") >= F.lit(ends["low"] + third * i) if i else F.lit(True)
+        rows.where(inside & ((F.col("ts") < F.lit(ends["low"] + third * (i + 1))) | F.lit(i == 2))).write.mode("append").parquet(root)
+        flows.append_files(stateful.running_cap(spark.readStream.schema(rows.schema).parquet(root), 5.0, 2, 3), out, state)
+    return spark.read.schema(stateful.OUT).parquet(out)
