@@ -8,8 +8,11 @@ prefix share these steps.
 
 from __future__ import annotations
 
+import gc
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import islice
 from struct import pack
@@ -22,10 +25,12 @@ from pyspark.sql.functions import arrow_udf
 
 from strandmill.llm.common import text_slices
 
+#: Words as the library splits them, in classes that the ``re`` module knows; :meth:`Encoder.agrees` says for which texts.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
 #: Words that are held, and meet in one trie, at a time.
-WORDS = 1 << 20
-#: Distinct words, and bytes of them, that a task remembers; then it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 32_000_000
+WORDS = 1 << 18
+#: Distinct words, bytes of them, and pairs of tokens that a task remembers; then it starts anew.
+REMEMBERED, REMEMBERED_BYTES, PAIRS = 150_000, 8_000_000, 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -35,6 +40,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
+def spellings(spec: dict) -> dict[int, bytes]:
+    """The bytes of every id of a byte-level file; a special token with other letters is its text."""
+    value = {c: b for b, c in enumerate(byte_letters())}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {i: bytes(map(value.__getitem__, t)) if all(c in value for c in t) else t.encode() for t, i in (spec["model"]["vocab"] | special).items()}
+
+
+def read_file(path: str) -> dict:
+    with open(path, encoding="utf-8") as lines:
+        return json.load(lines)
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level BPE file of the ``tokenizers`` library.
 
@@ -43,16 +60,13 @@ class Vocabulary:
     """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as lines:
-            spec = json.load(lines)
+        spec = read_file(path)
         model, split = spec["model"], spec["pre_tokenizer"] or {}
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
         if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex") or spec["normalizer"] or odd:
             raise ValueError(f"{path} is not a plain byte-level BPE file: {odd}")
-        value = {c: b for b, c in enumerate(byte_letters())}
-        spelled = lambda token: bytes(value[c] for c in token)
         ids = model["vocab"]
-        self.bytes_of = {i: spelled(t) for t, i in ids.items()}
+        self.bytes_of = spellings(spec)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         #: left -> right -> rank, and token -> (rank, left, right) of the merge that makes it
         self.ranks: dict[int, dict[int, int]] = {}
@@ -64,9 +78,8 @@ class Vocabulary:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"{path} has added tokens that are not matched as they stand")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of |= {i: spelled(t) if all(c in value for c in t) else t.encode() for t, i in self.special.items()}
         self.right_edge, self.left_edge = cache(lambda t: self._edge(t, 2)), cache(lambda t: self._edge(t, 1))
-        self.fits, self.whole = cache(self._fits), cache(self._whole)
+        self.whole = cache(self._whole)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that stand at one edge while ``token`` is merged, each with the rank of the merge that ends it."""
@@ -77,7 +90,7 @@ class Vocabulary:
                 return edge
             end, token = self.made[token][0], self.made[token][side]
 
-    def _fits(self, left: int, right: int) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether ``left`` and ``right`` stay two tokens: no merge across their boundary comes before those inside.
 
         A merge applies when both its tokens stand at the boundary. Of equal merges the one further left is done first:
@@ -104,12 +117,11 @@ class Encoder:
     """Ids of texts; a task encodes each distinct word once, along the trie of the words it meets together."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.vocabulary = Vocabulary(path)
-        self.pattern, self.library = regex.compile(public_tokenizers.PATTERN), Tokenizer.from_file(path).pre_tokenizer
+        self.pattern, self.library = re.compile(WORD), ByteLevel(add_prefix_space=False, use_regex=True)
         special = self.vocabulary.special
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         #: every end of every token, with the token's id where it is one: the search for the token at a prefix's end stops at the first miss
@@ -120,16 +132,17 @@ class Encoder:
                     self.ends.setdefault(spelled[i:], -1)
                 self.ends[spelled] = token
         self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
         self.held = 0
         self.same: dict[str, bool] = {}
 
-    def traverse(self, words: list[bytes]) -> Iterator[list[int]]:
+    def traverse(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """Encodings of distinct words in byte order.
 
         Sorted words are their trie's depth-first listing, and ``last`` is the path from its root: the last token of
         every prefix. From a word to the next the path is cut to their common prefix and grown by the new nodes.
         """
-        ends, fits, whole, before = self.ends.get, self.vocabulary.fits, self.vocabulary.whole, b""
+        ends, whole, compatible, pairs, before = self.ends.get, self.vocabulary.whole, self.vocabulary.fits, self.pairs, b""
         last, sizes = [-1], [0]
         for word in words:
             depth, most = 0, min(len(word), len(before))
@@ -143,7 +156,13 @@ class Encoder:
                     if found >= 0:
                         token, at = found, start
                 # exactly one token at the prefix's end fits what lies before; mostly it is the longest
-                while not (whole(token) and (not at or fits(last[at], token))):
+                while True:
+                    if not at:
+                        fits = whole(token)
+                    elif (fits := pairs.get(pair := last[at] << 20 | token)) is None:
+                        fits = pairs[pair] = whole(token) and compatible(last[at], token)
+                    if fits:
+                        break
                     at += 1
                     while (token := ends(word[at:end])) < 0:
                         at += 1
@@ -161,15 +180,16 @@ class Encoder:
         if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
             self.held = 0
-        new = sorted((w.encode(), w) for w in words if w not in self.known)
-        for (spelled, word), ids in zip(new, self.traverse([b for b, _ in new])):
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        new = sorted(words.difference(self.known))  # the order of characters is that of their bytes in UTF-8
+        for word, ids in zip(new, self.traverse(map(str.encode, new))):
             self.known[word] = pack(f"<{len(ids)}I", *ids)
-            self.held += len(spelled) + len(self.known[word])
+            self.held += len(word) + 4 * len(ids)
 
     def agrees(self, text: str) -> bool:
-        """Whether pattern and library class all characters of a text alike; characters of newer Unicode versions may differ."""
-        if text.isascii():
-            return True
+        """Whether pattern and library class all characters of a text alike: those of numbers that are no digits, some
+        controls, and of other Unicode versions differ."""
         found = set(text)
         for c in found:
             if c not in self.same:
@@ -213,6 +233,17 @@ class Encoder:
         return list(map(bytes, out))
 
 
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Without Python's cycle collector, which would go through the tables of a vocabulary again and again: encoding makes no cycles."""
+    gc.collect()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -229,12 +260,13 @@ def encode(text: Column, path: str | None = None) -> Column:
 
     @arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(file)
-        for batch in batches:
-            out = []
-            for part in text_slices(batch):
-                out += encoder.encode([x or "" for x in part.to_pylist()])
-            yield pa.array(out, pa.binary())
+        with no_collector():
+            encoder = Encoder(file)
+            for batch in batches:
+                out = []
+                for part in text_slices(batch, 2_000_000):
+                    out += encoder.encode([x or "" for x in part.to_pylist()])
+                yield pa.array(out, pa.binary())
 
     return of(text.cast("string"))
 
@@ -248,11 +280,12 @@ def decode(ids: Column, path: str | None = None) -> Column:
 
     @arrow_udf("string")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        spelled = Vocabulary(file).bytes_of
+        known = spellings(read_file(file))
+        spelled = [known.get(i, b"") for i in range(max(known) + 2)]  # the last one stands for all ids beyond
 
         def text(x: bytes) -> str:
-            runs = (np.frombuffer(x[i:i + 4 * WORDS], "<u4").tolist() for i in range(0, len(x), 4 * WORDS))
-            return b"".join([b"".join([spelled.get(i, b"") for i in run]) for run in runs]).decode("utf-8", "replace")
+            runs = (np.minimum(np.frombuffer(x[i:i + 4 * WORDS], "<u4"), len(spelled) - 1).tolist() for i in range(0, len(x), 4 * WORDS))
+            return b"".join([b"".join(map(spelled.__getitem__, run)) for run in runs]).decode("utf-8", "replace")
 
         for batch in batches:
             yield pa.array([text(x.as_py() or b"") for x in batch], pa.string())
