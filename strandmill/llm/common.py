@@ -47,6 +47,11 @@ def materialize(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> D
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files and broadcasts of steps that are done: its cleaner acts on what the driver's collector finds."""
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -151,6 +156,7 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60)
     mark = state()
     for _ in range(max_rounds):
         current = materialize(star(star(current, True, 2 * mark[0]), False, mark[0]), tag, current)
+        tidy(edges.sparkSession)
         now = state()
         if now == mark:
             break

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from strandmill.llm.common import arrow_rows, components, join_hot, materialize, running_sum, slices
+from strandmill.llm.common import arrow_rows, components, join_hot, materialize, running_sum, slices, tidy
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -215,8 +215,9 @@ def product_links(percent: int):
     return run
 
 
-def identities(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
-    """The number of a row, and whether it is its key: rows without a key have a number by their text, which is no row's key.
+def identities(docs: DataFrame, key: str, text: str) -> tuple[Column, Column, bool]:
+    """The number of a row, whether it is its key, and whether that holds for all rows: rows without a key have a number by
+    their text, which is no row's key.
 
     Where keys are missing, the numbers are held against all keys, and salted anew until none is a key.
     """
@@ -227,8 +228,8 @@ def identities(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
         while docs.where(own.isNull()).select(F.xxhash64(content, F.lit(salt)).alias("id")).join(keys, "id", "left_semi").limit(1).count():
             salt += 1
     else:
-        return own, F.lit(True)
-    return F.coalesce(own, F.xxhash64(content, F.lit(salt))), own.isNotNull()
+        return own, F.lit(True), True
+    return F.coalesce(own, F.xxhash64(content, F.lit(salt))), own.isNotNull(), False
 
 
 def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
@@ -243,12 +244,12 @@ def near_labels(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     their blocks, candidates once more for their sets. All steps with Python are written here, in batches of ``batch_rows``.
     """
     with arrow_rows(docs.sparkSession, batch_rows):
-        return joined(docs, key, text, size, percent, block_weight, broadcast_rows)
+        return joined(docs, identities(docs, key, text), text, size, percent, block_weight, broadcast_rows)
 
 
-def joined(docs: DataFrame, key: str, text: str, size: int, percent: int, block_weight: int, broadcast_rows: int) -> DataFrame:
-    """The steps of ``near_labels``."""
-    number, keyed = identities(docs, key, text)
+def joined(docs: DataFrame, who: tuple[Column, Column, bool], text: str, size: int, percent: int, block_weight: int, broadcast_rows: int) -> DataFrame:
+    """The steps of ``near_labels`` for rows with the numbers of :func:`identities`."""
+    number, keyed, whole_keys = who
     base = docs.select(number.alias("id"), keyed.alias("keyed"), F.col(text).cast("string").alias("text"))
     of_set = ["n", "h1", "h2"]
     seen = materialize(base.withColumn("p", profiles(F.col("text"), size, percent)).select("id", "keyed", "p.*"), "ngram-profiles")
@@ -270,6 +271,7 @@ def joined(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
     drawn = shown.where(~F.col("block").isin(hot)).select("node", F.min("node").over(of_block).alias("hub"), F.count("*").over(of_block).alias("c")).where("c > 1")
     drawn = drawn.union(everywhere.join(F.broadcast(hubs), "block").select("node", "hub", "c"))
     met = materialize(drawn.groupBy("node", "hub").agg(F.sum("c").alias("met")), "ngram-met")
+    tidy(docs.sparkSession)
     seen = materialize(seen.select("id", "keyed", *of_set), "ngram-keys", seen)  # the blocks are not needed any more
     groups = components(met.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")), "ngram-candidates")
 
@@ -314,7 +316,7 @@ def joined(docs: DataFrame, key: str, text: str, size: int, percent: int, block_
     # 5. every row's component by its class; most classes are one row without links
     known = classes.join(found, "node", "left").where("label is not null or c > 1").select(*of_set, F.coalesce("label", "node").alias("label"))
     labelled = seen.join(known, of_set, "left").select("id", "keyed", "n", F.coalesce("label", "id").alias("label"))
-    if not docs.where(F.col(key).cast("long").isNull()).limit(1).count():
+    if whole_keys:
         return labelled.withColumn("named", F.lit(True))
     # 6. components with rows that have no key are named by their smallest key
     labelled = materialize(labelled, "ngram-labelled")
@@ -337,18 +339,22 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         F.when(F.col("keyed"), F.col("id")).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("named"), F.col("label")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90, broadcast_rows: int = 1_000_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
+                     block_weight: int = 600_000, broadcast_rows: int = 1_000_000, batch_rows: int = 1000) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest key, or of the smallest text hash if none has one.
 
     Only the identities to drop, and those that several rows bear, are joined with the rows; both are broadcast while
     they are few. Columns of any name pass.
     """
-    labels = materialize(near_labels(docs, key, text, size, percent).select("id", "label"), "ngram-labels")
+    who = identities(docs, key, text)
+    with arrow_rows(docs.sparkSession, batch_rows):
+        labels = materialize(joined(docs, who, text, size, percent, block_weight, broadcast_rows).select("id", "label"), "ngram-labels")
     counted = labels.groupBy("id").agg(F.min("label").alias("label"), F.count("*").alias("rows"))
     marked = materialize(counted.where("id <> label or rows > 1").select("id", (F.col("id") != F.col("label")).alias("drop")), "ngram-marked")
     if marked.count() <= broadcast_rows:
         marked = F.broadcast(marked)
-    rows = docs.select(identities(docs, key, text)[0].alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).join(marked, "id", "left")
+    tidy(docs.sparkSession)
+    rows = docs.select(who[0].alias("id"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).join(marked, "id", "left")
     alone = rows.where("drop is null").select("row.*")
     return alone.union(rows.where("not drop").dropDuplicates(["id"]).select("row.*"))
 
