@@ -30,7 +30,7 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s
 #: Words that are held, and meet in one trie, at a time.
 WORDS = 1 << 18
 #: Distinct words, bytes of them, and pairs of tokens that a task remembers; then it starts anew.
-REMEMBERED, REMEMBERED_BYTES, PAIRS = 150_000, 8_000_000, 1 << 18
+REMEMBERED, REMEMBERED_BYTES, PAIRS = 350_000, 16_000_000, 1 << 18
 
 
 def byte_letters() -> list[str]:
