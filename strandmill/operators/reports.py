@@ -127,7 +127,7 @@ def failures(ranked: DataFrame, rank: str) -> DataFrame:
     return ranked.where(F.col(rank) > 1)
 
 
-def drop_reasons(settings: DataFrame, column: str = "settings") -> DataFrame:
+def summed_drop_reasons(settings: DataFrame, column: str = "settings") -> DataFrame:
     """``(reason, n)``: the drop reasons of all manifests added up; manifests without a report count for nothing."""
     found = settings.select(F.explode(F.from_json(column, "report struct<drop_reasons:map<string,bigint>>")["report"]["drop_reasons"]).alias("reason", "n"))
     return found.groupBy("reason").agg(F.sum("n").alias("n"))

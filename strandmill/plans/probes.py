@@ -256,4 +256,4 @@ def drop_reason_rollup(spark, sf_dir):
     counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).collect()  # fifteen rows
     for status in sorted({r["o_orderstatus"] for r in counts}):
         sinks.write_yaml(spark, {"report": {"rows": 1, "drop_reasons": {r["o_orderpriority"]: r["n"] for r in counts if r["o_orderstatus"] == status}}}, f"{root}/{status}.yaml")
-    return reports.drop_reasons(readers.read_settings(spark, f"{root}/*.yaml"))
+    return reports.summed_drop_reasons(readers.read_settings(spark, f"{root}/*.yaml"))

@@ -34,7 +34,7 @@ def test_settings_are_read_merged_and_rolled_up(spark):
     sinks.write_yaml(spark, {"a": {"b": [3]}, "d": None, "report": {"drop_reasons": {"r": 5}}}, f"{root}/2.yaml")
     sinks.write_file(spark, "", f"{root}/3.yaml")
     assert readers.load_settings(spark, f"{root}/1.yaml", f"{root}/2.yaml", f"{root}/3.yaml") == {"a": {"b": [3], "c": "x: y"}, "report": {"drop_reasons": {"r": 5, "s": 1}}, "d": None}
-    assert {r["reason"]: r["n"] for r in reports.drop_reasons(readers.read_settings(spark, f"{root}/*.yaml")).collect()} == {"r": 7, "s": 1}
+    assert {r["reason"]: r["n"] for r in reports.summed_drop_reasons(readers.read_settings(spark, f"{root}/*.yaml")).collect()} == {"r": 7, "s": 1}
     sinks.write_file(spark, "a: [", f"{root}/bad.yaml")
     with pytest.raises(Exception, match="bad.yaml is no YAML"):
         readers.read_settings(spark, f"{root}/bad.yaml").collect()
