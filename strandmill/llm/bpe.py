@@ -12,7 +12,7 @@ import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import closing, contextmanager
 from functools import cache
 from itertools import islice
 from struct import pack
@@ -187,6 +187,11 @@ class Encoder:
             self.known[word] = pack(f"<{len(ids)}I", *ids)
             self.held += len(word) + 4 * len(ids)
 
+    def close(self) -> None:
+        """Drops all tables: a worker that goes on with another task holds none of this one's."""
+        self.vocabulary.__dict__.clear()
+        self.__dict__.clear()
+
     def agrees(self, text: str) -> bool:
         """Whether pattern and library class all characters of a text alike: those of numbers that are no digits, some
         controls, and of other Unicode versions differ."""
@@ -260,13 +265,10 @@ def encode(text: Column, path: str | None = None) -> Column:
 
     @arrow_udf("binary")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        with no_collector():
-            encoder = Encoder(file)
+        with no_collector(), closing(Encoder(file)) as encoder:
             for batch in batches:
-                out = []
-                for part in text_slices(batch, 2_000_000):
-                    out += encoder.encode([x or "" for x in part.to_pylist()])
-                yield pa.array(out, pa.binary())
+                for part in text_slices(batch, 2_000_000):  # handed on at once: ids are larger than texts
+                    yield pa.array(encoder.encode([x or "" for x in part.to_pylist()]), pa.binary())
 
     return of(text.cast("string"))
 
@@ -288,7 +290,8 @@ def decode(ids: Column, path: str | None = None) -> Column:
             return b"".join([b"".join(map(spelled.__getitem__, run)) for run in runs]).decode("utf-8", "replace")
 
         for batch in batches:
-            yield pa.array([text(x.as_py() or b"") for x in batch], pa.string())
+            for part in text_slices(batch, 2_000_000):
+                yield pa.array([text(x.as_py() or b"") for x in part], pa.string())
 
     return of(ids)
 
