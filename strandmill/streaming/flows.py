@@ -11,10 +11,15 @@ from strandmill.functions.hashing import SplitConfig, split_of
 from strandmill.operators.dedup import digest
 
 
-def stream_table(spark: SparkSession, path: str, pattern: str, files_per_trigger: int = 16) -> DataFrame:
-    """Parquet files as they arrive; the schema is that of the files there are."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).parquet(path)
+def stream_table(spark: SparkSession, path: str, pattern: str | None = None, files_per_trigger: int = 16) -> DataFrame:
+    """Parquet files as they arrive; the schema is that of the files there are.
+
+    With a pattern, files of that name in a folder; else a table, which is a file or a folder of files. That path is
+    given as a glob, since a stream takes a plain one for a folder.
+    """
+    named = lambda reader: reader.option("pathGlobFilter", pattern) if pattern else reader
+    stream = spark.readStream.schema(named(spark.read).parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    return named(stream).parquet(path if pattern else f"{path[:-1]}[{path[-1]}]")
 
 
 def curate_rows(rows: DataFrame, key: str, text: str, config: SplitConfig = SplitConfig()) -> DataFrame:

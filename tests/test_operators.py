@@ -207,3 +207,13 @@ def test_similarity_in_several_blocks_loses_no_query(spark):
 def test_nine_decimals_as_the_sql_rounds(spark):
     assert retrieval.nine(np.array([0.1234567885, -0.1234567885, 1e-10, 0.5])).tolist() == [0.123456789, -0.123456789, 0.0, 0.5]
     assert [one(spark, F.round(F.lit(x) * 1e6) / 1e6) for x in (0.5053945, 0.5053946)] == [0.505394, 0.505395]
+
+
+def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path):
+    from strandmill.plans import catalog
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    query = catalog.queries()["stream_splits"]
+    many, single = (sorted(map(tuple, query(spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
+    assert many == single and len(many) == rows.count()
