@@ -57,18 +57,18 @@ VARIANTS = {
 }
 
 
-def clean(flagged: DataFrame, identity: str, within: list[str], keep: int | None = 3, salt: str = "clean", drops=scoring.BASE_DROPS) -> tuple[DataFrame, DataFrame]:
+def clean(flagged: DataFrame, identity: str, within: list[str], keep: int | None = 3, salt: str = "clean", drops=scoring.BASE_DROPS, order: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Of rows with flags those that stay, and a ledger ``(identity, drop_reason)`` of the others.
 
     Reasons in order: ``boilerplate:`` and the first dropped category, ``empty_after_cleanup``, and ``template_cap`` beyond the first
-    ``keep`` rows of a template in its group. No text is moved: :func:`attach` fetches those of the rows that stay.
+    ``keep`` rows of a template in its group, by ``order``, else by a salted digest. No text is moved: :func:`attach` fetches those of the rows that stay.
     """
     reasoned = flagged.withColumn("drop_reason", F.coalesce(F.concat(F.lit("boilerplate:"), first_category("categories", drops)), F.when(F.col("_bare"), "empty_after_cleanup")))
     lost, passed = reasoned.where("drop_reason is not null").select(identity, "drop_reason"), reasoned.where("drop_reason is null").drop("drop_reason")
     if keep is None:
         return passed, lost
     keyed = passed.withColumn("_key", F.coalesce("_template", F.concat(F.lit("own:"), F.col(identity).cast("string"))))
-    kept = first_n(keyed, [*within, "_key"], [rank_key(salt, identity), F.col(identity)], keep).drop("_key", "keep_rank")
+    kept = first_n(keyed, [*within, "_key"], order or [rank_key(salt, identity), F.col(identity)], keep).drop("_key", "keep_rank")
     capped = passed.select(identity).join(kept.select(identity), identity, "left_anti").withColumn("drop_reason", F.lit("template_cap"))
     return kept, lost.union(capped)
 
@@ -98,9 +98,9 @@ def variant_counts(variants: dict[str, tuple[DataFrame, DataFrame]], by: str | N
     return parts.groupBy("variant", "outcome").agg(F.count("*").alias("n"))
 
 
-def before_and_after(rows: DataFrame, text: str, identity: str, split: str, source: str, percentiles: tuple[float, ...] = (0.5, 0.9), **caps) -> DataFrame:
+def before_and_after(rows: DataFrame, text: str, identity: str, split: str, source: str, percentiles: tuple[float, ...] = (0.5, 0.9), order: list[Column] | None = None, **caps) -> DataFrame:
     """``(variant, scope, value, n, repeated, flagged, mean, max, percentiles)`` of the lengths of plain texts: before cleaning
-    and after each of ``VARIANTS``, of all rows, by split and by source.
+    and after each of ``VARIANTS``, of all rows, by split and by source. Caps keep the first rows by ``order``, as in :func:`clean`.
 
     Texts are flagged once. Rows are counted by their small features before anything is counted by variant and scope, and
     percentiles come from counts of distinct lengths, so no set of rows is gathered.
@@ -110,7 +110,7 @@ def before_and_after(rows: DataFrame, text: str, identity: str, split: str, sour
     kept = [flagged.select(F.lit("before").alias("variant"), identity)]
     for name, (drops, cap) in VARIANTS.items():
         within, most = {None: ([split], None), "source": ([split, source], caps.get("source_cap", 3)), "template": ([split], caps.get("template_cap", 3))}[cap]
-        kept.append(clean(flagged, identity, within, most, f"{caps.get('salt', 'clean')}:{name}", drops)[0].select(F.lit(name).alias("variant"), identity))
+        kept.append(clean(flagged, identity, within, most, f"{caps.get('salt', 'clean')}:{name}", drops, order)[0].select(F.lit(name).alias("variant"), identity))
     every = kept[0]
     for one in kept[1:]:
         every = every.union(one)

@@ -97,7 +97,7 @@ SELECT variant, scope, value, count(*) AS n, count(*) FILTER (repeated) AS repea
 @query(scopes_sql())
 def cleaning_audit(spark, sf_dir):
     """Rows, repeats, flags and lengths before and after each way of cleaning: of all, by split and by source, from one table of flags."""
-    return audits.before_and_after(cases(spark, sf_dir), "text", "id", "split", "source").drop("size")
+    return audits.before_and_after(cases(spark, sf_dir), "text", "id", "split", "source", order=[F.col("id")]).drop("size")
 
 
 FIELDS = "d AS (SELECT doc_id, {split} AS split, coalesce(nullif(source, ''), 'unknown') AS source, coalesce(lang, 'unknown') AS lang FROM documents)".format(split=SPLIT)

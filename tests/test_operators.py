@@ -217,3 +217,12 @@ def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path):
     query = catalog.queries()["stream_splits"]
     many, single = (sorted(map(tuple, query(spark, d).collect())) for d in (str(tmp_path), "/root/testdata/sf0.001"))
     assert many == single and len(many) == rows.count()
+
+
+def test_caps_keep_the_first_rows_by_the_order_given(spark):
+    """Copies differ in source and length, so which three stay shows."""
+    from strandmill.operators import audits
+
+    rows = spark.createDataFrame([(i, "train", f"s{i}", "a word of the " + " " * i + "wise and other words " + "!" * i) for i in range(8)], "id long, split string, source string, text string")
+    found = audits.before_and_after(rows, "text", "id", "split", "source", order=[F.col("id")])
+    assert sorted(r["value"] for r in found.where("variant = 'template_capped' and scope = 'source'").collect()) == ["s0", "s1", "s2"]
