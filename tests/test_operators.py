@@ -236,3 +236,11 @@ def test_skyline_of_equal_means_in_any_order(spark, tmp_path):
     spark.createDataFrame(lines, "l_suppkey long, l_discount double, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(1, 5.0), (2, 5.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
     assert sorted(r["s_suppkey"] for r in catalog.queries()["pareto_skyline"](spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_permutation_is_the_one_of_a_walk_in_one_piece(spark):
+    """Walks of four steps and then of the rest take the places that walks of 96 steps took."""
+    from strandmill.operators import controls
+
+    places = [r["to"] for r in spark.range(33).select("id", controls.feistel(F.col("id"), 33, F.lit(18)).alias("to")).orderBy("id").collect()]
+    assert sorted(places) == list(range(33)) and places == [3, 25, 16, 1, 7, 30, 31, 11, 2, 24, 20, 32, 0, 12, 15, 27, 8, 21, 28, 17, 5, 23, 29, 14, 26, 4, 22, 10, 9, 19, 6, 13, 18]
