@@ -228,19 +228,22 @@ def test_caps_keep_the_first_rows_by_the_order_given(spark):
     assert sorted(r["value"] for r in found.where("variant = 'template_capped' and scope = 'source'").collect()) == ["s0", "s1", "s2"]
 
 
-def test_skyline_of_equal_means_in_any_order(spark, tmp_path):
-    """Two suppliers with the same discounts, in orders whose sums of doubles round apart: neither dominates the other."""
-    from strandmill.plans import catalog
-
-    lines = [(s, d / 100, 1.0) for s, discounts in ((1, [1, 4, 4, 0, 5, 4, 8, 9, 1, 0, 0, 2, 0, 4, 5, 6, 4, 1, 2, 1, 1, 3, 8, 2, 4, 9, 1, 2, 0, 6, 4, 6]), (2, [2, 1, 0, 1, 6, 5, 1, 5, 4, 4, 4, 0, 0, 2, 6, 4, 4, 1, 0, 4, 6, 9, 3, 2, 9, 1, 1, 2, 4, 8, 0, 8])) for d in discounts]
-    spark.createDataFrame(lines, "l_suppkey long, l_discount double, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
-    spark.createDataFrame([(1, 5.0), (2, 5.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
-    assert sorted(r["s_suppkey"] for r in catalog.queries()["pareto_skyline"](spark, str(tmp_path)).collect()) == [1, 2]
-
-
 def test_permutation_is_the_one_of_a_walk_in_one_piece(spark):
     """Walks of four steps and then of the rest take the places that walks of 96 steps took."""
     from strandmill.operators import controls
 
     places = [r["to"] for r in spark.range(33).select("id", controls.feistel(F.col("id"), 33, F.lit(18)).alias("to")).orderBy("id").collect()]
     assert sorted(places) == list(range(33)) and places == [3, 25, 16, 1, 7, 30, 31, 11, 2, 24, 20, 32, 0, 12, 15, 27, 8, 21, 28, 17, 5, 23, 29, 14, 26, 4, 22, 10, 9, 19, 6, 13, 18]
+
+
+def test_running_cap_over_hours_and_groups(spark, tmp_path):
+    """Rows of several hours are due at once; a null group stays null, and the last hours stay open."""
+    from strandmill.streaming import stateful
+
+    rows = [(g, 10 * h + i, f"2024-01-01 {h:02d}:{10 * i:02d}:00", 9.0 if i else 1.0) for g in ("a", None) for h in range(4) for i in range(3)] + [("z", 99, "2024-01-01 06:30:00", 9.0)]
+    spark.createDataFrame(rows, "group string, id long, at string, value double").selectExpr("group", "id", "cast(at as timestamp) ts", "value").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = flows.stream_table(spark, str(tmp_path / "in"))
+    flows.append_files(stateful.running_cap(stream, 5.0, 2, 2, parts=2), str(tmp_path / "out"), str(tmp_path / "state"))
+    outcomes = {0: "below_least", 1: "kept", 2: "off_stride", 10: "below_least", 11: "kept", 12: "off_stride", 20: "below_least", 21: "over_cap", 22: "off_stride", 30: "below_least", 31: "over_cap", 32: "off_stride"}
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(found) == 24 and {(r["group"], r["id"], r["outcome"]) for r in found} == {(g, i, o) for g in ("a", None) for i, o in outcomes.items()}
