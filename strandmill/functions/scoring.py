@@ -121,7 +121,7 @@ def informativeness(rows: DataFrame, column: str, original: str | None = None, c
         "alpha_token_ratio": share(F.size(F.filter(words, lambda x: x.rlike("[a-z]"))).cast("double"), n),
         "_numeric": share(F.size(F.filter(words, lambda x: x.rlike("^[0-9]+$"))).cast("double"), n),
         "markup_ratio": share(t.markup_characters(F.col("_original")).cast("double"), F.length("_original")),
-        "symbol_ratio": share(F.length(F.regexp_replace("_text", r"[\p{L}\p{N}" + t.SPACE[1:-1] + "]", "")).cast("double"), F.length("_text")),
+        "symbol_ratio": share(F.length(F.regexp_replace("_text", r"[\p{L}\p{N}" + t.SPACE[1:-1] + "]+", "")).cast("double"), F.length("_text")),
         "domain_hits": among(DOMAIN_WORDS), "explanatory_hits": among(EXPLANATORY_WORDS),
         "anchor_hits": among(ANCHOR_WORDS) + F.regexp_count("_text", F.lit(SQUARE)),
     }).drop("_tokens")

@@ -41,7 +41,8 @@ def distribution(rows: DataFrame, by, value: str, percentiles=(0.5, 0.9), weight
     A row with a ``weight`` counts as so many.
     """
     by = names(by)
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
+    counted = rows.groupBy(*by, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"), F.count(value).alias("_known"))
+    counted = counted.where("_known > 0").drop("_known")  # nulls go by a count: a filter of the value would repeat below the projection all that makes it
     placed = running(counted, by, [F.col("_v")], F.col("_c"), "_before")
     sizes = placed.select(*by, "_v", "_c").groupBy(*by).agg(F.sum("_c").alias("n"), F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"), F.max("_v").alias("max"))
     groups = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "n", "mean", "max", *[F.bround((F.col("n") - 1) * F.lit(float(p))).cast("long").alias(f"_at{j}") for j, p in enumerate(percentiles)])

@@ -3,6 +3,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
@@ -56,3 +57,16 @@ def same(spark, duck):
         assert comparable(query(spark, SMALL).toPandas()) == comparable(duck.execute(sql).df())
 
     return check
+
+
+@pytest.fixture
+def counted(spark):
+    """A column function that returns its texts, and how many rows it has read."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def of(x):
+        read.add(1)
+        return x
+
+    return of, lambda: read.value

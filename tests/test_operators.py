@@ -247,3 +247,18 @@ def test_running_cap_over_hours_and_groups(spark, tmp_path):
     outcomes = {0: "below_least", 1: "kept", 2: "off_stride", 10: "below_least", 11: "kept", 12: "off_stride", 20: "below_least", 21: "over_cap", 22: "off_stride", 30: "below_least", 31: "over_cap", 32: "off_stride"}
     found = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(found) == 24 and {(r["group"], r["id"], r["outcome"]) for r in found} == {(g, i, o) for g in ("a", None) for i, o in outcomes.items()}
+
+
+def test_distribution_works_out_its_values_once(spark, counted):
+    """As a filter of the value is pushed below the projection, nulls were left out at the price of a second pass over texts."""
+    of, read = counted
+    rows = spark.createDataFrame([("a", "1"), ("a", "3"), ("a", None), ("b", None), (None, "2")], "g string, text string")
+    found = stats.distribution(rows.select("g", of("text").cast("double").alias("v")), "g", "v", (0.5,)).collect()
+    assert {r["g"]: tuple(r)[1:] for r in found} == {"a": (2, 2.0, 3.0, 1.0), None: (1, 2.0, 2.0, 2.0)} and read() == 5
+    weighted = spark.createDataFrame([("a", 1.0, 2), ("a", 2.0, 1), ("a", None, 9)], "g string, v double, w long")
+    assert [tuple(r) for r in stats.distribution(weighted, "g", "v", (0.5,), "w").collect()] == [("a", 3, 1.333333, 2.0, 1.0)]
+
+
+def test_symbols_are_counted_by_characters(spark):
+    rows = spark.createDataFrame([("\U0001F600 ab, \U0001D400\u00e9 1!\u00a0?",), ("abc",), ("",), (None,)], "text string")
+    assert [r["symbol_ratio"] for r in scoring.informativeness(rows, "text").select("symbol_ratio").collect()] == [4 / 13, 0.0, 0.0, 0.0]
