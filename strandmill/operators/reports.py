@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import scoring, text as t
@@ -32,9 +32,8 @@ def duplicates_by_bucket(scored: DataFrame, text: str, bucket: str) -> DataFrame
     """How repeated the texts of each bucket are: rows, the mean size of their clusters, and the share in clusters of
     several. An empty text is a cluster of its own. Rows are counted by (text, bucket) before clusters are summed."""
     keyed = scored.select(digest(t.template(text)).alias("_key"), bucket).groupBy("_key", bucket).agg(F.count("*").alias("_c"))
-    sizes = keyed.groupBy("_key").agg(F.sum("_c").alias("_size"))
-    size = F.coalesce("_size", F.lit(1))
-    joined = keyed.join(sizes.where("_key is not null"), "_key", "left")
+    joined = keyed.withColumn("_size", F.sum("_c").over(Window.partitionBy("_key")))  # a key has a row for each bucket: texts are scored once
+    size = F.when(F.col("_key").isNull(), 1).otherwise(F.col("_size"))
     return joined.groupBy(bucket).agg(
         F.sum("_c").alias("n"), F.round(F.sum(size * F.col("_c")) / F.sum("_c"), 6).alias("mean_cluster"),
         F.round(F.sum(F.when(size > 1, F.col("_c")).otherwise(0)) / F.sum("_c"), 6).alias("repeated_share"))

@@ -115,3 +115,10 @@ def test_verified_counts_what_is_missing(spark):
     want = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "k string, n int")
     r = reports.verified(want, spark.createDataFrame([("a", 2), ("c", None)], "k string, n int"), ["k"], "n").first()
     assert (r["artifacts"], r["missing"], r["mismatched"], r["gate"]) == (3, 1, 1, "NOT_VERIFIED")
+
+
+def test_duplicates_by_bucket_score_each_text_once(spark, counted):
+    of, read = counted
+    rows = spark.createDataFrame([("Same one!", "low"), ("same  one", "high"), ("same one", "high"), ("own", "low"), ("", "low"), ("?", "low"), (None, "high")], "text string, kind string")
+    found = reports.duplicates_by_bucket(rows.select("text", of("kind").alias("bucket")), "text", "bucket").collect()
+    assert {tuple(r) for r in found} == {("low", 4, 1.5, 0.25), ("high", 3, 2.333333, 0.666667)} and read() == 7
