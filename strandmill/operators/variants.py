@@ -106,7 +106,7 @@ def normalized(kinds: DataFrame, source: str = "source", row: str = "row") -> Da
     name = F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{k}", "string"), F.lit("")) for k in ROW_KEYS], own)
     game = F.nullif(F.try_variant_get(v, "$.metadata.game_id", "string"), F.lit(""))
     told = F.concat(F.lit("pgn_"), F.substring(F.sha2(F.substring(F.coalesce(F.try_variant_get(v, "$.text", "string"), F.lit("")), 1, 2048), 256), 1, 16))
-    named = kinds.where("kind <> 'unusable'").withColumn("source_row_id", name)
+    named = kinds.select(F.inline(F.array(F.struct("*")))).where("kind <> 'unusable'").withColumn("source_row_id", name)  # filters stay above: below, they would parse each row again for every use
     return named.select(
         F.concat(F.lit("aux_"), F.substring(F.sha2(F.concat_ws(":", source, "source_row_id"), 256), 1, 16)).alias("aux_id"), F.coalesce(F.nullif(F.try_variant_get(v, "$.source", "string"), F.lit("")), F.col(source)).alias("source"),
         F.coalesce(F.nullif(F.try_variant_get(v, "$.schema", "string"), F.lit("")), F.lit("unknown")).alias("source_schema"), "source_row_id", "kind", "text", "messages",

@@ -86,3 +86,11 @@ def test_keys_and_shapes(spark):
     (row,) = variants.normalized(kinds.withColumn("source", F.lit("s"))).collect()
     assert row["source_row_id"].startswith("row_") and len(row["source_row_id"]) == 20 and row["split_group_id"] is None
     assert variants.inventory(kinds.limit(0).withColumns({"source": F.lit("s"), "file": F.lit("f")}), ["a"]).collect()[0]["rows"] == 0
+
+
+def test_usable_rows_are_classified_once(spark, counted):
+    """A filter of the kind was pushed below what makes it, which read each row again for every use."""
+    of, read = counted
+    lines = spark.createDataFrame([("own", '{"text": "one", "id": "x"}'), ("own", '{"id": "y"}'), ("own", "no object"), ("own", '{"text": "nameless"}')], "source string, value string")
+    rows = variants.normalized(variants.classified(variants.parsed(lines.select("source", of("value").alias("value")), "value")))
+    assert [r["source_row_id"] for r in rows.where(~F.col("source_row_id").startswith("row_")).collect()] == ["x"] and read() == 4
