@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import free_names, materialize
+from strandmill.llm.common import free_names, keep_arrow_rows, materialize
 from strandmill.llm.language import UNKNOWN, fit_profiles, identify
 from strandmill.llm.mixing import mixed_copies
 from strandmill.llm.ngram_join import drop_near_copies
@@ -19,6 +19,9 @@ from strandmill.llm.secrets import redact
 #: A text whose best cosine is below this is like no learned language: two and a half deviations of the cosines that
 #: texts of unknown letters have by chance in 1,024 dimensions. It holds for texts of any length.
 MIN_SCORE = 2.5 / 1024**0.5
+#: Rows of an Arrow batch. Stages run in the same executors, where batches of whole texts lie outside the heap that the
+#: near copies have filled. What a stage returns is planned when it is written, so the session keeps this bound.
+BATCH_ROWS = 1000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every text is judged whole and on its own: very long ones as any other, equal ones alike. Columns of any name pass.
     """
+    keep_arrow_rows(spark, BATCH_ROWS)
     names, profiles = fit_profiles(docs)
     (into,) = free_names(docs.columns, "_language")
     found = identify(docs, names, profiles, into=into)
@@ -42,6 +46,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts, and the character counts follow; null texts stay as they are."""
+    keep_arrow_rows(spark, BATCH_ROWS)
     clean = redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else clean
 
@@ -53,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1,024 tokens; a null text is one piece of the end token."""
+    keep_arrow_rows(spark, BATCH_ROWS)
     return pack(docs)
 
 

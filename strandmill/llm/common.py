@@ -109,6 +109,13 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def keep_arrow_rows(spark: SparkSession, rows: int) -> None:
+    """As ``arrow_rows``, from now on: for what is returned unplanned and written by the caller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches, rows: int = 256):
     """Runs of at most ``rows`` rows of Arrow batches, without copies: what a function holds beside a batch stays small."""
     for batch in batches:

@@ -1,7 +1,10 @@
 """Jobs done in full: pairs between the bounds of the contract and the stage, values and groups of any length."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandmill.llm import language, ngram_join, secrets
 
 
@@ -115,3 +118,22 @@ def test_join_without_broadcasts_and_the_session_keeps_its_batches(spark):
     before = spark.conf.get(key)
     found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(frame, broadcast_rows=0).collect()}
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6} and spark.conf.get(key) == before
+
+
+def test_pipeline_stages_bound_their_arrow_batches(spark):
+    """What a stage returns is planned after it has returned: the bound holds then too, and a smaller one of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.lit("a few plain words").alias("text")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    before = spark.conf.get(key)
+    try:
+        for held, most in (("10000", 1000), ("0", 1000), ("300", 300)):
+            spark.conf.set(key, held)
+            clean = corpus_pipeline.secret_scan(spark, docs, "")
+            assert max(r["n"] for r in clean.select("doc_id").mapInArrow(sizes, "n long").collect()) == most
+    finally:
+        spark.conf.set(key, before)
