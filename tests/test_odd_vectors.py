@@ -8,7 +8,7 @@ from conftest import comparable
 
 from strandmill.plans import catalog
 
-RANKED = ["rank_failures"]
+RANKED = ["rank_failures", "rank_histogram"]
 
 
 def table(folder, rows):
@@ -48,3 +48,8 @@ def held(spark, folder, name):
 def test_odd_vectors(spark, odd, name):
     for kind in ("null", "twice", "short", "nan", "all"):
         held(spark, odd[kind], name)
+
+
+@pytest.mark.parametrize("name", ["rank_histogram"])
+def test_no_vectors(spark, odd, name):
+    held(spark, odd["empty"], name)
