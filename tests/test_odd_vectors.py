@@ -8,7 +8,7 @@ from conftest import comparable
 
 from strandmill.plans import catalog
 
-RANKED = ["rank_failures", "rank_histogram"]
+RANKED = ["rank_failures", "rank_histogram", "rank_metrics"]
 
 
 def table(folder, rows):
