@@ -8,7 +8,7 @@ from conftest import comparable
 
 from strandmill.plans import catalog
 
-RANKED = ["rank_failures", "rank_histogram", "rank_metrics"]
+RANKED = ["rank_failures", "rank_histogram", "rank_metrics", "rank_quality"]
 
 
 def table(folder, rows):
