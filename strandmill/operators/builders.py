@@ -13,7 +13,7 @@ from strandmill.functions.hashing import rank_key, split_of
 from strandmill.operators import alignment, audits, movetext, sidecars
 from strandmill.operators.boards import position_key
 from strandmill.operators.ranking import first_n
-from strandmill.operators.stats import named
+from strandmill.operators.stats import named, rounded
 from strandmill.sources.shared import written
 
 # Source names and their types.
@@ -261,4 +261,4 @@ def rank_diagnostics(ranked: DataFrame) -> DataFrame:
     r, rivals = F.col("rank"), F.col("ties") - 1
     return ranked.agg(
         F.count_if(r == 1).alias("rank_1"), F.count_if(r.between(2, 5)).alias("rank_2_to_5"), F.count_if(r > 5).alias("rank_over_5"), F.count_if(rivals > 0).alias("tied_queries"),
-        F.round(F.coalesce(F.avg(rivals), F.lit(0.0)), 6).alias("mean_tied"), F.coalesce(F.max(rivals), F.lit(0)).alias("most_tied"), F.count_if(F.col("strict_rank") > r).alias("penalties"))
+        rounded(F.coalesce(F.avg(rivals), F.lit(0.0))).alias("mean_tied"), F.coalesce(F.max(rivals), F.lit(0)).alias("most_tied"), F.count_if(F.col("strict_rank") > r).alias("penalties"))

@@ -9,6 +9,7 @@ from strandmill.functions import scoring, text as t
 from strandmill.operators.dedup import digest
 from strandmill.operators.ranking import names
 from strandmill.operators.sidecars import drop_reasons
+from strandmill.operators.stats import rounded
 
 
 def keyword_support(rows: DataFrame, text: str, key: str, candidates=scoring.CANDIDATE_LABELS, least: int = 50) -> DataFrame:
@@ -113,8 +114,8 @@ def sanity_gate(metrics: DataFrame, regime: str, times: float = 100.0, spread: f
 def rank_quality(ranked: DataFrame, rank: str, likelihood: str, subsets: dict[str, Column]) -> DataFrame:
     """Top-1, top-3 and top-5 rates and the mean loss, over all rows and over each subset; all in one pass."""
     def of(name: str, held: Column) -> Column:
-        rate = lambda k: F.round(F.avg(F.when(held, (F.col(rank) <= k).cast("int"))), 6).alias(f"top_{k}")
-        return F.struct(F.lit(name).alias("subset"), F.count_if(held).alias("n"), rate(1), rate(3), rate(5), F.round(F.avg(F.when(held, F.col(likelihood))), 6).alias("loss")).alias(name)
+        rate = lambda k: rounded(F.avg(F.when(held, (F.col(rank) <= k).cast("int")))).alias(f"top_{k}")
+        return F.struct(F.lit(name).alias("subset"), F.count_if(held).alias("n"), rate(1), rate(3), rate(5), rounded(F.avg(F.when(held, F.col(likelihood)))).alias("loss")).alias(name)
 
     every = {"all": F.lit(True), **subsets}
     one = ranked.agg(*[of(name, F.coalesce(held, F.lit(False))) for name, held in every.items()])

@@ -13,6 +13,12 @@ def named(column: str, empty: str = "unknown") -> Column:
     return F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(empty))
 
 
+def rounded(x: Column, places: int = 6) -> Column:
+    """``x`` to so many decimals, scaled in doubles as SQL engines do; ``F.round`` takes the shortest decimal: of 41 / 640,
+    which is below 0.0640625, it makes 0.064063."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def count_by(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(named(column).alias(column)).agg(F.count("*").alias("n"))
 

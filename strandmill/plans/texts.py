@@ -94,7 +94,7 @@ def text_retrieval_metrics(spark, sf_dir):
     split = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "split")
     found = snippet_ranks(spark, sf_dir).join(split, "id")
     both = found.select(F.explode(F.array("split", F.lit("all"))).alias("split"), "rank", "strict_rank")
-    strict = both.groupBy("split").agg(F.round(F.avg(1.0 / F.col("strict_rank")), 6).alias("strict_mrr"))
+    strict = both.groupBy("split").agg(stats.rounded(F.avg(1.0 / F.col("strict_rank"))).alias("strict_mrr"))
     return retrieval.rank_metrics(both, by="split").join(strict, "split")
 
 

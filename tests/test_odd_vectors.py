@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import comparable
 
+from strandmill.operators import builders
 from strandmill.plans import catalog
 
 RANKED = ["rank_failures", "rank_histogram", "rank_metrics", "rank_quality", "rank_diagnostics", "family_breakdown", "sanity_gate", "cosine_pairs_topk"]
@@ -53,3 +54,16 @@ def test_odd_vectors(spark, odd, name):
 @pytest.mark.parametrize("name", ["rank_histogram", "sanity_gate"])
 def test_no_vectors(spark, odd, name):
     held(spark, odd["empty"], name)
+
+
+@pytest.mark.parametrize("name", ["rank_metrics", "rank_quality", "family_breakdown"])
+def test_shares_halfway(spark, tmp_path, name):
+    """41 of 640 queries find their key first: the share, 0.0640625, lies halfway between six decimals, and in doubles below."""
+    one, other = [1.0] + [0.0] * 31, [-1.0] + [0.0] * 31
+    folder = table(tmp_path, [(i, one + (one if i < 41 else other), 0) for i in range(640)])
+    held(spark, folder, name)
+
+
+def test_mean_tied_halfway(spark):
+    rows = spark.range(640).selectExpr("1 + id AS rank", "2 + id AS strict_rank", "IF(id < 41, 2, 1) AS ties")
+    assert builders.rank_diagnostics(rows).first()["mean_tied"] == 0.064062
