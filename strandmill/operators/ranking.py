@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,46 +189,55 @@ def undominated(x: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
     if others is not None:
         return np.array([not ((others >= r).all(1) & (others > r).any(1)).any() for r in x], bool)
     keep, best, n = np.zeros(len(x), bool), np.empty_like(x), 0
-    for i in np.argsort(-x.sum(1), kind="stable"):
+    for i in np.lexsort(-x.T[::-1]):  # whatever dominates a row comes before it
         if not ((best[:n] >= x[i]).all(1) & (best[:n] > x[i]).any(1)).any():
             keep[i], best[n], n = True, x[i], n + 1
     return keep
 
 
+def sortable(values: np.ndarray) -> np.ndarray:
+    """Doubles as integers of the same order, as SQL has it: zeros of both signs are equal, NaN is equal to itself and the largest."""
+    bits = np.where(np.isnan(values), np.nan, values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.iinfo(np.int64).max)
+
+
 def skyline(rows: DataFrame, key: str, low: list[str], high: list[str], block_rows: int = 8192) -> DataFrame:
     """Rows that no other row dominates: at most in ``low``, at least in ``high``, and better in one.
 
-    Each task thins its rows first, as what they dominate is dominated. The rest is written; blocks of it meet all
-    other blocks, so a table that is nearly all skyline costs bounded tasks. A row with a null is compared with none
-    and stays.
+    The rows are written first, as sums of doubles may come out otherwise when they are worked out again. Each task thins
+    its rows, as what they dominate is dominated. The rest is written; blocks of it meet all other blocks, so a table that
+    is nearly all skyline costs bounded tasks. A row with a null is compared with none and stays; a key may have many rows.
     """
     columns = low + high
-    signs = np.array([-1.0] * len(low) + [1.0] * len(high))
+    signs = np.array([-1] * len(low) + [1] * len(high))
+
+    def held_as(table, names: list[str]) -> np.ndarray:
+        return sortable(np.stack([table[c].to_numpy(zero_copy_only=False).astype(float) for c in names], 1)) * signs
 
-    def thin(batches):
+    def thin(batches):  # in Arrow, as pandas takes NaN for null
         held = None
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch])
-            held = held[undominated(held[columns].to_numpy(float) * signs)]
-        if held is not None:
-            yield held
-
-    few = rows.select(key, *columns)
-    known = few.dropna(subset=columns)
-    thinned = written(known.mapInPandas(thin, few.schema), "skyline")
+            held = pa.Table.from_batches([*(held.to_batches() if held else []), batch])
+            held = held.filter(pa.array(undominated(held_as(held, columns))))
+        if held:
+            yield from held.to_batches()
+
+    few = written(rows.select(key, *columns), "rows")
+    missing = F.exists(F.array(*[F.isnull(c) for c in columns]), lambda x: x)
+    known = few.where(~missing)
+    thinned = written(known.mapInArrow(thin, few.schema), "skyline")
     blocks = max(1, -(-thinned.count() // block_rows))
     numbered = thinned.withColumn("_b", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
-    here, there = numbered.select(*few.columns, "_b", every), numbered.select(*[F.col(c).alias(f"o_{i}") for i, c in enumerate(columns)], F.col("_b").alias("_o"), every.alias("_b"))
+    here, there = numbered.select(*columns, "_b", every), numbered.select(*[F.col(c).alias(f"o_{i}") for i, c in enumerate(columns)], F.col("_b").alias("_o"), every.alias("_b"))
 
-    def beaten(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(other):
-            return own[[key]].iloc[:0]
-        return own[[key]][~undominated(own[columns].to_numpy(float) * signs, undominated_rows(other))]
+    def beaten(own, other):
+        kept = undominated(held_as(own, columns), undominated_rows(other))
+        return own.select(columns).filter(pa.array(~kept))
 
-    def undominated_rows(other: pd.DataFrame) -> np.ndarray:
-        x = other[[f"o_{i}" for i in range(len(columns))]].to_numpy(float) * signs
+    def undominated_rows(other) -> np.ndarray:
+        x = held_as(other, [f"o_{i}" for i in range(len(columns))])
         return x[undominated(x)]
 
-    lost = here.groupBy("_b", "_o").cogroup(there.groupBy("_b", "_o")).applyInPandas(beaten, few.select(key).schema).distinct()
-    return thinned.join(lost, key, "left_anti").union(few.exceptAll(known))
+    lost = here.groupBy("_b", "_o").cogroup(there.groupBy("_b", "_o")).applyInArrow(beaten, few.select(*columns).schema).distinct()
+    return thinned.join(lost, columns, "left_anti").select(*few.columns).union(few.where(missing))
