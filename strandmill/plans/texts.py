@@ -82,6 +82,11 @@ def snippet_ranks(spark, sf_dir):
     return text_retrieval.text_ranks(rows, "doc_id", "snippet", "text", rows.where("split = 'train'"), "text")
 
 
+def by_id(rows):
+    """Rows in ranges of ids, in order: a mean of reciprocals that lies halfway must not hang on how ranks were dealt to tasks."""
+    return rows.repartitionByRange("id").sortWithinPartitions("id")
+
+
 @query(f"WITH {TEXT_RANKS} SELECT id, rank, strict_rank FROM r")
 def text_retrieval_ranks(spark, sf_dir):
     return snippet_ranks(spark, sf_dir).select("id", "rank", "strict_rank")
@@ -92,7 +97,7 @@ FROM (SELECT split, rank, strict_rank FROM r JOIN w ON id = doc_id) GROUP BY GRO
 def text_retrieval_metrics(spark, sf_dir):
     """Recall at 1 and 5 and mean reciprocal ranks, by split and over all, from one pass over the ranks."""
     split = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "split")
-    found = snippet_ranks(spark, sf_dir).join(split, "id")
+    found = by_id(snippet_ranks(spark, sf_dir).join(split, "id"))
     both = found.select(F.explode(F.array("split", F.lit("all"))).alias("split"), "rank", "strict_rank")
     strict = both.groupBy("split").agg(stats.rounded(F.avg(1.0 / F.col("strict_rank"))).alias("strict_mrr"))
     return retrieval.rank_metrics(both, by="split").join(strict, "split")
@@ -104,4 +109,4 @@ def text_retrieval_breakdown(spark, sf_dir):
     """Metrics by group, for each kind of group."""
     groups = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.explode(F.array(
         F.struct(F.lit("source").alias("kind"), stats.named("source").alias("value")), F.struct(F.lit("split").alias("kind"), F.col("split").alias("value")))).alias("g"))
-    return retrieval.rank_metrics(snippet_ranks(spark, sf_dir).join(groups, "id").select("rank", "g.*"), by=("kind", "value"))
+    return retrieval.rank_metrics(by_id(snippet_ranks(spark, sf_dir).join(groups, "id")).select("rank", "g.*"), by=("kind", "value"))
